@@ -228,7 +228,7 @@ def primary_speciality(spark, sf):
     return INF.patient_doctors(recent, doctors_of(spark, sf)).select("patient_id", "speciality_group")
 
 
-@query("condition_confidence", sql("SELECT patient_id, condition_code, condition_name, confidence, days AS days_since_last_rx FROM inferred"))
+@query("condition_confidence", sql("SELECT patient_id, condition_code, condition_name, confidence, since AS days_since_last_rx FROM inferred"))
 def condition_confidence(spark, sf):
     return inferred_of(spark, sf).select("patient_id", "condition_code", "condition_name", "confidence", F.col("days_since_last_rx").cast("bigint").alias("days_since_last_rx"))
 

@@ -137,7 +137,7 @@ CTES = {
     "gated": """SELECT r.*, g.speciality_group FROM rolled r LEFT JOIN primary_group g ON g.patient_id = r.patient_id WHERE r.required = '' OR EXISTS (
         SELECT 1 FROM seen_doctors d WHERE d.patient_id = r.patient_id AND contains(lower(d.speciality), lower(r.required)))""",
     "ratios": table(signals.SPECIALITY_RATIOS, ["speciality_group", "condition_group", "ratio"]),
-    "decayed": f"""SELECT g.*, date_diff('day', last_date, {AS_OF}) days, coalesce((SELECT ratio FROM ratios x WHERE x.speciality_group = g.speciality_group AND x.condition_group = g.condition_group),
+    "decayed": f"""SELECT g.*, date_diff('day', last_date, {AS_OF}) AS since, coalesce((SELECT ratio FROM ratios x WHERE x.speciality_group = g.speciality_group AND x.condition_group = g.condition_group),
         (SELECT ratio FROM ratios x WHERE x.speciality_group = g.speciality_group AND x.condition_group = g.speciality_group), 1.0) ratio,
         CASE WHEN date_diff('day', last_date, {AS_OF}) > 180 THEN prior + (noisy_or - prior) * exp(-0.005 * (date_diff('day', last_date, {AS_OF}) - 180)) ELSE noisy_or END p FROM gated g""",
     "shifted": "SELECT *, CASE WHEN ratio = 1 THEN p ELSE 1 / (1 + exp(-(ln(least(greatest(p, 1e-9), 1 - 1e-9) / (1 - least(greatest(p, 1e-9), 1 - 1e-9))) + ln(ratio)))) END q, least(1.0, ln(1 + max_rx) / ln(11)) cred FROM decayed",
