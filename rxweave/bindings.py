@@ -81,9 +81,13 @@ def prescriptions(spark, sf) -> DataFrame:
 
 
 def medication_lines(spark, sf) -> DataFrame:
+    return medication_line_rows(read(spark, sf, "lineitem"))
+
+
+def medication_line_rows(lineitem: DataFrame) -> DataFrame:
     """Medication lines without their prescription."""
     part, line = F.col("l_partkey"), F.col("l_linenumber")
-    return read(spark, sf, "lineitem").select(
+    return lineitem.select(
         F.col("l_orderkey").alias("rx_id"), line.alias("line_no"),
         pick(CATALOG, part).alias("inn"), pick(BRANDS, part).alias("raw_drug_name"),
         F.col("l_quantity").alias("dosage_value"), F.lit("mg").alias("dosage_unit"),
@@ -170,6 +174,10 @@ def audit_logs(spark, sf) -> DataFrame:
 
 
 def history_events(spark, sf) -> DataFrame:
+    return history_event_rows(read(spark, sf, "events"))
+
+
+def history_event_rows(events: DataFrame) -> DataFrame:
     """Typed events whose payload carries only part of the required keys."""
     k = F.get_json_object("props", "$.k")
     payload = F.to_json(F.struct(
@@ -177,7 +185,7 @@ def history_events(spark, sf) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).alias("dosage"),
         F.when(F.col("event_id") % 4 == 0, F.lit("x")).alias("condition_code"),
         F.when(F.col("event_id") % 2 == 0, F.lit("y")).alias("severity")))
-    return read(spark, sf, "events").select(
+    return events.select(
         "event_id", pick(EVENT_TYPES, F.col("event_id")).alias("event_type"), F.lit(1).alias("payload_schema_version"),
         F.col("user_id").alias("patient_id"), payload.alias("payload"), F.col("ts").alias("created_at"))
 
@@ -241,6 +249,10 @@ def medication_texts(spark, sf) -> DataFrame:
 
 
 def rx_documents(spark, sf) -> DataFrame:
+    return rx_document_rows(read(spark, sf, "orders"))
+
+
+def rx_document_rows(orders: DataFrame) -> DataFrame:
     """One prescription text per order: header lines and up to two medications."""
     key = F.col("o_orderkey")
     dose = (key % 40 + 10).cast("string")
@@ -252,7 +264,7 @@ def rx_documents(spark, sf) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "Diagnosis: Fever").otherwise("Clinic hours vary"))
     first = F.when(key % 3 != 0, F.concat(F.lit("Tab. "), pick(BRANDS, key), F.lit(" "), dose, F.lit("mg BD x 5 days")))
     second = F.when(key % 6 < 2, F.concat(pick(BRANDS, key + 1), F.lit(" "), dose, F.lit(" TDS")))
-    return read(spark, sf, "orders").select(
+    return orders.select(
         key.alias("doc_id"), F.col("o_custkey").alias("patient_id"), F.concat_ws("\n", header, first, second).alias("text"))
 
 
@@ -310,3 +322,60 @@ def lab_payloads(spark, sf) -> DataFrame:
         F.lit('{"lab_name": "City Lab", "results": [{"test_name": "A", "analyte_name": "HBA1C", "value": '), value,
         F.lit(', "flag": "'), pick(["HIGH", "odd", "low"], key), F.lit('"}, {"test_name": "B"}]}'))
     return read(spark, sf, "events").select(key.alias("doc_id"), raw.alias("raw"))
+
+
+def evaluation_documents(spark, sf) -> DataFrame:
+    """One document per order with two gold medications and the predictions of
+    a reader that is right, incomplete, misspelt, partly wrong or empty."""
+    key = F.col("o_orderkey")
+    dose = (key % 40 + 10).cast("double")
+
+    def med(name, inn, value, freq):
+        return F.struct(
+            name.alias("drug_name"), name.alias("raw_drug_name"), F.lower(name).alias("clean_name"), inn.alias("inn"), value.alias("dosage_value"),
+            F.lit("mg").alias("dosage_unit"), F.lit(freq).alias("frequency"), F.lit("oral").alias("route"))
+
+    a, b = pick(BRANDS, key), pick(BRANDS, key + 12)
+    ia, ib = pick(CATALOG, key), pick(CATALOG, key + 12)
+    none, typo = F.lit(None).cast("double"), F.concat(F.lit("X"), F.substring(a, 2, 50))
+    first, second = med(a, ia, dose, "twice daily"), med(b, ib, dose + 1, "once daily")
+    pred = (
+        F.when(key % 5 == 0, F.array(first, second))
+        .when(key % 5 == 1, F.array(med(a, F.lit("other"), none, "twice daily"), second))
+        .when(key % 5 == 2, F.array(med(typo, ia, dose, "twice daily")))
+        .when(key % 5 == 3, F.array(med(F.lit("zzzz"), F.lit("other"), F.lit(999.0), "twice daily"), second))
+        .otherwise(F.filter(F.array(first), lambda m: F.lit(False))))
+    return read(spark, sf, "orders").select(
+        key.alias("doc_id"), F.array(first, second).alias("gold"), pred.alias("pred"), ((key % 100) / F.lit(100.0)).alias("confidence"),
+        F.lit("ocr").alias("extractor"), ((key % 10) / F.lit(10.0)).alias("latency_s"))
+
+
+def model_documents(spark, sf) -> DataFrame:
+    """The same documents read by a model that gets every second one right."""
+    docs = evaluation_documents(spark, sf)
+    right = F.col("doc_id") % 2 == 0
+    return docs.withColumn("pred", F.when(right, F.col("gold")).otherwise(F.filter("gold", lambda m: F.lit(False)))).withColumn(
+        "extractor", F.lit("model")).withColumn("latency_s", F.col("latency_s") + 1)
+
+
+def field_values(spark, sf) -> DataFrame:
+    """Gold and read values of three header fields for two extractors."""
+    key = F.col("o_orderkey")
+    gold = {
+        "doctor_name": F.concat(F.lit("Dr Alpha "), key), "clinic_name": F.concat(F.lit("Care Clinic "), key % 100),
+        "patient_age": F.when(key % 11 != 0, (key % 60 + 20).cast("string"))}
+    base = read(spark, sf, "orders").select(key.alias("doc_id"), *[v.alias(k) for k, v in gold.items()])
+    rows = base.unpivot(["doc_id"], list(gold), "field", "gold").withColumn("extractor", F.explode(F.array(F.lit("ocr"), F.lit("model"))))
+    v, value = (F.col("doc_id") + F.when(F.col("extractor") == "model", 1).otherwise(0)) % 5, F.col("gold")
+    read_as = (F.when(v == 0, value).when(v == 1, F.concat(F.lit("X"), F.substring(value, 2, 99)))
+               .when(v == 3, F.upper(value)).when(v == 4, F.lit("qqqq")))
+    return rows.select("extractor", "field", "gold", read_as.alias("pred"))
+
+
+def labelled_words(spark, sf) -> DataFrame:
+    """Labelled word images with the text a reader saw."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    seen = (F.when(key % 4 == 0, name).when(key % 4 == 1, F.concat(F.lit("X"), F.substring(name, 2, 99))).when(key % 4 == 2, F.lit("")).otherwise(F.lit("qqqq")))
+    return read(spark, sf, "part").select(
+        F.lpad(key.cast("string"), 12, "0").alias("image"), name.alias("word"), pick(CATALOG, key).alias("generic"), seen.alias("read"),
+        F.when(key % 3 == 0, pick(CATALOG, key)).otherwise("none").alias("inn"))

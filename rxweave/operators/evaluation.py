@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rxweave.functions.similarity import ratio
 from rxweave.refdata import corpus as C
@@ -56,7 +57,7 @@ def _relaxed(gold: dict, pred: dict) -> bool:
 def _greedy(fits):
     """UDF: for each gold item the position of the first free prediction that
     fits, or -1."""
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def assign(gold: pd.Series, pred: pd.Series) -> pd.Series:
         out = []
         for wanted, given in zip(gold, pred):
@@ -71,7 +72,7 @@ def _greedy(fits):
     return assign
 
 
-@F.pandas_udf("array<struct<pos:int,ratio:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ratio", T.DoubleType())])))
 def _best(gold: pd.Series, pred: pd.Series) -> pd.Series:
     """For each gold item the prediction with the highest ratio (first wins)."""
     out = []
@@ -85,7 +86,7 @@ def _best(gold: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("struct<gold_hits:int,pred_hits:int,n_gold:int,n_pred:int>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("gold_hits", "pred_hits", "n_gold", "n_pred")]))
 def _both_sides(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
     """How many items of each side have a similar item on the other."""
     rows = []
