@@ -14,7 +14,7 @@ from rxweave.operators import medications as MED
 from rxweave.operators import review as R
 from rxweave.plans import corpus as C
 from rxweave.plans import extraction as X
-from rxweave.session import shared_folder
+from rxweave.session import cut_lineage, shared_folder
 from rxweave.sources import readers, writers
 from rxweave.streaming import jobs
 
@@ -240,7 +240,7 @@ def scan_label_csv(spark, sf):
 @query("sink_prescriptions", sql("""SELECT 'prescriptions' AS sink, count(*) AS n FROM rx_scored WHERE confidence >= 0.5 UNION ALL SELECT 'medications', coalesce(CAST(sum(m1 + m2) AS BIGINT), 0) FROM rx_scored WHERE confidence >= 0.5""", **DOCS))
 def sink_prescriptions(spark, sf):
     out = shared_folder(spark, "sink")
-    docs = MED.route_by_confidence(extracted(spark, sf))
+    docs = cut_lineage(spark, MED.route_by_confidence(extracted(spark, sf)), "routed")
     rows = X.medication_rows(docs, "doc_id").withColumn("inn", F.lower("raw_drug_name"))
     found = I.interactions(rows.select("doc_id", "inn").distinct(), "doc_id")
     writers.sink_prescriptions(out, 0, docs, rows, found)
@@ -251,14 +251,14 @@ def sink_prescriptions(spark, sf):
 @query("sink_review_queue", sql("SELECT doc_id AS item_id, confidence, 'Confidence ' || printf('%.4f', confidence) || ' < threshold 0.5 (extractor=tesseract_ner_fallback)' AS reason FROM rx_scored WHERE confidence < 0.5", **DOCS))
 def sink_review_queue(spark, sf):
     out = shared_folder(spark, "sink")
-    writers.sink_review_queue(out, 0, MED.route_by_confidence(extracted(spark, sf)))
+    writers.sink_review_queue(out, 0, cut_lineage(spark, MED.route_by_confidence(extracted(spark, sf)), "routed"))
     return spark.read.parquet(f"{out}/review_queue").select("item_id", "confidence", "reason")
 
 
 @query("sink_lab_reports", sql("SELECT analyte_name, count(*) AS n FROM (SELECT unnest(list_concat(CASE WHEN r1 THEN ['HBA1C'] ELSE [] END, CASE WHEN r2 THEN ['CREATININE'] ELSE [] END)) AS analyte_name FROM lab_scored WHERE confidence >= 0.5) GROUP BY 1", **LABS))
 def sink_lab_reports(spark, sf):
     out = shared_folder(spark, "sink")
-    writers.sink_lab_reports(out, 0, R.route_lab(lab_extracted(spark, sf)))
+    writers.sink_lab_reports(out, 0, cut_lineage(spark, R.route_lab(lab_extracted(spark, sf)), "routed"))
     return spark.read.parquet(f"{out}/lab_results").groupBy("analyte_name").agg(F.count("*").alias("n"))
 
 

@@ -26,6 +26,7 @@ from rxweave.operators import review as R
 from rxweave.plans import extraction as X
 from rxweave.plans import processing as PR
 from rxweave.refdata import tables
+from rxweave.session import spread
 
 # --- one line at a time ---------------------------------------------------------
 
@@ -42,7 +43,7 @@ def by_line(*values) -> str:
 
 
 def lines(spark, sf):
-    return B.medication_texts(spark, sf).select("rx_id", "line_no", "line")
+    return spread(B.medication_texts(spark, sf).select("rx_id", "line_no", "line"))
 
 
 def fixed(spark, sf):
@@ -98,8 +99,7 @@ def extract_route(spark, sf):
 
 @query("parse_medication_line", sql(f"SELECT rx_id, line_no, brand AS raw_drug_name, {_VALUE} AS dosage_value, {_UNIT} AS dosage_unit, {_FREQ} AS frequency, {_RATE} AS freq_per_day, {_DAYS} AS duration_days, {_ROUTE} AS route FROM texts WHERE line_no <> 6", **TEXTS))
 def parse_medication_line(spark, sf):
-    med = lines(spark, sf).where(P.is_medication_line(F.col("line"))).select("rx_id", "line_no", P.medication(F.col("line")).alias("m"))
-    return med.where(F.col("m.raw_drug_name").isNotNull()).select("rx_id", "line_no", "m.*")
+    return X.parse_lines(lines(spark, sf), "rx_id", "line_no")
 
 
 @query("explode_lines", "SELECT doc_id, count(*) AS n_lines, CAST(sum(length(trim(line))) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
@@ -293,8 +293,8 @@ def annotation_reg(spark, sf):
 @query("annotation_meds", sql("""SELECT doc_id, 0 AS pos, b1 AS drug_name, dose AS dosage_value, unit AS dosage_unit, 'As needed' AS frequency, 0 AS freq_per_day FROM ann
     UNION ALL SELECT doc_id, 1, b2, dose, 'mg', 'twice daily', 2 FROM ann UNION ALL SELECT doc_id, 2, b3, NULL, NULL, 'Before meals', NULL FROM ann WHERE k % 2 = 0""", ann=_ANN))
 def annotation_meds(spark, sf):
-    meds = B.annotations(spark, sf).select("doc_id", F.posexplode(A.annotation_medications(F.col("ground_truth"))).alias("pos", "m"))
-    return meds.select("doc_id", "pos", "m.drug_name", "m.dosage_value", "m.dosage_unit", "m.frequency", "m.freq_per_day")
+    meds = spread(B.annotations(spark, sf)).select("doc_id", F.posexplode_outer(A.annotation_medications(F.col("ground_truth"))).alias("pos", "m"))
+    return meds.where(F.col("pos").isNotNull()).select("doc_id", "pos", "m.drug_name", "m.dosage_value", "m.dosage_unit", "m.frequency", "m.freq_per_day")
 
 
 _PHRASES = ["Once daily", "take od", "Every 12 hours", "BID after food", "now and then", "", "as needed"]
@@ -319,7 +319,7 @@ ANN_JSON = f"""SELECT *, '{{"clinic_name":"Care Clinic","doctor_name":"' || doct
 @query("compact_struct", sql("SELECT doc_id, target FROM ann_json", ann=_ANN, ann_json=ANN_JSON))
 def compact_struct(spark, sf):
     record = A.sorted_record(F.col("record"))
-    rows = B.annotations(spark, sf).select("doc_id", A.annotation_record(F.col("ground_truth")).alias("record"))
+    rows = spread(B.annotations(spark, sf)).select("doc_id", A.annotation_record(F.col("ground_truth")).alias("record"))
     return rows.select("doc_id", A.compact_json(record).alias("target"))
 
 
@@ -329,7 +329,7 @@ _EL = """'<s_el><s_dosage_unit>' || unit || '</s_dosage_unit><s_dosage_value>' |
 
 @query("target_sequence", sql(f"""SELECT doc_id, '<s_rx><s_clinic_name>Care Clinic</s_clinic_name><s_doctor_name>' || doctor_name || '</s_doctor_name>' || coalesce('<s_doctor_reg>' || doctor_reg || '</s_doctor_reg>', '') || '<s_medications>' || {_EL} || '</s_medications><s_patient_age>' || patient_age || '</s_patient_age><s_patient_name>' || patient_name || '</s_patient_name><s_prescription_date>' || prescription_date || '</s_prescription_date></s>' AS target FROM ann""", ann=_ANN))
 def target_sequence(spark, sf):
-    rows = B.annotations(spark, sf).select("doc_id", A.annotation_record(F.col("ground_truth")).alias("record"))
+    rows = spread(B.annotations(spark, sf)).select("doc_id", A.annotation_record(F.col("ground_truth")).alias("record"))
     return rows.select("doc_id", A.target_sequence(F.col("record")).alias("target"))
 
 

@@ -88,7 +88,7 @@ def annotation_medications(text: Column) -> Column:
 def annotation_record(text: Column) -> Column:
     """The structured target of one annotation, blanks as NULL."""
     value = lambda name: F.nullif(annotation_field(text, name), F.lit(""))
-    meds = annotation_medications(text)
+    meds = bind(annotation_medications(text), lambda m: F.when(F.size(m) > 0, m))
     return F.struct(
         value("doctor_name").alias("doctor_name"),
         annotation_registration(value("doctor_name")).alias("doctor_reg"),
@@ -98,7 +98,7 @@ def annotation_record(text: Column) -> Column:
         value("patient_gender").alias("patient_gender"),
         value("date").alias("prescription_date"),
         value("diagnosis").alias("diagnosis"),
-        F.when(F.size(meds) > 0, meds).alias("medications"),
+        meds.alias("medications"),
     )
 
 

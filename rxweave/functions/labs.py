@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rxweave.functions.text import drop, first, grab, has, lines
+from rxweave.functions.text import bind, drop, first, grab, has, lines
 from rxweave.refdata import analytes as A
 
 
@@ -44,16 +44,16 @@ def results(line_array: Column) -> Column:
         F.transform(line_array, lambda l: F.struct(l.alias("line"), lab_value(l).alias("value"))),
         lambda x: x["value"].isNotNull())
 
-    def one(rule) -> Column:
+    def one(rule, rows: Column) -> Column:
         _, name, pattern, unit, ref, low, above, since = rule
-        hit = F.filter(numbered, lambda x: has(x["line"], "(?i)" + pattern))
+        hit = F.filter(rows, lambda x: has(x["line"], "(?i)" + pattern))
         limit = lambda v: F.lit(v).cast("double")
         return F.transform(F.slice(hit, 1, 1), lambda x: F.struct(
             x["line"].alias("raw_name"), F.lit(name).alias("analyte_name"), x["value"].alias("value"),
             F.lit(unit).alias("unit"), F.lit(ref).alias("ref_range"),
             lab_flag(x["value"], limit(low), limit(above), limit(since)).alias("flag")))
 
-    return F.flatten(F.array(*[one(rule) for rule in A.ANALYTES]))
+    return bind(numbered, lambda rows: F.flatten(F.array(*[one(rule, rows) for rule in A.ANALYTES])))
 
 
 def confidence(report_date: Column, n_results: Column) -> Column:

@@ -18,10 +18,14 @@ def fix_ocr_digits(text: Column) -> Column:
 
 
 def has_frequency(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [has(text, p) for p, _, _ in P.FREQUENCIES])
+    return has(text, P.ANY_FREQUENCY)
 
 
 def frequency_text(text: Column) -> Column:
+    return F.when(has_frequency(text), _ordered_frequency(text))
+
+
+def _ordered_frequency(text: Column) -> Column:
     return first_case([(has(text, p), name) for p, name, _ in P.FREQUENCIES])
 
 
@@ -34,18 +38,20 @@ def rate_of(frequency: Column) -> Column:
     return lookup(frequency, {name: rate for _, name, rate in P.FREQUENCIES})
 
 
-def dosage_value(text: Column) -> Column:
+NUMBER = r"\b(\d+(?:\.\d+)?)\b"
+
+
+def dosage_value(text: Column, timed: Column | None = None) -> Column:
     """Number with a unit, else any number when a frequency is present."""
-    return F.coalesce(
-        grab(text, P.DOSAGE_PATTERN, 1),
-        F.when(has_frequency(text), grab(text, r"\b(\d+(?:\.\d+)?)\b")),
-    ).try_cast("double")
+    timed = has_frequency(text) if timed is None else timed
+    return F.coalesce(grab(text, P.DOSAGE_PATTERN, 1), F.when(timed, grab(text, NUMBER))).try_cast("double")
 
 
-def dosage_unit(text: Column) -> Column:
+def dosage_unit(text: Column, timed: Column | None = None) -> Column:
+    timed = has_frequency(text) if timed is None else timed
     return F.coalesce(
         lookup(F.lower(grab(text, P.DOSAGE_PATTERN, 2)), P.UNITS),
-        F.when(has_frequency(text) & has(text, r"\b(\d+(?:\.\d+)?)\b"), F.lit(P.IMPLIED_UNIT)),
+        F.when(timed & has(text, NUMBER), F.lit(P.IMPLIED_UNIT)),
     )
 
 
@@ -59,11 +65,15 @@ def route(text: Column) -> Column:
 
 def drug_name(line: Column) -> Column:
     """What is left of a line once form, dose, frequency, duration and route
-    are taken out; NULL when it is too short or only a number."""
+    are taken out; NULL when it is too short or only a number.
+
+    The frequency patterns are only applied where one combined test finds any.
+    """
     name = F.when(has(line, P.NUMBERED_PATTERN), strip(drop(line, P.NUMBERED_PATTERN))).otherwise(line)
-    noise = [P.FORM_PATTERN, P.DOSAGE_PATTERN]
-    noise += [p for p, _, _ in P.FREQUENCIES] + [p for p, _ in P.DURATIONS] + [P.ROUTE_PATTERN]
-    name = strip(reduce(drop, noise, name))
+    name = reduce(drop, [P.FORM_PATTERN, P.DOSAGE_PATTERN], name)
+    rest = [p for p, _ in P.DURATIONS] + [P.ROUTE_PATTERN]
+    name = bind(name, lambda n: F.when(has_frequency(n), reduce(drop, [p for p, _, _ in P.FREQUENCIES], n)).otherwise(n))
+    name = strip(reduce(drop, rest, name))
     name = strip(drop(name, r"\s+\d+(\.\d+)?\s*$"))
     name = drop(drop(name, "^" + EDGE_NOISE), EDGE_NOISE + "$")
     name = strip(F.element_at(F.split(name, regex(r"\s{2,}|/|\+")), 1))
@@ -94,8 +104,8 @@ def medication(line: Column) -> Column:
     def build(fixed: Column) -> Column:
         return bind(frequency_text(fixed), lambda freq: F.struct(
             drug_name(fixed).alias("raw_drug_name"),
-            dosage_value(fixed).alias("dosage_value"),
-            dosage_unit(fixed).alias("dosage_unit"),
+            dosage_value(fixed, freq.isNotNull()).alias("dosage_value"),
+            dosage_unit(fixed, freq.isNotNull()).alias("dosage_unit"),
             freq.alias("frequency"),
             rate_of(freq).alias("freq_per_day"),
             duration_days(fixed).alias("duration_days"),

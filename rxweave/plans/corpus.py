@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from rxweave.functions import annotations as A
 from rxweave.refdata import corpus as C
+from rxweave.session import spread
 
 
 def parse_annotations(rows: DataFrame) -> DataFrame:
     """Add the structured record of each annotation text."""
-    return rows.withColumn("record", A.annotation_record(F.col("ground_truth")))
+    return spread(rows).withColumn("record", A.annotation_record(F.col("ground_truth")))
 
 
 def rejection(file_name: Column, ground_truth: Column) -> Column:

@@ -15,13 +15,14 @@ from rxweave.functions import payloads as J
 from rxweave.functions import prescription as P
 from rxweave.refdata import corpus as C
 from rxweave.refdata import prescribing as R
+from rxweave.session import spread
 
 HEADER = ["doctor_reg", "patient_age", "prescription_date", "diagnosis"]
 
 
 def extract_prescriptions(docs: DataFrame) -> DataFrame:
     """Add header fields, the medication array and the confidence."""
-    lines = docs.withColumn("_lines", P.text_lines(F.col("text")))
+    lines = spread(docs).withColumn("_lines", P.text_lines(F.col("text")))
     rest = lines.withColumn("_rest", P.without_registration_line(F.col("_lines")))
     read = rest.withColumns({
         "doctor_reg": P.first_of(F.col("_lines"), P.registration),
@@ -36,13 +37,22 @@ def extract_prescriptions(docs: DataFrame) -> DataFrame:
 
 
 def medication_rows(extracted: DataFrame, *keep: str) -> DataFrame:
-    rows = extracted.select(*keep, F.posexplode("medications").alias("line_no", "m"))
-    return rows.select(*keep, "line_no", "m.*")
+    """One row per medication. The outer form keeps the optimizer from adding a
+    size test below, which would parse every text a second time."""
+    rows = extracted.select(*keep, F.posexplode_outer("medications").alias("line_no", "m"))
+    return rows.where(F.col("line_no").isNotNull()).select(*keep, "line_no", "m.*")
+
+
+def parse_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """Medication rows of a table that holds one text line per row (``line``)."""
+    found = P.medications_of(F.array("line"))
+    rows = lines.select(*keep, F.explode_outer(found).alias("m"))
+    return rows.where(F.col("m").isNotNull()).select(*keep, "m.*")
 
 
 def extract_labs(docs: DataFrame) -> DataFrame:
     """Add lab name, date, result array and confidence."""
-    lines = docs.withColumn("_lines", L.report_lines(F.col("text")))
+    lines = spread(docs).withColumn("_lines", L.report_lines(F.col("text")))
     read = lines.withColumns({
         "lab_name": L.lab_name(F.col("_lines")),
         "report_date": L.lab_date(F.col("text"), F.col("_lines")),
@@ -53,7 +63,8 @@ def extract_labs(docs: DataFrame) -> DataFrame:
 
 
 def lab_rows(extracted: DataFrame, *keep: str) -> DataFrame:
-    return extracted.select(*keep, F.explode("results").alias("r")).select(*keep, "r.*")
+    rows = extracted.select(*keep, F.explode_outer("results").alias("r"))
+    return rows.where(F.col("r").isNotNull()).select(*keep, "r.*")
 
 
 def model_records(payloads: DataFrame) -> DataFrame:

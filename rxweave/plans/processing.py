@@ -19,22 +19,21 @@ from rxweave.session import cut_lineage
 
 
 def normalized_medications(docs: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Routed documents and their medication rows with generic names."""
-    routed = route_by_confidence(extract_prescriptions(docs))
+    """Routed documents and their medication rows with generic names.
+
+    The parsed documents are written once: several results are built on them,
+    and reading them again is far cheaper than parsing the texts again.
+    """
+    routed = cut_lineage(docs.sparkSession, route_by_confidence(extract_prescriptions(docs)), "routed")
     rows = medication_rows(routed, "doc_id", "patient_id", "prescription_date", "needs_review")
     return routed, normalize_drugs(rows, brands)
 
 
 def process_prescriptions(docs: DataFrame, brands: DataFrame, rx: DataFrame, med: DataFrame, labs: DataFrame,
-                          rules: DataFrame, as_of: dt.date, materialize: bool = False) -> dict[str, DataFrame]:
-    """Extract, normalize, check and route a batch of documents.
-
-    ``materialize`` writes the normalized rows once, for runs that go on to
-    write all results from them.
-    """
+                          rules: DataFrame, as_of: dt.date) -> dict[str, DataFrame]:
+    """Extract, normalize, check and route a batch of documents."""
     routed, normalized = normalized_medications(docs, brands)
-    if materialize:
-        normalized = cut_lineage(docs.sparkSession, normalized, "normalized")
+    normalized = cut_lineage(docs.sparkSession, normalized, "normalized")
     active = distinct_inns(active_medications(med, rx, as_of))
     new = normalized.where(F.coalesce("inn", F.lit("")) != "").select("doc_id", "patient_id", F.lower("inn").alias("inn")).distinct()
     found = document_interactions(routed.select("doc_id", "patient_id").join(new.select("doc_id", "inn"), "doc_id"), active)
@@ -57,7 +56,7 @@ def update_history(medications: DataFrame, doctors: DataFrame, as_of: dt.date) -
     lines = medications.where(~F.col("needs_review") & F.col("patient_id").isNotNull()).select(
         "patient_id", F.col("doc_id").alias("rx_id"), when.alias("rx_date"), "line_no", "inn", "raw_drug_name",
         "dosage_value", "dosage_unit", "frequency", "duration_days", "doctor_id")
-    drugs = E.prescription_drugs(lines)
+    drugs = cut_lineage(lines.sparkSession, E.prescription_drugs(lines), "drugs")
     days = E.episode_days(drugs)
     episodes = E.medication_episodes(drugs)
     history = E.episode_lines(drugs, days)

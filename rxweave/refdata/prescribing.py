@@ -1,21 +1,31 @@
 """Word lists and patterns for reading prescription text (Java regex syntax)."""
 
-# First pattern that matches, in this order, gives the
-# frequency text and the times per day.
-FREQUENCIES = [
-    (r"(?i)\bqds\b|\bqid\b|\bfour\s+times\s+(daily|a\s+day)\b|1[-–]1[-–]1[-–]1\b", "four times daily", 4),
-    (r"(?i)\btds\b|\btid\b|\bthree\s+times\s+(daily|a\s+day)\b|1[-–]1[-–]1\b|morning\s+afternoon\s+night\b", "three times daily", 3),
-    (r"(?i)\bac\b|\bbefore\s+meals?\b", "before meals", 3),
-    (r"(?i)\bpc\b|\bafter\s+meals?\b", "after meals", 3),
-    (r"(?i)\bbd\b|\bbid\b|\btwice\s+(daily|a\s+day)\b|1[-–]0[-–]1\b|morning\s+and\s+night\b", "twice daily", 2),
-    (r"(?i)\bhs\b|\bat\s+bedtime\b|\bnight\s+only\b|0[-–]0[-–]1\b", "at bedtime", 1),
-    (r"(?i)\bom\b|\bevery\s+morning\b|\bmorning\s+only\b|(?<!\d)1[-–]0[-–]0\b", "every morning", 1),
-    (r"(?i)\bon\b|\bevery\s+night\b", "every night", 1),
-    (r"(?i)\bod\b|\bqd\b|\bonce\s+(daily|a\s+day)\b", "once daily", 1),
-    (r"(?i)\bsos\b|\bprn\b|\bas\s+needed\b|\bif\s+required\b", "as needed", 0),
-    (r"(?i)\bstat\b|\bimmediately\b|\bat\s+once\b", "immediately", 0),
+# First entry found, in this order, gives the frequency. Columns:
+# whole words, shapes that need only a word end, text, times per day.
+FREQUENCY_WORDS = [
+    (r"qds|qid|four\s+times\s+(?:daily|a\s+day)", r"1[-–]1[-–]1[-–]1", "four times daily", 4),
+    (r"tds|tid|three\s+times\s+(?:daily|a\s+day)", r"1[-–]1[-–]1|morning\s+afternoon\s+night", "three times daily", 3),
+    (r"ac|before\s+meals?", None, "before meals", 3),
+    (r"pc|after\s+meals?", None, "after meals", 3),
+    (r"bd|bid|twice\s+(?:daily|a\s+day)", r"1[-–]0[-–]1|morning\s+and\s+night", "twice daily", 2),
+    (r"hs|at\s+bedtime|night\s+only", r"0[-–]0[-–]1", "at bedtime", 1),
+    (r"om|every\s+morning|morning\s+only", r"(?<!\d)1[-–]0[-–]0", "every morning", 1),
+    (r"on|every\s+night", None, "every night", 1),
+    (r"od|qd|once\s+(?:daily|a\s+day)", None, "once daily", 1),
+    (r"sos|prn|as\s+needed|if\s+required", None, "as needed", 0),
+    (r"stat|immediately|at\s+once", None, "immediately", 0),
 ]
 
+
+def _frequency_pattern(words: list[str], shapes: list[str]) -> str:
+    """One word-start test for all words keeps the patterns cheap."""
+    tail = "|(?:" + "|".join(shapes) + r")\b" if shapes else ""
+    return r"(?i)\b(?:" + "|".join(words) + r")\b" + tail
+
+
+FREQUENCIES = [(_frequency_pattern([w], [s] if s else []), text, rate) for w, s, text, rate in FREQUENCY_WORDS]
+ANY_FREQUENCY = _frequency_pattern([w for w, _, _, _ in FREQUENCY_WORDS], [s for _, s, _, _ in FREQUENCY_WORDS if s])
+
 # Written unit (with common misreadings) to unit.
 UNITS = {
     "mg": "mg", "milligrams": "mg", "milligram": "mg",

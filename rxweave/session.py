@@ -51,3 +51,15 @@ def cut_lineage(spark: SparkSession, df, purpose: str):
     path = shared_folder(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Give CPU-heavy work at least one partition per core.
+
+    A small input may sit in a single file; a large one has more partitions
+    than cores already and is left as it is, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
