@@ -153,10 +153,12 @@ def evaluate_extraction(spark, sf):
     """The metrics row of an evaluation run."""
     pairs = matched(spark, sf)
     micro = rounded(EV.prf_micro(EV.document_counts(pairs)), "f1")
-    pick = lambda mode, c: F.max(F.when(F.col("mode") == mode, F.col(c)))
-    main = micro.agg(F.max("n_docs").alias("n_docs"), *[pick("strict", c).alias(f"strict_{c}") for c in ("tp", "fp", "fn", "f1")], *[pick("relaxed", c).alias(f"relaxed_{c}") for c in ("tp", "f1")])
-    errors = EV.error_rows(pairs).agg(F.count_if(F.col("category") == "missing").alias("missing"), F.count_if(F.col("category") == "hallucinated").alias("hallucinated"))
-    return main.withColumn("_one", F.lit(1)).join(errors.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    value = lambda mode, c: F.when(F.col("mode") == mode, F.col(c))
+    columns = {"n_docs": F.col("n_docs"), **{f"strict_{c}": value("strict", c) for c in ("tp", "fp", "fn", "f1")}, **{f"relaxed_{c}": value("relaxed", c) for c in ("tp", "f1")}}
+    scores = micro.select(*[c.alias(n) for n, c in columns.items()])
+    errors = EV.error_rows(pairs).agg(*[F.count_if(F.col("category") == c).alias(c) for c in ("missing", "hallucinated")])
+    both = scores.unionByName(errors, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # --- corpus --------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from rxweave.functions.text import drop, strip
 from rxweave.refdata import corpus as C
 
 _HEADER = [*C.CLINICAL_FIELDS]
-_MAP_LIST = "array<map<string,string>>"
+_MAP = "map<string,string>"
 
 
 def strip_fences(raw: Column) -> Column:
@@ -23,13 +23,19 @@ def _header(payload: Column, names: list[str]) -> dict[str, Column]:
     return {n: read[n] for n in names}
 
 
+def _objects(json_list: Column) -> Column:
+    """The objects of a JSON list as string maps; other elements are skipped."""
+    items = F.coalesce(F.from_json(json_list, "array<string>"), F.array().cast("array<string>"))
+    kept = F.filter(items, lambda i: F.startswith(F.ltrim(i), F.lit("{")))
+    return F.transform(kept, lambda i: F.from_json(i, _MAP))
+
+
 def medication_maps(payload: Column) -> Column:
     """Medications of a payload as string maps: a list, one object, or a list
     of objects wrapped in ``el``."""
     block = F.from_json(payload, "struct<medications:string>")["medications"]
     single = F.when(F.startswith(F.ltrim(block), F.lit("{")), F.concat(F.lit("["), block, F.lit("]"))).otherwise(block)
-    maps = F.coalesce(F.from_json(single, _MAP_LIST), F.array().cast(_MAP_LIST))
-    return F.transform(maps, lambda m: F.coalesce(F.from_json(F.try_element_at(m, F.lit("el")), "map<string,string>"), m))
+    return F.transform(_objects(single), lambda m: F.coalesce(F.from_json(F.try_element_at(m, F.lit("el")), _MAP), m))
 
 
 def _medication(m: Column, name: Column) -> Column:
@@ -70,7 +76,7 @@ def has_content(record: Column) -> Column:
 
 def normalize_lab_json(payload: Column) -> Column:
     head = _header(payload, ["lab_name", "patient_name", "patient_age", "report_date", "clinical_notes", "confidence"])
-    maps = F.coalesce(F.from_json(payload, f"struct<results:{_MAP_LIST}>")["results"], F.array().cast(_MAP_LIST))
+    maps = _objects(F.from_json(payload, "struct<results:string>")["results"])
     get = lambda m, key: F.try_element_at(m, F.lit(key))
     value = lambda m: F.when(F.map_contains_key(m, "value"), get(m, "value").try_cast("double")).otherwise(F.lit(0.0))
 
