@@ -105,10 +105,10 @@ def review_queue_open(spark, sf):
     return R.newest_first(B.review_queue(spark, sf)).select("item_id", "patient_id", "item_type", "confidence", day("created_at"))
 
 
-@query("review_queue_scoped", sql("""SELECT c.clinician_id, q.item_id, q.item_type, q.facility_id FROM review_queue q JOIN clinicians c ON q.facility_id = c.active_facility_id
+@query("review_queue_scoped", sql("""SELECT DISTINCT q.facility_id, c.scopes, q.item_id, q.item_type FROM review_queue q JOIN clinicians c ON q.facility_id = c.active_facility_id
     WHERE NOT q.resolved AND (c.scopes = 'both' OR (c.scopes = 'rx' AND item_type = 'prescription') OR (c.scopes = 'lab' AND item_type = 'lab'))"""))
 def review_queue_scoped(spark, sf):
-    return R.scoped_queue(B.review_queue(spark, sf), B.clinicians(spark, sf)).select("clinician_id", "item_id", "item_type", "facility_id")
+    return R.scoped_queue(B.review_queue(spark, sf), B.clinicians(spark, sf))
 
 
 _SCOPE = "(c.scopes = 'both' OR (c.scopes = 'rx' AND q.item_type = 'prescription') OR (c.scopes = 'lab' AND q.item_type = 'lab'))"

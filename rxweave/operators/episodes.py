@@ -118,22 +118,39 @@ def medication_episodes(drugs: DataFrame) -> DataFrame:
     return scheduled_episodes(episode_days(drugs)).unionByName(prn)
 
 
+def _id_bucket(drugs: DataFrame) -> Column:
+    """A coarse part of the prescription id that keeps the order of the ids:
+    their first characters, or blocks of a million for numbers."""
+    if dict(drugs.dtypes)["rx_id"] == "string":
+        return F.substring("rx_id", 1, 2)
+    return F.shiftright("rx_id", 20)
+
+
 def episode_lines(drugs: DataFrame, days: DataFrame) -> DataFrame:
     """Prescriptions with their episode, refill number and previous dose.
 
-    Lines meet their day by (patient, drug, day); within a day they are
-    ordered by prescription, and the first one follows the day before.
+    Lines of a day are ordered by prescription id. A day may be very large, so
+    it is numbered in id buckets: each bucket knows how many lines and which
+    dose came before it, and only rows within a bucket are ordered.
     """
     keys = ["patient_id", "inn", "rx_date"]
-    day = days.select(*keys, "episode_no", "rx_before", "gap_days", F.struct("previous_latest").alias("_before"))
-    order = Window.partitionBy(*keys).orderBy("rx_id")
-    joined = drugs.join(day, keys)
-    position = F.row_number().over(order)
     dose = F.struct("dosage_value", "dosage_unit")
-    carried = F.struct(F.col("_before.previous_latest.dosage_value").alias("dosage_value"), F.col("_before.previous_latest.dosage_unit").alias("dosage_unit"))
-    return joined.select(
-        "*", (F.col("rx_before") + position).alias("refill_number"),
-        F.when(position > 1, F.lag(dose).over(order)).otherwise(carried).alias("previous_dose"))
+    lines = drugs.withColumn("_bucket", _id_bucket(drugs))
+    over_day = Window.partitionBy(*keys).orderBy("_bucket")
+    buckets = lines.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.max_by(dose, "rx_id").alias("_last")).select(
+        *keys, "_bucket",
+        F.coalesce(F.sum("_n").over(over_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_in_day"),
+        F.lag("_last").over(over_day).alias("_bucket_before"))
+    carried = F.struct(F.col("previous_latest.dosage_value").alias("dosage_value"), F.col("previous_latest.dosage_unit").alias("dosage_unit"))
+    starts = buckets.join(days, keys).select(
+        *keys, "_bucket", "episode_no", "gap_days", (F.col("rx_before") + F.col("_in_day")).alias("_before"),
+        F.when(F.col("_bucket_before").isNotNull(), F.col("_bucket_before")).otherwise(carried).alias("_carried"))
+    order = Window.partitionBy(*keys, "_bucket").orderBy("rx_id")
+    position = F.row_number().over(order)
+    numbered = lines.join(starts, [*keys, "_bucket"])
+    return numbered.select(
+        *drugs.columns, "episode_no", (F.col("_before") + position).alias("refill_number"),
+        F.when(position > 1, F.lag(dose).over(order)).otherwise(F.col("_carried")).alias("previous_dose"))
 
 
 def dosage_history(lines: DataFrame) -> DataFrame:

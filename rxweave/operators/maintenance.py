@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rxweave.operators.interactions import document_interactions
 from rxweave.operators.medications import distinct_inns
-from rxweave.operators.safety import safety_alerts
+from rxweave.operators.safety import rule_inns, safety_alerts
 from rxweave.refdata import events as E
 
 
@@ -53,7 +53,9 @@ def apply_lab_resolutions(feed: DataFrame, queue: DataFrame, results: DataFrame,
     stored = latest.join(owners, "patient_id").select("item_id", "analyte_name", "value", "unit", "ref_range", "flag")
     kept = stored.join(fresh.select("item_id", "analyte_name"), ["item_id", "analyte_name"], "left_anti")
     labs = fresh.unionByName(kept).withColumnRenamed("item_id", "patient_id")
-    drugs = owners.join(active, "patient_id").select(F.col("item_id").alias("patient_id"), "inn")
+    # only drugs of some rule matter, which bounds the rows per item
+    named = active.join(rule_inns(rules), "inn", "left_semi")
+    drugs = owners.join(named, "patient_id").select(F.col("item_id").alias("patient_id"), "inn")
     alerts = safety_alerts(drugs, labs, rules)
     critical = alerts.groupBy(F.col("patient_id").alias("item_id")).agg(F.bool_or(F.col("severity") == "critical").alias("has_critical"))
     joined = todo.join(critical, "item_id", "left").fillna({"has_critical": False})

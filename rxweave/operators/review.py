@@ -24,9 +24,13 @@ def _in_scope():
 
 
 def scoped_queue(queue: DataFrame, clinicians: DataFrame) -> DataFrame:
-    """Open items each clinician sees: own active facility, own document type."""
-    own = clinicians.select("clinician_id", "scopes", F.col("active_facility_id").alias("facility_id"))
-    return open_items(queue).join(own, "facility_id").where(_in_scope()).select("clinician_id", "item_id", "item_type", "facility_id")
+    """Open items per facility and document scope that some clinician works in.
+
+    A clinician's queue is the part with the own facility and scope; an item
+    appears at most once per scope, however many clinicians share it.
+    """
+    views = clinicians.select("scopes", F.col("active_facility_id").alias("facility_id")).distinct()
+    return open_items(queue).join(views, "facility_id").where(_in_scope()).select("facility_id", "scopes", "item_id", "item_type")
 
 
 def facility_access(queue: DataFrame, clinicians: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -63,6 +63,11 @@ def handled_pairs(rules: DataFrame) -> DataFrame:
     return active_rules(rules).select(F.lower("drug_inn").alias("inn"), F.upper("analyte_name").alias("analyte_name")).distinct()
 
 
+def rule_inns(rules: DataFrame) -> DataFrame:
+    """Drugs that any active or fallback rule names."""
+    return handled_pairs(rules).select("inn").unionByName(tables.fallback_drugs(rules.sparkSession).select("inn")).distinct()
+
+
 def fallback_drug_hits(drugs: DataFrame, keys: tuple = ("patient_id",)) -> DataFrame:
     """Per patient and fallback rule: the first drug of the rule's set."""
     sets = F.broadcast(tables.fallback_drugs(drugs.sparkSession))

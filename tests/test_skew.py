@@ -47,3 +47,19 @@ def test_history_of_a_hot_patient(spark):
     rx = hot_lines(spark, 300_000).select("rx_id", "patient_id", F.col("rx_date").alias("created_at"))
     recent = MED.recent_prescriptions(rx)
     assert recent.groupBy("patient_id").count().agg(F.max("count")).first()[0] == 50
+
+
+def test_numbering_of_a_hot_day(spark):
+    """One patient, drug and day with very many prescriptions: buckets of ids
+    are numbered as one sequence, for numeric and for text ids."""
+    i = F.col("id")
+    for rx_id in (i * 1000, F.lpad(F.conv(i.cast("string"), 10, 16), 6, "0")):
+        lines = hot_lines(spark, 30_000).withColumn("rx_id", F.lit(0)).select(
+            F.lit(1).cast("long").alias("patient_id"), "inn", "rx_date", "line_no", "dosage_unit", "frequency", "duration_days", "doctor_id", "raw_drug_name").limit(1)
+        day = spark.range(0, 60_000, 2).withColumn("rx_id", rx_id).crossJoin(lines).drop("id").withColumn("dosage_value", F.lit(1.0))
+        drugs = E.prescription_drugs(day)
+        rows = E.episode_lines(drugs, E.episode_days(drugs))
+        found = rows.agg(F.count("*"), F.countDistinct("refill_number"), F.max("refill_number"), F.count_if(F.col("previous_dose.dosage_value").isNull())).first()
+        assert tuple(found) == (30_000, 30_000, 30_000, 1)
+        ordered = rows.orderBy("rx_id").limit(2).select("refill_number").collect()
+        assert [r.refill_number for r in ordered] == [1, 2]
