@@ -271,11 +271,9 @@ def distinct_inns(spark, sf):
 @query("patient_interactions", sql("""SELECT f.patient_id, f.drug_1, f.drug_2, f.severity, f.source, (SELECT count(*) FROM active_drugs d WHERE d.patient_id = f.patient_id) AS n_active_drugs,
     count(*) OVER (PARTITION BY f.patient_id) AS n_interactions, bool_or(f.severity = 'major') OVER (PARTITION BY f.patient_id) AS has_major_interaction FROM found f"""))
 def patient_interactions(spark, sf):
-    drugs = active_drugs(spark, sf)
-    found = I.interactions(drugs)
-    flags = I.summary(drugs, found)
     columns = ["patient_id", "drug_1", "drug_2", "severity", "source", "n_active_drugs", "n_interactions", "has_major_interaction"]
-    return found.join(flags, "patient_id").orderBy("severity_rank", "patient_id", "drug_1", "drug_2").select(columns)
+    found = I.patient_interactions(active_drugs(spark, sf))
+    return found.orderBy("severity_rank", "patient_id", "drug_1", "drug_2").select(columns)
 
 
 @query("union_inns", sql("SELECT DISTINCT patient_id, inn FROM medications WHERE is_active"))

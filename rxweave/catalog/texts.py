@@ -121,7 +121,7 @@ DOCS = dict(rx_texts=_RX, rx_scored=_RXC)
 
 
 def extracted(spark, sf):
-    return X.extract_prescriptions(B.rx_documents(spark, sf))
+    return X.extract_prescriptions(spread(B.rx_documents(spark, sf)))
 
 
 @query("header_fields", sql("SELECT doc_id, doctor_reg, patient_age, prescription_date, diagnosis FROM rx_texts", **DOCS))
@@ -151,7 +151,7 @@ LABS = dict(lab_texts=_LAB, lab_scored=_LABC)
 
 
 def lab_extracted(spark, sf):
-    return X.extract_labs(B.lab_documents(spark, sf))
+    return X.extract_labs(spread(B.lab_documents(spark, sf)))
 
 
 @query("lab_name", sql("SELECT doc_id, lab_name FROM lab_texts", **LABS))
@@ -413,7 +413,7 @@ def brand_table(spark):
 
 def processed(spark, sf):
     return PR.process_prescriptions(
-        B.rx_documents(spark, sf), brand_table(spark), B.prescriptions(spark, sf), B.medication_lines(spark, sf), latest(spark, sf), rule_table(spark, sf), B.AS_OF_RX)
+        spread(B.rx_documents(spark, sf)), brand_table(spark), B.prescriptions(spark, sf), B.medication_lines(spark, sf), latest(spark, sf), rule_table(spark, sf), B.AS_OF_RX)
 
 
 _DOC_DRUGS = f"SELECT doc_id, patient_id, {at(B.CATALOG, 'k')} AS inn FROM rx_texts WHERE m1 = 1 UNION SELECT doc_id, patient_id, {at(B.CATALOG, 'k + 1')} FROM rx_texts WHERE m2 = 1"
@@ -433,7 +433,7 @@ def process_prescriptions_alerts(spark, sf):
 
 
 def accepted_medications(spark, sf):
-    _, rows = PR.normalized_medications(B.rx_documents(spark, sf), brand_table(spark))
+    _, rows = PR.normalized_medications(spread(B.rx_documents(spark, sf)), brand_table(spark))
     return rows.withColumn("doctor_id", F.col("doc_id") % 10)
 
 

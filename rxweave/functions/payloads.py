@@ -58,7 +58,7 @@ def _payload(payload: Column, default_confidence: float, name_of, mode: str) ->
         F.lit(mode).alias("extractor_mode"))
 
 
-def normalize_rx_json(payload: Column, mode: str = "gemini_hybrid_image_and_text") -> Column:
+def normalize_rx_json(payload: Column, mode: str = C.SERVICE_MODE) -> Column:
     name_of = lambda m: F.coalesce(F.try_element_at(m, F.lit("drug_name")), F.lit(""))
     return _payload(payload, C.SERVICE_CONFIDENCE, name_of, mode)
 

@@ -7,7 +7,7 @@ the rule vocabulary, and only rule partners are looked up in it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxweave.functions.text import first_case
@@ -47,6 +47,28 @@ def matched_pairs(drugs: DataFrame, rules: DataFrame, rule_drugs: list[str], key
     return pairs_in_sets(rule_drug_sets(drugs, rule_drugs, key), rules, key)
 
 
+def patient_interactions(drugs: DataFrame, key: str = "patient_id") -> DataFrame:
+    """Interactions with the patient's number of drugs and interactions and
+    the major flag, in one pass over the distinct drugs.
+
+    The window runs over the pairs of one patient, never more than the rule
+    table has, on rows that are already partitioned by patient.
+    """
+    rows = tables.pair_rows() + tables.class_pair_rows()
+    words, rules = _vocabulary(rows), tables.interaction_rules(drugs.sparkSession)
+    named = F.when(F.col("inn").isin(words), F.col("inn"))
+    sets = drugs.groupBy(key).agg(F.count("*").alias("n_active_drugs"), F.collect_set(named).alias("_drugs"))
+    pairs = (
+        sets.where(F.size("_drugs") > 1)
+        .select(key, "n_active_drugs", "_drugs", F.explode("_drugs").alias("drug_1"))
+        .join(F.broadcast(rules), "drug_1").where(F.array_contains("_drugs", F.col("drug_2"))))
+    own = Window.partitionBy(key)
+    return pairs.select(
+        key, "drug_1", "drug_2", "severity", "description", "management", "source", "n_active_drugs",
+        severity_rank(F.col("severity")).alias("severity_rank"), F.count("*").over(own).alias("n_interactions"),
+        F.bool_or(F.col("severity") == "major").over(own).alias("has_major_interaction"))
+
+
 def _vocabulary(rows: list[tuple]) -> list[str]:
     return sorted({d for row in rows for d in row[:2]})
 

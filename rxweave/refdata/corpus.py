@@ -39,6 +39,7 @@ IMAGE_SUFFIXES = ["png", "jpg", "jpeg"]
 MODEL_CONFIDENCE = 0.75
 SERVICE_CONFIDENCE = 0.8
 MODEL_MODE = "local_donut_ml"
+SERVICE_MODE = "gemini_hybrid_image_and_text"
 RULES_MODE = "tesseract_ner_fallback"
 ANALYTE_DEFAULT = "OTHER"
 

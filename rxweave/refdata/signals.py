@@ -112,7 +112,6 @@ FULL_CREDIBILITY_RX = 10
 LOG_ODDS_EPS = 1e-9
 MIN_CONFIDENCE = 0.30
 DEFAULT_PREVALENCE = 0.10
-ENGINE_VERSION = "phg_mvp_v1"
 
 # First keyword (in this order) found in a speciality wins.
 SPECIALITY_GROUPS = [

@@ -54,12 +54,11 @@ def cut_lineage(spark: SparkSession, df, purpose: str):
 
 
 def spread(df):
-    """Give CPU-heavy work at least one partition per core.
+    """Give CPU-heavy work on scanned files at least one partition per core.
 
     A small input may sit in a single file; a large one has more partitions
-    than cores already and is left as it is, without a shuffle.
+    than cores already and is left as it is, without a shuffle. For plain scans
+    only: asking a plan with shuffles for its partitions would run it.
     """
-    if df.isStreaming:
-        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -46,7 +46,7 @@ def sink_lab_reports(folder: str, batch_id: int, reports: DataFrame) -> None:
 
 
 def sink_events(folder: str, batch_id: int, events: DataFrame) -> None:
-    _write(events, folder, "phg_events", batch_id)
+    _write(events, folder, "history_events", batch_id)
 
 
 def sink_training_jsonl(path: str, lines: DataFrame) -> None:
