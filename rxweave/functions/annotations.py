@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rxweave.functions.text import bind, first, first_case, has, regex
+from rxweave.functions.text import bind, first_case, has, regex
 from rxweave.refdata import corpus as C
 
 _BOUNDARY = "|".join(f"{name}:" for name in C.ANNOTATION_FIELDS)

@@ -14,7 +14,6 @@ from rxweave.functions import labs as L
 from rxweave.functions import payloads as J
 from rxweave.functions import prescription as P
 from rxweave.refdata import corpus as C
-from rxweave.refdata import prescribing as R
 
 HEADER = ["doctor_reg", "patient_age", "prescription_date", "diagnosis"]
 

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from rxweave.functions import annotations as A
-from rxweave.functions import labs as L
 from rxweave.functions import names as N
 from rxweave.functions import payloads as J
 from rxweave.functions import prescription as P
