@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rxweave.llm import bpe, decontamination, quality, secrets, tokenfiles
+from rxweave.llm import bpe, decontamination, pii, quality, secrets, tokenfiles
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -121,3 +121,8 @@ QUALITY_CHECK = f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_sym
 def op8(spark, sf_dir):
     out = quality.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_skip_chain_personal_data")
+def op10(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
