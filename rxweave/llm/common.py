@@ -40,7 +40,8 @@ def pieces(batch: pa.RecordBatch, column: int, max_bytes: int = PIECE_BYTES) ->
         yield batch.slice(start)
 
 
-def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.StructField], make: Callable[[], Callable],
+              max_bytes: int = PIECE_BYTES) -> DataFrame:
     """The ``keep`` columns and new ``fields`` computed from each text, in place of all other columns.
 
     ``make()`` runs once per task and returns a function from a list of texts
@@ -54,7 +55,7 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.Struct
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for piece in pieces(batch, at):
+            for piece in pieces(batch, at, max_bytes):
                 columns = compute(piece.column(at).to_pylist())
                 arrays = [piece.column(i).cast(arrow.field(i).type) for i in range(at)]
                 arrays += [pa.array(c, type=arrow.field(at + i).type) for i, c in enumerate(columns)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rxweave.llm import bpe, decontamination, pii, quality, secrets, tokenfiles
+from rxweave.llm import bpe, decontamination, pii, quality, secrets, tokenfiles, toxicity
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -126,3 +126,8 @@ def op8(spark, sf_dir):
 @query("op10_skip_chain_personal_data")
 def op10(spark, sf_dir):
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op9_nonnegative_pu_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
