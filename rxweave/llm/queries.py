@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rxweave.llm import bpe, decontamination, pii, quality, secrets, tokenfiles, toxicity
+from rxweave.llm import bpe, decontamination, neardup, pii, quality, secrets, tokenfiles, toxicity
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -28,6 +28,11 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_dart_minhash_near_duplicates")
+def op1(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op2_guess_cost_secrets")
 def op2(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
