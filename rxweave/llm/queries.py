@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rxweave.llm import bpe, decontamination, neardup, pii, quality, secrets, tokenfiles, toxicity
+from rxweave.llm import bpe, decontamination, neardup, pii, quality, secrets, suffixes, tokenfiles, toxicity
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -78,6 +78,11 @@ def op5(spark, sf_dir):
     return tokenfiles.token_files(spark, table(spark, sf_dir, "documents"), WORDS, END_ID)
 
 
+@query("op7_suffix_radix_repeats")
+def op7(spark, sf_dir):
+    return suffixes.repeated_strings(table(spark, sf_dir, "documents"))
+
+
 QUALITY_MEASURES = r"""
 words AS (
   SELECT doc_id, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
