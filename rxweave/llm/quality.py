@@ -26,6 +26,9 @@ WINDOW = 5
 #: Hosts whose shrunk failure rate of a rule is at least this are condemned.
 HOST_LIMIT = 0.5
 
+#: The prior counts as at least this many documents, so that a host's first one does not decide alone.
+LEAST_STRENGTH = 5.0
+
 #: A host list of at most this many rows is broadcast; a longer one is joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
@@ -83,7 +86,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
 
     Prior of a rule: with the pooled rate m over all documents and the
     document-weighted variance v of host rates, less what chance alone gives,
-    the strength is m(1-m)/v - 1, kept between 1 and 1e6.
+    the strength is m(1-m)/v - 1, kept between LEAST_STRENGTH and 1e6.
     """
     per_host = measured.groupBy(F.col(quoted(host)).alias("host")).agg(
         F.count("*").alias("n_docs"), *[F.sum(F.col(f"{r}_failed").cast("long")).alias(f"{r}_failures") for r in RULES])
@@ -95,7 +98,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
         docs = totals["docs"] or 1
         mean = (totals[f"{rule}_k"] or 0) / docs
         spread = (totals[f"{rule}_kk"] or 0) / docs - mean * mean - mean * (1 - mean) * totals["hosts"] / docs
-        strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+        strength = min(max(mean * (1 - mean) / spread - 1, LEAST_STRENGTH), 1e6) if spread > 0 else 1e6
         shrunk.append(((F.col(f"{rule}_failures") + mean * strength) / (F.col("n_docs") + strength)).alias(f"{rule}_rate"))
     rated = per_host.select("*", *shrunk)
     return rated.withColumn("condemned", F.greatest(*[F.col(f"{r}_rate") for r in RULES]) >= limit)

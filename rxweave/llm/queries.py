@@ -119,7 +119,7 @@ def quality_sql(docs: str = "documents") -> str:
         totals=", ".join(f"sum({r}_k) / sum(n) AS {r}_m, sum({r}_k * {r}_k / n) / sum(n) AS {r}_kk" for r in rules),
         means=", ".join(f"{r}_m, {r}_kk" for r in rules),
         spreads=", ".join(f"{r}_kk - {r}_m * {r}_m - {r}_m * (1 - {r}_m) * hosts / docs AS {r}_v" for r in rules),
-        strengths=", ".join(f"CASE WHEN {r}_v > 0 THEN least(greatest({r}_m * (1 - {r}_m) / {r}_v - 1, 1.0), 1e6) ELSE 1e6 END AS {r}_c" for r in rules),
+        strengths=", ".join(f"CASE WHEN {r}_v > 0 THEN least(greatest({r}_m * (1 - {r}_m) / {r}_v - 1, {quality.LEAST_STRENGTH}), 1e6) ELSE 1e6 END AS {r}_c" for r in rules),
         rates=", ".join(f"({r}_k + {r}_m * {r}_c) / (n + {r}_c)" for r in rules),
         any_rule=" OR ".join(f"{r}_failed" for r in rules))
 
