@@ -104,12 +104,11 @@ def signatures(document: np.ndarray, element: np.ndarray, weight: np.ndarray, n_
     limit = np.divide(k * (np.log(k) + 2), total, out=np.zeros(n_texts), where=total > 0)
     while len(document):
         cell, time, name = thrown(document, element, weight, limit, k)
-        order = np.lexsort((name, time, cell))
-        cell, name = cell[order], name[order]
-        first = np.ones(len(cell), bool)
-        first[1:] = cell[1:] != cell[:-1]
-        out.reshape(-1)[cell[first]] = name[first]
-        hit = np.bincount(cell[first] // k, minlength=n_texts)
+        late_first = np.argsort(-time, kind="stable")
+        out.reshape(-1)[cell[late_first]] = name[late_first]  # the last one written stays: the earliest
+        touched = np.zeros(n_texts * k, bool)
+        touched[cell] = True
+        hit = touched.reshape(n_texts, k).sum(1)
         again = hit[document] < k
         document, element, weight = document[again], element[again], weight[again]
         limit = limit * 2
