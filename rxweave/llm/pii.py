@@ -224,12 +224,13 @@ def train(features: np.ndarray, neighbours: np.ndarray, labels: np.ndarray, step
 
 
 def fit(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS, tokens: int = SAMPLE_TOKENS) -> dict[str, np.ndarray]:
-    """Weights from at most ``documents`` texts with a node, those with the smallest hashes, and ``tokens`` of their tokens."""
-    sample = (docs.select(F.col(quoted(text)).cast("string").alias("text")).where("text RLIKE '[0-9@]'")
-              .withColumn("order", F.xxhash64("text")).orderBy("order", "text").limit(documents))
+    """Weights from at most ``documents`` texts with a node, the distinct ones with the smallest hashes, and ``tokens`` of their tokens."""
+    rows = docs.select(F.col(quoted(text)).cast("string").alias("text")).where("text RLIKE '[0-9@]'").withColumn("order", F.xxhash64("text"))
+    keys = [(r["order"],) for r in rows.select("order").distinct().orderBy("order").limit(documents).collect()]
+    sample = rows.join(F.broadcast(docs.sparkSession.createDataFrame(keys, "order long")), "order", "left_semi").dropDuplicates(["order"])
     names = ["order", "features", "neighbours", "label"]
-    rows = sample.select("text").mapInPandas(_training_rows, "order string, features string, neighbours array<long>, label int")
-    held = rows.orderBy(*names).limit(tokens).collect()
+    tagged = sample.select("text").mapInPandas(_training_rows, "order string, features string, neighbours array<long>, label int")
+    held = tagged.orderBy(*names).limit(tokens).collect()
     features = np.array([[c == "1" for c in r["features"]] for r in held], float).reshape(-1, len(FEATURES))
     neighbours = np.array([r["neighbours"] for r in held], float).reshape(-1, 3 * len(LABELS))
     return train(features, neighbours, np.array([r["label"] for r in held], np.int64))
