@@ -15,6 +15,7 @@ from rxweave.operators import maintenance as M
 from rxweave.operators import medications as MED
 from rxweave.operators import review as R
 from rxweave.operators import safety as S
+from rxweave.refdata import prescribing as P
 from rxweave.refdata import tables
 from rxweave.sources import readers
 
@@ -273,7 +274,7 @@ def distinct_inns(spark, sf):
 def patient_interactions(spark, sf):
     columns = ["patient_id", "drug_1", "drug_2", "severity", "source", "n_active_drugs", "n_interactions", "has_major_interaction"]
     found = I.patient_interactions(active_drugs(spark, sf))
-    return found.orderBy("severity_rank", "patient_id", "drug_1", "drug_2").select(columns)
+    return found.sortWithinPartitions("patient_id", "severity_rank", "drug_1", "drug_2").select(columns)
 
 
 @query("union_inns", sql("SELECT DISTINCT patient_id, inn FROM medications WHERE is_active"))
@@ -310,6 +311,16 @@ _FALLBACK = f"""SELECT patient_id, {_TITLE.format('inn')} AS drug_name, analyte_
       FROM first_drug h JOIN fallback_rules r ON r.rule_id = h.rule_id JOIN latest_labs l ON l.patient_id = h.patient_id AND l.analyte_name = r.analyte_name
       WHERE (gt IS NULL OR l.value > gt) AND (ge IS NULL OR l.value >= ge) AND (lt IS NULL OR l.value < lt) AND (le IS NULL OR l.value <= le) AND {_BAND.format('r.band')}) x
     WHERE pick = 1 AND NOT EXISTS (SELECT 1 FROM rule_table t WHERE t.is_enabled AND NOT t.is_deleted AND t.drug_inn = x.inn AND t.analyte_name = x.analyte_name)"""
+
+
+def keyed_alerts(key: str) -> dict:
+    """Alert queries per key and patient, over ``drugs`` with that key."""
+    first = f"SELECT d.{key}, d.patient_id, f.rule_id, min(d.inn) AS inn FROM drugs d JOIN fallback_drugs f ON f.inn = d.inn GROUP BY 1, 2, 3"
+    fallback = _FALLBACK.replace("SELECT patient_id,", f"SELECT {key},").replace("SELECT h.patient_id,", f"SELECT h.{key},").replace("PARTITION BY h.patient_id,", f"PARTITION BY h.{key},")
+    return dict(rule_table=RULE_TABLE, first_drug=first, dynamic_hits=_DYNAMIC.replace("SELECT d.patient_id,", f"SELECT d.{key},"), fallback_hits=fallback,
+                alerts_of=f"SELECT {key}, count(*) AS n, bool_or(severity = 'critical') AS critical FROM (SELECT * FROM dynamic_hits UNION ALL SELECT * FROM fallback_hits) GROUP BY 1")
+
+
 _SAFETY = dict(drugs=_DRUGS, rule_table=RULE_TABLE, first_drug=_FIRST_DRUG)
 _ALERT = ["patient_id", "drug_name", "analyte_name", "severity", "description", "val_detected", "ref_range", "management"]
 
@@ -358,7 +369,7 @@ def uncovered_pairs(spark, sf):
 
 @query("recent_rx_50", sql("SELECT * FROM (SELECT patient_id, rx_id, CAST(created_at AS VARCHAR) AS created_at, row_number() OVER (PARTITION BY patient_id ORDER BY p.created_at DESC, rx_id DESC) AS rn FROM prescriptions p) WHERE rn <= 50"))
 def recent_rx_50(spark, sf):
-    return MED.recent_prescriptions(B.prescriptions(spark, sf)).select("patient_id", "rx_id", day("created_at"), "rn")
+    return MED.recent_prescriptions(B.prescriptions(spark, sf), P.HISTORY_LIMIT).select("patient_id", "rx_id", day("created_at"), "rn")
 
 
 _RX_FOUND = """SELECT p.rx_id, r.severity FROM rx_pairs p JOIN pair_rules r ON p.drug_1 = r.drug_1 AND p.drug_2 = r.drug_2
@@ -368,23 +379,22 @@ _RX_FOUND = """SELECT p.rx_id, r.severity FROM rx_pairs p JOIN pair_rules r ON p
 _RX_PAIRS = "SELECT DISTINCT a.rx_id, a.inn AS drug_1, b.inn AS drug_2 FROM medications a JOIN medications b ON a.rx_id = b.rx_id AND a.inn < b.inn"
 
 
-@query("patient_history", sql("""SELECT t.patient_id, p.phone, t.rx_id, t.rn, coalesce(m.n_meds, 0) AS n_meds, coalesce(m.n_oral, 0) AS n_oral, coalesce(i.n, 0) AS n_interactions, coalesce(i.major, FALSE) AS has_major,
-    t.confidence < 0.5 AS needs_review, least(t.total_all, 50) AS total, t.total_all
-    FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY created_at DESC, rx_id DESC) AS rn, count(*) OVER (PARTITION BY patient_id) AS total_all FROM prescriptions) t
+@query("patient_history", sql("""SELECT t.patient_id, p.phone, t.rx_id, CAST(t.created_at AS VARCHAR) AS created_at, coalesce(m.n_meds, 0) AS n_meds, coalesce(m.n_oral, 0) AS n_oral, coalesce(i.n, 0) AS n_interactions, coalesce(i.major, FALSE) AS has_major,
+    t.confidence < 0.5 AS needs_review, t.total_all AS total, t.total_all
+    FROM (SELECT *, count(*) OVER (PARTITION BY patient_id) AS total_all FROM prescriptions) t
     JOIN patients p ON p.patient_id = t.patient_id
     LEFT JOIN (SELECT rx_id, count(*) AS n_meds, count(*) FILTER (coalesce(route, 'oral') = 'oral') AS n_oral FROM medications GROUP BY 1) m ON m.rx_id = t.rx_id
-    LEFT JOIN (SELECT rx_id, count(*) AS n, bool_or(severity = 'major') AS major FROM rx_found GROUP BY 1) i ON i.rx_id = t.rx_id WHERE t.rn <= 50""", rx_pairs=_RX_PAIRS, rx_found=_RX_FOUND))
+    LEFT JOIN (SELECT rx_id, count(*) AS n, bool_or(severity = 'major') AS major FROM rx_found GROUP BY 1) i ON i.rx_id = t.rx_id""", rx_pairs=_RX_PAIRS, rx_found=_RX_FOUND))
 def patient_history(spark, sf):
     med = B.medication_lines(spark, sf)
     found = I.interactions(MED.distinct_inns(med, "rx_id"), "rx_id")
-    return H.patient_history(B.patients(spark, sf), B.prescriptions(spark, sf), med, found)
+    out = H.patient_history(B.patients(spark, sf), B.prescriptions(spark, sf), med, found)
+    return out.withColumn("created_at", day("created_at"))
 
 
-@query("history_medications", sql("""SELECT m.patient_id, m.rx_id, m.line_no, t.rn, m.inn, coalesce(m.route, 'oral') AS route, m.dosage_value FROM medications m
-    JOIN (SELECT rx_id, row_number() OVER (PARTITION BY patient_id ORDER BY created_at DESC, rx_id DESC) AS rn FROM prescriptions) t ON t.rx_id = m.rx_id WHERE t.rn <= 50""").replace("m.line_no, ", ""))
+@query("history_medications", sql("""SELECT m.patient_id, m.rx_id, m.inn, coalesce(m.route, 'oral') AS route, m.dosage_value FROM medications m JOIN prescriptions t ON t.rx_id = m.rx_id"""))
 def history_medications(spark, sf):
-    recent = MED.recent_prescriptions(B.prescriptions(spark, sf))
-    return H.history_medications(recent, B.medication_lines(spark, sf)).select("patient_id", "rx_id", "rn", "inn", "route", "dosage_value")
+    return H.history_medications(B.prescriptions(spark, sf), B.medication_lines(spark, sf)).select("patient_id", "rx_id", "inn", "route", "dosage_value")
 
 
 # --- events, audit, constraints -----------------------------------------------

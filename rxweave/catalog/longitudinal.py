@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rxweave import bindings as B
 from rxweave.catalog.base import query
-from rxweave.catalog.core import active_drugs, day, latest, rule_table
+from rxweave.catalog.core import active_drugs, day, keyed_alerts, latest, rule_table
 from rxweave.catalog.sqlbind import AS_OF, at, group_case, sql
 from rxweave.functions import names as N
 from rxweave.operators import doctors as D
@@ -352,28 +352,34 @@ def resolution_feed(spark, sf):
     return queue, queue.select("item_id", "patient_id", reason.alias("override_reason"))
 
 
-_ITEM_DRUGS = """SELECT DISTINCT q.item_id, q.patient_id, m.inn FROM review_queue q JOIN medications m ON m.rx_id = q.item_id WHERE NOT q.resolved"""
+_ITEM_DRUGS = """SELECT DISTINCT q.item_id, q.patient_id, m.inn FROM review_queue q JOIN medications m ON m.rx_id = q.item_id WHERE NOT q.resolved AND q.item_type = 'prescription'"""
 _ITEM_ALL = "SELECT item_id, inn FROM item_drugs UNION SELECT i.item_id, a.inn FROM item_drugs i JOIN active_drugs a ON a.patient_id = i.patient_id"
 _ITEM_PAIRS = "SELECT a.item_id, a.inn AS drug_1, b.inn AS drug_2 FROM item_all a JOIN item_all b ON a.item_id = b.item_id AND a.inn < b.inn"
 _ITEM_FOUND = """SELECT p.item_id, r.severity FROM item_pairs p JOIN pair_rules r ON p.drug_1 = r.drug_1 AND p.drug_2 = r.drug_2
     UNION ALL SELECT p.item_id, r.severity FROM item_pairs p JOIN class_rules r ON p.drug_1 = r.drug_1 AND p.drug_2 = r.drug_2"""
 
 
-@query("apply_resolutions", sql("""SELECT q.item_id, q.patient_id, coalesce(f.major, FALSE) AS has_major, coalesce(f.n, 0) AS n_interactions,
-    CASE WHEN coalesce(f.major, FALSE) AND q.item_id % 3 <> 0 THEN 'rejected' ELSE 'resolved' END AS outcome,
-    CASE WHEN coalesce(f.major, FALSE) THEN CASE WHEN q.item_id % 3 = 0 THEN 'override_safety' END ELSE 'resolve_rx' END AS audit_action
-    FROM review_queue q LEFT JOIN (SELECT item_id, bool_or(severity = 'major') AS major, count(*) AS n FROM item_found GROUP BY 1) f ON f.item_id = q.item_id WHERE NOT q.resolved""",
-    item_drugs=_ITEM_DRUGS, item_all=_ITEM_ALL, item_pairs=_ITEM_PAIRS, item_found=_ITEM_FOUND))
+_ITEM_STATE = """SELECT q.item_id, q.patient_id, q.facility_id, coalesce(f.major, FALSE) AS has_major, coalesce(a.critical, FALSE) AS has_critical, coalesce(f.n, 0) AS n_interactions, coalesce(a.n, 0) AS n_alerts,
+    coalesce(f.major, FALSE) OR coalesce(a.critical, FALSE) AS needs, q.item_id % 3 <> 0 AS blank FROM review_queue q
+    LEFT JOIN (SELECT item_id, bool_or(severity = 'major') AS major, count(*) AS n FROM item_found GROUP BY 1) f ON f.item_id = q.item_id
+    LEFT JOIN alerts_of a ON a.item_id = q.item_id WHERE NOT q.resolved AND q.item_type = 'prescription'"""
+
+
+_RESOLVED = sql("""SELECT item_id, patient_id, facility_id, has_major, has_critical, n_interactions, n_alerts, CASE WHEN needs AND blank THEN 'rejected' ELSE 'resolved' END AS outcome,
+    CASE WHEN NOT needs THEN 'resolve_rx' WHEN NOT blank THEN 'override_safety' END AS audit_action, needs AND NOT blank AS needs_admin_oversight,
+    CASE WHEN NOT (needs AND blank) THEN 1.0::DOUBLE END AS confidence FROM item_state""",
+    item_drugs=_ITEM_DRUGS, drugs="SELECT * FROM item_drugs WHERE patient_id IS NOT NULL", **keyed_alerts("item_id"), item_all=_ITEM_ALL, item_pairs=_ITEM_PAIRS, item_found=_ITEM_FOUND, item_state=_ITEM_STATE)
+
+
+@query("apply_resolutions", f"SELECT * EXCLUDE (facility_id, confidence) FROM ({_RESOLVED})")
 def apply_resolutions(spark, sf):
-    """Without lab rules, so that the check can follow the interactions alone."""
     queue, feed = resolution_feed(spark, sf)
     lines = B.medication_lines(spark, sf).select(F.col("rx_id").alias("item_id"), "inn")
-    no_labs = latest(spark, sf).where("patient_id < 0")
-    out = M.apply_resolutions(feed, lines, queue, active_drugs(spark, sf), no_labs, rule_table(spark, sf))
-    return out.select("item_id", "patient_id", "has_major", "n_interactions", "outcome", "audit_action")
+    out = M.apply_resolutions(feed, lines, queue, active_drugs(spark, sf), latest(spark, sf), rule_table(spark, sf))
+    return out.select("item_id", "patient_id", "has_major", "has_critical", "n_interactions", "n_alerts", "outcome", "audit_action", "needs_admin_oversight")
 
 
-@query("apply_resolutions_labs")
+@query("apply_resolutions_labs", _RESOLVED)
 def apply_resolutions_labs(spark, sf):
     queue, feed = resolution_feed(spark, sf)
     lines = B.medication_lines(spark, sf).select(F.col("rx_id").alias("item_id"), "inn")

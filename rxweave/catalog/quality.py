@@ -14,7 +14,7 @@ from rxweave.operators import medications as MED
 from rxweave.operators import review as R
 from rxweave.plans import corpus as C
 from rxweave.plans import extraction as X
-from rxweave.session import cut_lineage, shared_folder, spread
+from rxweave.session import cut_lineage, shared_folder, dealt
 from rxweave.sources import readers, writers
 from rxweave.streaming import jobs
 
@@ -136,7 +136,7 @@ def confidence_corr(spark, sf):
     return rounded(EV.confidence_correlation(counts(spark, sf)), "r")
 
 
-@query("word_accuracy", "SELECT count(*) AS n_words, count(*) FILTER (p_partkey % 4 < 2) / count(*) AS word_accuracy, count(*) FILTER (p_partkey % 3 = 0) / count(*) AS inn_accuracy FROM (SELECT * FROM part ORDER BY lpad(CAST(p_partkey AS VARCHAR), 12, '0') LIMIT 100)")
+@query("word_accuracy", "SELECT count(*) AS n_words, count(*) FILTER (p_partkey % 4 < 2) / count(*) AS word_accuracy, count(*) FILTER (p_partkey % 3 = 0) / count(*) AS inn_accuracy FROM part")
 def word_accuracy(spark, sf):
     return EV.word_accuracy(EV.with_ratio(B.labelled_words(spark, sf), "read", "word"))
 
@@ -209,7 +209,7 @@ def unlabeled_documents(spark, sf):
 
 @query("build_training_corpus", sql(f"SELECT 'rx' || doc_id AS stem, 'images/' || {_FILE.replace('o_orderkey', 'doc_id')} AS file_name, target AS ground_truth FROM ann_json WHERE doc_id % 4 < 3", ann=_ANN, ann_json=ANN_JSON))
 def build_training_corpus(spark, sf):
-    return C.build_training_corpus(spread(_stems(spark, sf)), _files(spark, sf))
+    return C.build_training_corpus(dealt(_stems(spark, sf)), _files(spark, sf))
 
 
 # --- files: write what Spark derived from the tables, then scan it ------------------------

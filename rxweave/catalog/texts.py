@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rxweave import bindings as B
 from rxweave.catalog.base import query
-from rxweave.catalog.core import latest, rule_table
+from rxweave.catalog.core import keyed_alerts, latest, rule_table
 from rxweave.catalog.longitudinal import doctors_of
 from rxweave.catalog.sqlbind import at, items, sql
 from rxweave.functions import annotations as A
@@ -26,7 +26,7 @@ from rxweave.operators import review as R
 from rxweave.plans import extraction as X
 from rxweave.plans import processing as PR
 from rxweave.refdata import tables
-from rxweave.session import spread
+from rxweave.session import dealt
 
 # --- one line at a time ---------------------------------------------------------
 
@@ -43,7 +43,7 @@ def by_line(*values) -> str:
 
 
 def lines(spark, sf):
-    return spread(B.medication_texts(spark, sf).select("rx_id", "line_no", "line"))
+    return dealt(B.medication_texts(spark, sf).select("rx_id", "line_no", "line"))
 
 
 def fixed(spark, sf):
@@ -121,7 +121,7 @@ DOCS = dict(rx_texts=_RX, rx_scored=_RXC)
 
 
 def extracted(spark, sf):
-    return X.extract_prescriptions(spread(B.rx_documents(spark, sf)))
+    return X.extract_prescriptions(dealt(B.rx_documents(spark, sf)))
 
 
 @query("header_fields", sql("SELECT doc_id, doctor_reg, patient_age, prescription_date, diagnosis FROM rx_texts", **DOCS))
@@ -151,7 +151,7 @@ LABS = dict(lab_texts=_LAB, lab_scored=_LABC)
 
 
 def lab_extracted(spark, sf):
-    return X.extract_labs(spread(B.lab_documents(spark, sf)))
+    return X.extract_labs(dealt(B.lab_documents(spark, sf)))
 
 
 @query("lab_name", sql("SELECT doc_id, lab_name FROM lab_texts", **LABS))
@@ -293,7 +293,7 @@ def annotation_reg(spark, sf):
 @query("annotation_meds", sql("""SELECT doc_id, 0 AS pos, b1 AS drug_name, dose AS dosage_value, unit AS dosage_unit, 'As needed' AS frequency, 0 AS freq_per_day FROM ann
     UNION ALL SELECT doc_id, 1, b2, dose, 'mg', 'twice daily', 2 FROM ann UNION ALL SELECT doc_id, 2, b3, NULL, NULL, 'Before meals', NULL FROM ann WHERE k % 2 = 0""", ann=_ANN))
 def annotation_meds(spark, sf):
-    meds = spread(B.annotations(spark, sf)).select("doc_id", F.posexplode_outer(A.annotation_medications(F.col("ground_truth"))).alias("pos", "m"))
+    meds = dealt(B.annotations(spark, sf)).select("doc_id", F.posexplode_outer(A.annotation_medications(F.col("ground_truth"))).alias("pos", "m"))
     return meds.where(F.col("pos").isNotNull()).select("doc_id", "pos", "m.drug_name", "m.dosage_value", "m.dosage_unit", "m.frequency", "m.freq_per_day")
 
 
@@ -319,7 +319,7 @@ ANN_JSON = f"""SELECT *, '{{"clinic_name":"Care Clinic","doctor_name":"' || doct
 @query("compact_struct", sql("SELECT doc_id, target FROM ann_json", ann=_ANN, ann_json=ANN_JSON))
 def compact_struct(spark, sf):
     record = A.sorted_record(F.col("record"))
-    rows = spread(B.annotations(spark, sf)).select("doc_id", A.annotation_record(F.col("ground_truth")).alias("record"))
+    rows = dealt(B.annotations(spark, sf)).select("doc_id", A.annotation_record(F.col("ground_truth")).alias("record"))
     return rows.select("doc_id", A.compact_json(record).alias("target"))
 
 
@@ -329,7 +329,7 @@ _EL = """'<s_el><s_dosage_unit>' || unit || '</s_dosage_unit><s_dosage_value>' |
 
 @query("target_sequence", sql(f"""SELECT doc_id, '<s_rx><s_clinic_name>Care Clinic</s_clinic_name><s_doctor_name>' || doctor_name || '</s_doctor_name>' || coalesce('<s_doctor_reg>' || doctor_reg || '</s_doctor_reg>', '') || '<s_medications>' || {_EL} || '</s_medications><s_patient_age>' || patient_age || '</s_patient_age><s_patient_name>' || patient_name || '</s_patient_name><s_prescription_date>' || prescription_date || '</s_prescription_date></s>' AS target FROM ann""", ann=_ANN))
 def target_sequence(spark, sf):
-    rows = spread(B.annotations(spark, sf)).select("doc_id", A.annotation_record(F.col("ground_truth")).alias("record"))
+    rows = dealt(B.annotations(spark, sf)).select("doc_id", A.annotation_record(F.col("ground_truth")).alias("record"))
     return rows.select("doc_id", A.target_sequence(F.col("record")).alias("target"))
 
 
@@ -413,7 +413,7 @@ def brand_table(spark):
 
 def processed(spark, sf):
     return PR.process_prescriptions(
-        spread(B.rx_documents(spark, sf)), brand_table(spark), B.prescriptions(spark, sf), B.medication_lines(spark, sf), latest(spark, sf), rule_table(spark, sf), B.AS_OF_RX)
+        dealt(B.rx_documents(spark, sf)), brand_table(spark), B.prescriptions(spark, sf), B.medication_lines(spark, sf), latest(spark, sf), rule_table(spark, sf), B.AS_OF_RX)
 
 
 _DOC_DRUGS = f"SELECT doc_id, patient_id, {at(B.CATALOG, 'k')} AS inn FROM rx_texts WHERE m1 = 1 UNION SELECT doc_id, patient_id, {at(B.CATALOG, 'k + 1')} FROM rx_texts WHERE m2 = 1"
@@ -421,19 +421,25 @@ _DOC_ALL = "SELECT doc_id, inn FROM doc_drugs UNION SELECT d.doc_id, a.inn FROM
 _DOC_FOUND = """SELECT a.doc_id, r.severity FROM doc_all a JOIN doc_all b ON a.doc_id = b.doc_id AND a.inn < b.inn JOIN (SELECT * FROM pair_rules UNION ALL SELECT * FROM class_rules) r ON r.drug_1 = a.inn AND r.drug_2 = b.inn"""
 
 
-@query("process_prescriptions", sql("""SELECT s.doc_id, s.patient_id, m1 + m2 AS n_meds, confidence, confidence < 0.5 AS needs_review, coalesce(f.n, 0) AS n_interactions, coalesce(f.major, FALSE) AS has_major FROM rx_scored s
-    LEFT JOIN (SELECT doc_id, count(*) AS n, bool_or(severity = 'major') AS major FROM doc_found GROUP BY 1) f ON f.doc_id = s.doc_id""", **DOCS, doc_drugs=_DOC_DRUGS, doc_all=_DOC_ALL, doc_found=_DOC_FOUND))
+_SUMMARY = sql("""SELECT s.doc_id, s.patient_id, m1 + m2 AS n_meds, confidence, confidence < 0.5 AS needs_review, coalesce(f.n, 0) AS n_interactions, coalesce(f.major, FALSE) AS has_major,
+    coalesce(a.n, 0) AS n_alerts, coalesce(a.critical, FALSE) AS has_critical,
+    CASE WHEN confidence < 0.5 THEN 'Confidence ' || printf('%.4f', confidence) || ' < threshold 0.5 (extractor=tesseract_ner_fallback)' END AS reason FROM rx_scored s LEFT JOIN alerts_of a ON a.doc_id = s.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) AS n, bool_or(severity = 'major') AS major FROM doc_found GROUP BY 1) f ON f.doc_id = s.doc_id""",
+    **DOCS, doc_drugs=_DOC_DRUGS, drugs="SELECT * FROM doc_drugs WHERE patient_id IS NOT NULL", **keyed_alerts("doc_id"), doc_all=_DOC_ALL, doc_found=_DOC_FOUND)
+
+
+@query("process_prescriptions", f"SELECT * EXCLUDE (reason) FROM ({_SUMMARY})")
 def process_prescriptions(spark, sf):
-    return processed(spark, sf)["summary"].select("doc_id", "patient_id", "n_meds", "confidence", "needs_review", "n_interactions", "has_major")
+    return processed(spark, sf)["summary"].select("doc_id", "patient_id", "n_meds", "confidence", "needs_review", "n_interactions", "has_major", "n_alerts", "has_critical")
 
 
-@query("process_prescriptions_alerts")
+@query("process_prescriptions_alerts", _SUMMARY)
 def process_prescriptions_alerts(spark, sf):
     return processed(spark, sf)["summary"]
 
 
 def accepted_medications(spark, sf):
-    _, rows = PR.normalized_medications(spread(B.rx_documents(spark, sf)), brand_table(spark))
+    _, rows = PR.normalized_medications(dealt(B.rx_documents(spark, sf)), brand_table(spark))
     return rows.withColumn("doctor_id", F.col("doc_id") % 10)
 
 

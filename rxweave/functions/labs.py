@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rxweave.functions.text import bind, drop, first, grab, has, lines
+from rxweave.functions.text import bind, drop, first, grab, has, lines, plain_digits
 from rxweave.refdata import analytes as A
 
 
@@ -28,7 +28,7 @@ def lab_date(text: Column, line_array: Column) -> Column:
 def lab_value(line: Column) -> Column:
     """First number that is not part of a date, a range or a threshold."""
     rest = drop(drop(drop(line, A.LAB_DATE_PATTERN), A.RANGE_PATTERN), A.THRESHOLD_PATTERN)
-    return grab(rest, A.VALUE_PATTERN).cast("double")
+    return plain_digits(grab(rest, A.VALUE_PATTERN)).try_cast("double")
 
 
 def lab_flag(value: Column, low_below: Column, high_above: Column, high_from: Column) -> Column:

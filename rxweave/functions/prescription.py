@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rxweave.functions.text import bind, drop, first, first_case, grab, has, lines, lookup, regex, strip
+from rxweave.functions.text import bind, drop, first, first_case, grab, has, lines, lookup, plain_digits, regex, strip
 from rxweave.refdata import prescribing as P
 
 EDGE_NOISE = r"[\s\-–•*#.:,;()]+"
@@ -44,7 +44,7 @@ NUMBER = r"\b(\d+(?:\.\d+)?)\b"
 def dosage_value(text: Column, timed: Column | None = None) -> Column:
     """Number with a unit, else any number when a frequency is present."""
     timed = has_frequency(text) if timed is None else timed
-    return F.coalesce(grab(text, P.DOSAGE_PATTERN, 1), F.when(timed, grab(text, NUMBER))).try_cast("double")
+    return plain_digits(F.coalesce(grab(text, P.DOSAGE_PATTERN, 1), F.when(timed, grab(text, NUMBER)))).try_cast("double")
 
 
 def dosage_unit(text: Column, timed: Column | None = None) -> Column:
@@ -56,7 +56,9 @@ def dosage_unit(text: Column, timed: Column | None = None) -> Column:
 
 
 def duration_days(text: Column) -> Column:
-    return F.coalesce(*[grab(text, p).try_cast("int") * F.lit(days) for p, days in P.DURATIONS])
+    """Days of the first duration found; NULL for one beyond ``P.LONGEST_DURATION``, which no date can follow."""
+    days = F.coalesce(*[F.try_multiply(plain_digits(grab(text, p)).try_cast("long"), F.lit(days).cast("long")) for p, days in P.DURATIONS])
+    return F.when(days <= P.LONGEST_DURATION, days.cast("int"))
 
 
 def route(text: Column) -> Column:

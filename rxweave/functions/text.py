@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: All decimal digits of the basic plane but 0-9, and their values.
+DIGITS = tuple("".join(x) for x in zip(*((chr(c), str(unicodedata.decimal(chr(c)))) for c in range(0x80, 0x10000) if unicodedata.decimal(chr(c), None) is not None)))
+
 WHITESPACE = " \t\n\r\x0b\x0c"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -37,6 +42,11 @@ def lines(text: Column, pattern: str = LINE_BREAK) -> Column:
     return F.filter(F.transform(F.split(text, pattern), strip), lambda line: line != "")
 
 
+def plain_digits(text: Column) -> Column:
+    """Decimal digits of other scripts as 0-9, so that what a digit class matches can be read as a number."""
+    return F.translate(text, DIGITS[0], DIGITS[1])
+
+
 def first(array: Column) -> Column:
     """First element, NULL for an empty array."""
     return F.try_element_at(array, F.lit(1))

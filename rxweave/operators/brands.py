@@ -6,6 +6,11 @@ cut-off. A ratio r of two names of length n and m leaves at most
 than that number, at least one piece occurs unchanged in the name, close to
 its own position. So names meet brands on (brand length, piece number, piece
 text): an equi-join without loss, instead of every name against every brand.
+
+A resolved name needs a brand within two edits as well. Of a brand in three
+pieces one is then unchanged and moved by two characters at most, a join with
+75 rows per name whatever its length. Only names that have such a brand look
+for all brands that reach the cut-off, to settle the order of the best three.
 """
 
 from __future__ import annotations
@@ -50,10 +55,11 @@ def brand_pieces(brands: DataFrame) -> DataFrame:
     return pieces.select("brand_name", "m", "i", F.substring("brand_name", start + 1, end - start).alias("piece"))
 
 
-def name_pieces(names: DataFrame) -> DataFrame:
+def name_pieces(names: DataFrame, brands: DataFrame) -> DataFrame:
     n = F.length("name")
     probes = names.where(n >= P.FUZZY_MIN_LENGTH).select("name", n.alias("n"))
     lengths = probes.select("*", F.explode(F.sequence(_shortest_partner(F.col("n")), _longest_partner(F.col("n")))).alias("m"))
+    lengths = lengths.join(brands.select(F.length("brand_name").alias("m")).distinct(), "m")
     cut = lengths.withColumn("k", _piece_count(F.col("m"))).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
     start, end = _start(F.col("m"), F.col("k"), F.col("i")), _start(F.col("m"), F.col("k"), F.col("i") + 1)
     reach = _budget(F.col("n"), F.col("m"))
@@ -65,13 +71,28 @@ def name_pieces(names: DataFrame) -> DataFrame:
 
 def fuzzy_candidates(names: DataFrame, brands: DataFrame) -> DataFrame:
     """Name and brand pairs whose ratio reaches the cut-off."""
-    pairs = name_pieces(names).join(brand_pieces(brands), ["m", "i", "piece"]).select("name", "brand_name").distinct()
+    pairs = name_pieces(names, brands).join(brand_pieces(brands), ["m", "i", "piece"]).select("name", "brand_name").distinct()
     budget = _budget(F.length("name"), F.length("brand_name"))
     close = pairs.where(F.levenshtein("name", "brand_name") <= budget)
     scored = close.withColumn("ratio", sequence_ratio(F.col("brand_name"), F.col("name")))
     return scored.where(F.col("ratio") >= P.FUZZY_RATIO)
 
 
+def near_brands(names: DataFrame, brands: DataFrame) -> DataFrame:
+    """Name and brand pairs within ``P.FUZZY_EDITS`` edits, for names and brands of a length that can reach the cut-off."""
+    edits, k = P.FUZZY_EDITS, P.FUZZY_EDITS + 1
+    n, m, i = F.length("name"), F.length("brand_name"), F.col("i")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")
+    cut = brands.where(m >= k).select("brand_name", m.alias("m"), numbers)
+    start, end = _start(F.col("m"), F.lit(k), i), _start(F.col("m"), F.lit(k), i + 1)
+    whole = cut.select("brand_name", "m", "i", F.substring("brand_name", start + 1, end - start).alias("piece"))
+    probes = names.where(n >= P.FUZZY_MIN_LENGTH).select("name", F.explode(F.sequence(F.greatest(F.lit(k), n - edits), n + edits)).alias("m")).select("*", numbers)
+    moved = probes.select("*", F.explode(F.sequence(start - edits, start + edits)).alias("at")).where((F.col("at") >= 0) & (F.col("at") + end - start <= n))
+    pieces = moved.select("name", "m", "i", F.substring("name", F.col("at") + 1, end - start).alias("piece")).distinct()
+    pairs = pieces.join(whole, ["m", "i", "piece"]).select("name", "brand_name").distinct()
+    return pairs.where(F.levenshtein("name", "brand_name", edits) >= 0)
+
+
 def fuzzy_top(names: DataFrame, brands: DataFrame) -> DataFrame:
     """Up to three most similar brands per name, with their edit distance."""
     order = Window.partitionBy("name").orderBy(F.col("ratio").desc(), F.col("brand_name").desc())
@@ -81,7 +102,8 @@ def fuzzy_top(names: DataFrame, brands: DataFrame) -> DataFrame:
 
 def fuzzy_lookup(names: DataFrame, brands: DataFrame) -> DataFrame:
     """Best brand per name: of the top three, the one with fewest edits."""
-    best = fuzzy_top(names, brands).where(F.col("edits") <= P.FUZZY_EDITS)
+    hopeful = names.join(near_brands(names, brands).select("name").distinct(), "name", "left_semi")
+    best = fuzzy_top(hopeful, brands).where(F.col("edits") <= P.FUZZY_EDITS)
     chosen = best.groupBy("name").agg(F.min_by(F.struct("brand_name", "edits"), F.struct("edits", "rank")).alias("b"))
     return chosen.select("name", "b.*").join(brands, "brand_name").select("name", "brand_name", "edits", "inn")
 

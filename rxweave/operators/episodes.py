@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from rxweave.functions.names import fdc_components
 from rxweave.refdata import signals as S
 from rxweave.refdata import tables
+from rxweave.session import cut_lineage
 
 LINE_FIELDS = ["dosage_value", "dosage_unit", "frequency", "duration_days", "doctor_id", "raw_drug_name"]
 
@@ -118,24 +119,19 @@ def medication_episodes(drugs: DataFrame) -> DataFrame:
     return scheduled_episodes(episode_days(drugs)).unionByName(prn)
 
 
-def _id_bucket(drugs: DataFrame) -> Column:
-    """A coarse part of the prescription id that keeps the order of the ids:
-    their first characters, or blocks of a million for numbers."""
-    if dict(drugs.dtypes)["rx_id"] == "string":
-        return F.substring("rx_id", 1, 2)
-    return F.shiftright("rx_id", 20)
-
-
 def episode_lines(drugs: DataFrame, days: DataFrame) -> DataFrame:
     """Prescriptions with their episode, refill number and previous dose.
 
     Lines of a day are ordered by prescription id. A day may be very large, so
     it is numbered in id buckets: each bucket knows how many lines and which
-    dose came before it, and only rows within a bucket are ordered.
+    dose came before it, and only rows within a bucket are ordered. A bucket is
+    what a range partitioning by day and id puts into one partition; it takes
+    its bounds from the data, for ids of any type. It is written once, so that
+    all uses of a bucket agree.
     """
     keys = ["patient_id", "inn", "rx_date"]
     dose = F.struct("dosage_value", "dosage_unit")
-    lines = drugs.withColumn("_bucket", _id_bucket(drugs))
+    lines = cut_lineage(drugs.sparkSession, drugs.repartitionByRange(*keys, "rx_id").withColumn("_bucket", F.spark_partition_id()), "days")
     over_day = Window.partitionBy(*keys).orderBy("_bucket")
     buckets = lines.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.max_by(dose, "rx_id").alias("_last")).select(
         *keys, "_bucket",

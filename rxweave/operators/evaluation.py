@@ -228,13 +228,13 @@ def confidence_correlation(counts: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.covar_pop("x", "y"), spread), F.lit(0.0)).alias("r"))
 
 
-def word_accuracy(words: DataFrame, limit: int = C.WORD_LIMIT) -> DataFrame:
-    """Reading and INN accuracy over the first labelled words.
+def word_accuracy(words: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reading and INN accuracy over the labelled words, or over the first ``limit`` by image.
 
     Columns: image, word (gold brand), generic, read (text as read), inn, ratio.
     """
     from rxweave.functions.similarity import tidy
-    rows = words.orderBy("image").limit(limit)
+    rows = words if limit is None else words.orderBy("image").limit(limit)
     read, word, inn, generic = (tidy(F.col(c)) for c in ("read", "word", "inn", "generic"))
     hit = read.contains(word) | (F.col("ratio") >= C.SET_RATIO)
     same = inn.contains(generic) | generic.contains(inn)

@@ -17,16 +17,16 @@ from rxweave.refdata import prescribing as P
 def history_medications(recent: DataFrame, med: DataFrame) -> DataFrame:
     """Lines of the listed prescriptions with defaults filled in."""
     name = F.col("raw_drug_name")
-    return med.join(recent.select("rx_id", "patient_id", "rn"), "rx_id").select(
-        "patient_id", "rx_id", "rn", name.alias("raw_drug_name"), F.coalesce("inn", name).alias("inn"),
+    return med.join(recent.select("rx_id", "patient_id"), "rx_id").select(
+        "patient_id", "rx_id", name.alias("raw_drug_name"), F.coalesce("inn", name).alias("inn"),
         F.coalesce("inn", name).alias("standard_name"), F.coalesce("route", F.lit(P.DEFAULT_ROUTE)).alias("route"),
         "dosage_value", "dosage_unit", "frequency", "freq_per_day", "duration_days", "is_active")
 
 
-def patient_history(patients: DataFrame, rx: DataFrame, med: DataFrame, found: DataFrame) -> DataFrame:
-    """The newest prescriptions of each patient with their counts. Medication
+def patient_history(patients: DataFrame, rx: DataFrame, med: DataFrame, found: DataFrame, limit: int | None = None) -> DataFrame:
+    """The prescriptions of each patient, or the newest ``limit``, with their counts. Medication
     lines and interactions are counted per prescription before they meet it."""
-    recent = recent_prescriptions(rx)
+    recent = rx if limit is None else recent_prescriptions(rx, limit)
     n_med = history_medications(recent, med).groupBy("rx_id").agg(
         F.count("*").alias("n_meds"), F.count_if(F.col("route") == P.DEFAULT_ROUTE).alias("n_oral"))
     n_int = found.groupBy("rx_id").agg(F.count("*").alias("n_interactions"), F.bool_or(F.col("severity") == "major").alias("major"))
@@ -36,10 +36,10 @@ def patient_history(patients: DataFrame, rx: DataFrame, med: DataFrame, found: D
         recent.join(n_med, "rx_id", "left").join(n_int, "rx_id", "left")
         .join(totals, "patient_id").join(patients.select("patient_id", "phone"), "patient_id")
         .select(
-            "patient_id", "phone", "rx_id", "rn", F.coalesce("n_meds", zero).alias("n_meds"), F.coalesce("n_oral", zero).alias("n_oral"),
+            "patient_id", "phone", "rx_id", "created_at", F.coalesce("n_meds", zero).alias("n_meds"), F.coalesce("n_oral", zero).alias("n_oral"),
             F.coalesce("n_interactions", zero).alias("n_interactions"), F.coalesce("major", F.lit(False)).alias("has_major"),
             (F.col("confidence") < P.REVIEW_THRESHOLD).alias("needs_review"),
-            F.least("total_all", F.lit(P.HISTORY_LIMIT)).alias("total"), "total_all"))
+            (F.col("total_all") if limit is None else F.least("total_all", F.lit(limit))).alias("total"), "total_all"))
 
 
 def episode_view(episodes: DataFrame) -> DataFrame:

@@ -110,22 +110,24 @@ def document_interactions(new: DataFrame, active: DataFrame, key: str = "doc_id"
     return found.withColumn("severity_rank", severity_rank(F.col("severity")))
 
 
-def label_rules(labels: DataFrame, inns: DataFrame) -> DataFrame:
+def label_rules(labels: DataFrame, inns: DataFrame, snippet: int = I.LABEL_SNIPPET_CHARS) -> DataFrame:
     """Pairs (a < b) where the label text of a names b.
 
-    Label words meet the first word of every INN in an equi-join; the whole
-    name is then checked in the text, so names of any length are found.
+    Label words meet the first word of every INN in an equi-join of names and
+    words alone; the text joins the pairs that are left, and the whole name is
+    looked for in it. ``description`` is ``snippet`` characters of the label
+    around the first mention.
     """
     known = F.broadcast(tables.interaction_rules(labels.sparkSession).select("drug_1", "drug_2"))
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("label_text"), r"[^a-z0-9+]+", " "), F.lit(" "))
-    texts = labels.select(F.col("inn").alias("drug_1"), "label_text", padded.alias("_padded"))
-    words = texts.select("*", F.explode(F.array_distinct(F.split(F.trim("_padded"), " "))).alias("_word"))
+    words = labels.select(F.col("inn").alias("drug_1"), F.explode(F.array_distinct(F.split(F.trim(padded), " "))).alias("_word"))
     names = inns.select(F.col("inn").alias("drug_2")).distinct().withColumn("_word", F.element_at(F.split("drug_2", " "), 1))
-    hit = F.col("_padded").contains(F.concat(F.lit(" "), F.col("drug_2"), F.lit(" ")))
-    text = F.coalesce(F.nullif(F.substring("label_text", 1, I.LABEL_SNIPPET_CHARS), F.lit("")), F.lit(I.LABEL_DEFAULT_TEXT))
+    pairs = words.join(names, "_word").where(F.col("drug_1") < F.col("drug_2")).select("drug_1", "drug_2").distinct().join(known, ["drug_1", "drug_2"], "left_anti")
+    hit = padded.contains(F.concat(F.lit(" "), F.col("drug_2"), F.lit(" ")))
+    at = F.greatest(F.lit(1), F.position(F.element_at(F.split("drug_2", " "), F.lit(1)), F.lower("label_text")) - F.lit(snippet // 2))
+    text = F.coalesce(F.nullif(F.substr("label_text", at, F.lit(snippet)), F.lit("")), F.lit(I.LABEL_DEFAULT_TEXT))
     return (
-        words.join(names, "_word").where((F.col("drug_1") < F.col("drug_2")) & hit)
-        .join(known, ["drug_1", "drug_2"], "left_anti")
+        pairs.join(labels.select(F.col("inn").alias("drug_1"), "label_text"), "drug_1").where(hit)
         .groupBy("drug_1", "drug_2").agg(F.min(text).alias("description"))
         .select("drug_1", "drug_2", F.lit("unknown").alias("severity"), "description",
                 F.lit(None).cast("string").alias("management"), F.lit(I.LABEL_SOURCE).alias("source"))
@@ -136,9 +138,9 @@ def label_interactions(drugs: DataFrame, labels: DataFrame, key: str = "patient_
     """Label mentions among the drugs of a key. The label table is supplied by
     the user and may be large, so both joins are left to adaptive execution."""
     rules = label_rules(labels, drugs.select("inn").distinct())
-    left = drugs.join(rules, drugs["inn"] == rules["drug_1"]).select(key, *rules.columns)
+    left = drugs.join(rules.select("drug_1", "drug_2"), drugs["inn"] == F.col("drug_1")).select(key, "drug_1", "drug_2")
     right = drugs.select(F.col(key), F.col("inn").alias("drug_2"))
-    return left.join(right, [key, "drug_2"], "left_semi").select(key, *rules.columns)
+    return left.join(right, [key, "drug_2"], "left_semi").join(rules, ["drug_1", "drug_2"]).select(key, *rules.columns)
 
 
 def summary(drugs: DataFrame, found: DataFrame, key: str = "patient_id") -> DataFrame:

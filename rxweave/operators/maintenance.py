@@ -22,7 +22,7 @@ def apply_resolutions(feed: DataFrame, lines: DataFrame, queue: DataFrame, activ
     over new and current drugs, lab alerts over the new ones. A major
     interaction or critical alert without an override reason is rejected.
     """
-    todo = feed.join(queue.where(~F.col("resolved")).select("item_id", "facility_id"), "item_id")
+    todo = feed.join(queue.where(~F.col("resolved") & (F.col("item_type") == "prescription")).select("item_id", "facility_id"), "item_id")
     new = distinct_inns(lines.join(todo.select("item_id"), "item_id", "left_semi"), "item_id")
     owners = todo.select("item_id", "patient_id").where(F.col("patient_id").isNotNull())
     found = document_interactions(todo.select("item_id", "patient_id").join(new, "item_id"), active, "item_id")

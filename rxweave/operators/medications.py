@@ -33,7 +33,7 @@ def named_medications(lines: DataFrame, *names: str) -> DataFrame:
     return lines.where(name.isNotNull())
 
 
-def recent_prescriptions(rx: DataFrame, limit: int = P.HISTORY_LIMIT) -> DataFrame:
+def recent_prescriptions(rx: DataFrame, limit: int) -> DataFrame:
     """Newest prescriptions per patient.
 
     The rank filter lets Spark keep only ``limit`` rows per patient and input

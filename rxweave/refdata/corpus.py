@@ -50,4 +50,3 @@ RELAXED_DOSE_GAP = 0.1
 SET_RATIO = 0.8
 BEST_RATIO = 0.5
 PREFER_MARGIN = 0.20
-WORD_LIMIT = 100

@@ -59,6 +59,9 @@ DURATIONS = [
     (r"(?i)(\d+)\s*months?\b", 30),
 ]
 
+#: A longer duration, a century, is a misread number and counts as none.
+LONGEST_DURATION = 36_500
+
 # Line prefixes that name a drug form (with cut-off variants).
 FORM_PATTERN = (
     r"(?i)^\s*(?:tab\.?|cap\.?|syp\.?|syr\.?|inj\.?|susp\.?|oint\.?|drops?|cream|gel|patch|liq\.?|sol\.?|pwd\.?"

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+PARSE_CONF = "rxweave.parse.partitions"
 
 
 def build_session(app: str = "rxweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -25,7 +26,7 @@ def build_session(app: str = "rxweave", master: str | None = None, shuffle_parti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
+        builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
@@ -42,7 +43,20 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark, base)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def run_folder(spark: SparkSession, base: str) -> str:
+    """Where this application keeps its intermediate results below the shared folder."""
+    return f"{base.rstrip('/')}/rxweave-{spark.sparkContext.applicationId}"
+
+
+def remove_results(spark: SparkSession) -> None:
+    """Remove what this application wrote below the shared folder; for the end of a job, when no result is read any more."""
+    base = spark.conf.get(CHECKPOINT_CONF, None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark, base))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(spark: SparkSession, df, purpose: str):
@@ -53,12 +67,10 @@ def cut_lineage(spark: SparkSession, df, purpose: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df):
-    """Give CPU-heavy work on scanned files at least one partition per core.
+def dealt(df):
+    """Rows dealt out to as many partitions as the setting rxweave.parse.partitions says; unset, the scan stays as it is.
 
-    A small input may sit in a single file; a large one has more partitions
-    than cores already and is left as it is, without a shuffle. For plain scans
-    only: asking a plan with shuffles for its partitions would run it.
+    For CPU-heavy parsing of a table that lies in a single file.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    wanted = df.sparkSession.conf.get(PARSE_CONF, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -45,7 +45,7 @@ def test_episodes_of_a_hot_patient(spark):
 
 def test_history_of_a_hot_patient(spark):
     rx = hot_lines(spark, 300_000).select("rx_id", "patient_id", F.col("rx_date").alias("created_at"))
-    recent = MED.recent_prescriptions(rx)
+    recent = MED.recent_prescriptions(rx, 50)
     assert recent.groupBy("patient_id").count().agg(F.max("count")).first()[0] == 50
 
 
