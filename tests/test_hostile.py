@@ -55,14 +55,11 @@ def test_long_labels(spark):
     assert "Avoid with Zolpidem now" in rules[0].description and len(rules[0].description) == 500
 
 
-def test_results_are_removed_at_the_end(spark, tmp_path):
+def test_results_are_removed_at_the_end(spark, tmp_path, monkeypatch):
     from rxweave import session as S
 
-    before = spark.conf.get(S.CHECKPOINT_CONF, None)
+    monkeypatch.setattr(S, "CHECKPOINT_CONF", "rxweave.test.folder")
     spark.conf.set(S.CHECKPOINT_CONF, str(tmp_path))
-    try:
-        assert S.cut_lineage(spark, spark.range(3), "x").count() == 3 and list(tmp_path.iterdir())
-        S.remove_results(spark)
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.set(S.CHECKPOINT_CONF, before) if before else spark.conf.unset(S.CHECKPOINT_CONF)
+    assert S.cut_lineage(spark, spark.range(3), "x").count() == 3 and list(tmp_path.iterdir())
+    S.remove_results(spark)
+    assert not list(tmp_path.iterdir())
