@@ -54,7 +54,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     ends = np.cumsum(totals)
     left = ends[words.document] - np.arange(n)  # words of the text from here on
     value = np.zeros(n, np.uint64)
-    for t in range(SHINGLE):
+    for t in range(min(SHINGLE, n)):
         value[:n - t] += np.where(left[:n - t] > t, words.hash[t:] * ODD[t], np.uint64(0))
     starts = (left >= SHINGLE) | ((totals[words.document] < SHINGLE) & (left == totals[words.document]))
     document, value = words.document[starts], mixed(value[starts])

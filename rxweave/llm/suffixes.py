@@ -12,11 +12,12 @@ repeated strings. Digits are chosen so that little is shuffled:
 2. The second digit is the run as a whole: all bytes of its suffixes. Runs equal
    in both digits are equal suffix by suffix, so all but the first are repeats.
 3. Where one minimiser has several different runs, the first of each kind is
-   taken apart, and its suffixes are grouped by their full 100 bytes.
+   taken apart: its bytes, some 135, go to where those of the same minimiser go,
+   and its suffixes are grouped by their full 100 bytes.
 
 Digits are compared by hashes: 64 bits of the minimiser to group, with 64 more
 of the run, and 128 bits in the last pass. Each piece of text drops what it holds
-twice before the shuffle, so a passage in a third of all documents gives a row
+twice before the shuffle, so a passage in a third of all documents gives a record
 per piece. Order is (doc_id, null first, start); suffixes never cross documents.
 """
 
@@ -28,7 +29,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +46,7 @@ PIECE_BYTES = 2 << 20
 #: Bytes of text per bucket of the first two passes.
 BUCKET_BYTES = 16 << 20
 
-#: Stands for a null id; other ids are larger.
+#: Stands for a null id, and is taken for one; other ids are larger.
 NULL_ID = -(1 << 63)
 
 #: A record's start and number of suffixes in one number.
@@ -176,7 +177,7 @@ def _first_pass(n_buckets: int):
 
 def _second_pass(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: repeats of whole runs, and the first runs of grams that have several kinds, to be taken apart."""
-    out = []
+    out, bucket = [], int(frame["bucket"].iloc[0])
     for new, part in frame.groupby("new"):
         gram, whole, key, tie, run = (np.concatenate(x) for x in zip(*map(unpacked, part["records"])))
         if not new:
@@ -192,42 +193,63 @@ def _second_pass(frame: pd.DataFrame) -> pd.DataFrame:
         out.append((key[~kind], tie[~kind], run[~kind], np.zeros(int((~kind).sum()), bool)))
         out.append((key[apart], tie[apart], run[apart], np.ones(len(apart), bool)))
     key, tie, run, apart = (np.concatenate(x) for x in zip(*out))
-    return pd.DataFrame({"key": key, "tie": tie, "run": run, "apart": apart})
+    return pd.DataFrame({"key": key, "tie": tie, "run": run, "bucket": np.where(apart, bucket, -1)})
 
 
 def _taken_apart(batches):
-    """The suffixes of open runs with the hashes of their 100 bytes; ``sure`` for those that their piece has before."""
-    names = ["key", "tie", "start", "high", "low", "sure"]
+    """Per piece and bucket the open runs with their bytes."""
     for batch in batches:
         for piece in pieces(batch, 2, PIECE_BYTES):
-            key, tie = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            order = np.lexsort((tie, key))
-            texts, open_runs = piece.column(2).cast(pa.binary()).to_pylist(), piece.column(3).to_pylist()
-            data = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
-            offset = np.cumsum([0, *(len(texts[i]) for i in order)])
-            run = np.concatenate([np.sort(np.array(open_runs[i], np.int64)) for i in order])
-            text = np.repeat(np.arange(len(order)), [len(open_runs[i]) for i in order])
-            begin, count = run >> RUN_BITS, run & ((1 << RUN_BITS) - 1)
-            text = np.repeat(text, count)
-            start = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = start + offset[text]
-            high, low = Prefixes(data, 1).of(at, at + DEPTH), Prefixes(data, 2).of(at, at + DEPTH)
-            key, tie = key[order][text], tie[order][text]
-            sure = ~firsts(low, high)
-            same = ~firsts(start, tie, key)
-            sure &= ~same  # a repeated row is no repeat
-            columns = [pa.array(key), pa.array(tie), pa.array(start), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(sure)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            texts = piece.column(2).cast(pa.binary()).to_pylist()
+            held: dict[int, list] = {}
+            for key, tie, text, runs_of, buckets in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), texts, piece.column(3).to_pylist(), piece.column(4).to_pylist()):
+                for run, bucket in zip(runs_of, buckets):
+                    start, count = run >> RUN_BITS, run & ((1 << RUN_BITS) - 1)
+                    held.setdefault(bucket, []).append((key, tie, run, text[start:start + count - 1 + DEPTH]))
+            columns = [[], []]
+            for bucket, rows in held.items():
+                key, tie, run, data = zip(*rows)
+                columns[0].append(bucket)
+                columns[1].append(np.int64(len(rows)).tobytes() + zlib.compress(np.array([key, tie, run], "<i8").tobytes() + b"".join(data), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["bucket", "records"])
+
+
+def _third_pass(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: the suffixes of open runs whose 100 bytes come earlier in another one, again as runs."""
+    numbers, texts = [], []
+    for record in frame["records"]:
+        n, rest = int(np.frombuffer(record, np.int64, 1)[0]), zlib.decompress(record[8:])
+        numbers.append(np.frombuffer(rest, "<i8", 3 * n).reshape(3, n))
+        texts.append(np.frombuffer(rest, np.uint8, -1, 24 * n))
+    key, tie, run = np.concatenate(numbers, axis=1)
+    count = run & ((1 << RUN_BITS) - 1)
+    size = count - 1 + DEPTH
+    offset = np.cumsum(size) - size
+    order = np.lexsort((run, tie, key))
+    order = order[firsts(run[order], tie[order], key[order])]  # rows equal in id and text are one document
+    key, tie, run, count, offset = (x[order] for x in (key, tie, run, count, offset))
+    data = np.concatenate(texts)
+    record = np.repeat(np.arange(len(run)), count)
+    step = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
+    at = offset[record] + step
+    again = np.flatnonzero(~firsts(Prefixes(data, 1).of(at, at + DEPTH), Prefixes(data, 2).of(at, at + DEPTH)))
+    new = np.ones(len(again), bool)
+    new[1:] = (np.diff(again) > 1) | (record[again][1:] != record[again][:-1])
+    begin = np.flatnonzero(new)
+    first = again[begin]
+    length = np.diff(np.append(begin, len(again)))
+    which = record[first]
+    return pd.DataFrame({"key": key[which], "tie": tie[which], "run": ((run[which] >> RUN_BITS) + step[first]) << RUN_BITS | length})
 
 
 FIELDS = [field("n_bytes", "long"), field("n_removed", "long"), field("n_spans", "long"), field("kept_sha256", "string")]
 
 
-def removed_mask(size: int, whole: list | None, single: list | None) -> np.ndarray:
+def removed_mask(size: int, repeats: list) -> np.ndarray:
     """Which bytes of a text lie in a repeated suffix's 100 bytes."""
-    run = np.array(whole or [], np.int64)
-    begin = np.concatenate([run >> RUN_BITS, np.array(single or [], np.int64)])
-    end = np.concatenate([(run >> RUN_BITS) + (run & ((1 << RUN_BITS) - 1)) - 1, np.array(single or [], np.int64)]) + DEPTH
+    run = np.array(repeats, np.int64)
+    begin = run >> RUN_BITS
+    end = begin + (run & ((1 << RUN_BITS) - 1)) - 1 + DEPTH
     step = np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1)
     return np.cumsum(step[:size]) > 0
 
@@ -239,7 +261,7 @@ def _finished(kept_text: bool):
                 ids, texts, whole, single = (piece.column(i) for i in range(4))
                 out = []
                 for text, w, s in zip(texts.cast(pa.binary()).to_pylist(), whole.to_pylist(), single.to_pylist()):
-                    mask = removed_mask(len(text), w, s)
+                    mask = removed_mask(len(text), (w or []) + (s or []))
                     kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if mask.any() else text
                     spans = int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum())
                     out.append((len(text), int(mask.sum()), spans, kept if kept_text else sha256_hex(kept)))
@@ -259,18 +281,20 @@ def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes")).collect()[0]
-    tie = F.lit(0).cast("long") if size["n"] == size["ids"] else F.xxhash64("text")  # only repeated or null ids need it
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), tie.alias("tie"), "text")
+    unique = size["n"] == size["ids"]  # only repeated or null ids need a tie
+    tie, by = (F.lit(0).cast("long"), ["key"]) if unique else (F.xxhash64("text"), ["key", "tie"])
+    rows = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), tie.alias("tie"), "text")
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size["bytes"] or 0) / BUCKET_BYTES))
-    records = rows.select("key", "tie", "text").mapInArrow(_first_pass(n_buckets), "bucket long, new boolean, records binary")
-    found = cut_lineage(spark, records.groupBy("bucket").applyInPandas(_second_pass, "key long, tie long, run long, apart boolean"), "runs")
-    lists = found.groupBy("key", "tie").agg(F.collect_list(F.when(~F.col("apart"), F.col("run"))).alias("whole"), F.collect_list(F.when(F.col("apart"), F.col("run"))).alias("open"))
-    joined = rows.join(lists, ["key", "tie"], "left")
-    suffixes = joined.where("size(open) > 0").select("key", "tie", "text", "open").mapInArrow(_taken_apart, "key long, tie long, start long, high long, low long, sure boolean")
-    # known repeats are dealt out evenly; they need no rank
-    group = [F.when(~F.col("sure"), F.col(c)).otherwise(F.xxhash64("key", "tie", "start")).alias(c) for c in ("high", "low")]
-    ranked = suffixes.select("key", "tie", "start", "sure", *group).withColumn("rank", F.rank().over(Window.partitionBy("high", "low", "sure").orderBy("key", "tie", "start")))
-    single = ranked.where("sure OR rank > 1").groupBy("key", "tie").agg(F.collect_list("start").alias("single"))
-    full = joined.join(single, ["key", "tie"], "left").select("doc_id", "text", "whole", "single")
+    records = rows.mapInArrow(_first_pass(n_buckets), "bucket long, new boolean, records binary")
+    found = cut_lineage(spark, records.groupBy("bucket").applyInPandas(_second_pass, "key long, tie long, run long, bucket long"), "runs")
+    listed = F.collect_list(F.struct("run", "bucket"))
+    opened = found.where("bucket >= 0").groupBy(*by).agg(listed.alias("open"))
+    # both joins below read the same shuffle of the texts
+    apart = rows.hint("merge").join(opened, by).select("key", rows["tie"], "text", F.col("open.run").alias("runs"), F.col("open.bucket").alias("buckets"))
+    single = apart.mapInArrow(_taken_apart, "bucket long, records binary").groupBy("bucket").applyInPandas(_third_pass, "key long, tie long, run long")
+    single = single.groupBy(*by).agg(F.collect_list("run").alias("single"))
+    whole = found.where("bucket < 0").groupBy(*by).agg(F.collect_list("run").alias("whole"))
+    full = rows.hint("merge").join(whole, by, "left").join(single, by, "left")
+    full = full.select(F.nullif("key", F.lit(NULL_ID)).alias("doc_id"), "text", "whole", "single")
     fields = [T.StructField("doc_id", T.LongType()), *FIELDS[:3], field("kept", "binary") if kept_text else FIELDS[3]]
     return full.mapInArrow(_finished(kept_text), T.StructType(fields))
