@@ -413,6 +413,13 @@ def event_conformance(spark, sf):
     UNION ALL SELECT 'unique line', l_orderkey || '|' || l_linenumber, count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
     UNION ALL SELECT 'reaction type', CAST(patient_id AS VARCHAR), 1 FROM reactions WHERE reaction_type = 'unknown'
     UNION ALL SELECT 'unique phone', c_name, count(*) FROM customer GROUP BY c_name HAVING count(*) > 1
+    UNION ALL SELECT 'reaction severity', CAST(patient_id AS VARCHAR), 1 FROM reactions WHERE severity NOT IN ('mild', 'moderate', 'severe', 'life_threatening')
+    UNION ALL SELECT 'unique doctor', speciality, count(*) FROM doctors GROUP BY speciality HAVING count(*) > 1
+    UNION ALL SELECT 'unique signal', inn || '|' || condition_code, count(*) FROM signals GROUP BY inn, condition_code HAVING count(*) > 1
+    UNION ALL SELECT 'unique rule name', drug_inn, count(*) FROM rules GROUP BY drug_inn HAVING count(*) > 1
+    UNION ALL SELECT 'review action', CAST(patient_id AS VARCHAR), 1 FROM stored_conditions WHERE status NOT IN ('confirm', 'reject', 'resolve')
+    UNION ALL SELECT 'interaction severity', drug_1 || '|' || drug_2, 1 FROM pair_rules WHERE severity NOT IN ('major', 'moderate', 'minor', 'unknown')
+    UNION ALL SELECT 'alert severity', rule_name, 1 FROM rules WHERE severity NOT IN ('critical', 'warning', 'info')
     UNION ALL SELECT 'one open condition', patient_id || '|' || condition_code, count(*) FROM stored_conditions WHERE status IN ('probable', 'confirmed') GROUP BY patient_id, condition_code HAVING count(*) > 1"""))
 def constraint_audit(spark, sf):
     raised = B.prescriptions(spark, sf).withColumn("confidence", F.col("confidence") * 1.2)
@@ -422,6 +429,14 @@ def constraint_audit(spark, sf):
         M.duplicate_keys(B.medication_lines(spark, sf), "unique line", ["rx_id", "line_no"]),
         M.outside_values(B.reactions(spark, sf), "reaction type", "patient_id", "reaction_type", B.E.ALLOWED["reaction_type"]),
         M.duplicate_keys(B.patients(spark, sf), "unique phone", ["phone"]),
+        M.outside_values(B.reactions(spark, sf), "reaction severity", "patient_id", "severity", B.E.ALLOWED["reaction_severity"]),
+        # bound columns that break the rule, so that the check has violations to find
+        M.duplicate_keys(B.doctors(spark, sf), "unique doctor", ["speciality"]),
+        M.duplicate_keys(tables.condition_signals(spark), "unique signal", ["inn", "condition_code"]),
+        M.duplicate_keys(tables.baseline_rules(spark), "unique rule name", ["drug_inn"]),
+        M.outside_values(B.stored_conditions(spark, sf), "review action", "patient_id", "status", B.E.ALLOWED["review_action"]),
+        M.outside_values(tables.pair_rules(spark).withColumn("key", F.concat_ws("|", "drug_1", "drug_2")), "interaction severity", "key", "severity", B.E.ALLOWED["severity"]),
+        M.outside_values(tables.baseline_rules(spark), "alert severity", "rule_name", "severity", B.E.ALLOWED["alert_severity"]),
         M.duplicate_keys(B.stored_conditions(spark, sf), "one open condition", ["patient_id", "condition_code"], is_open))
 
 

@@ -117,14 +117,24 @@ def dosage_history(spark, sf):
     return history_of(spark, sf).select("patient_id", "inn", "episode_no", "rx_id", "dosage_value", "refill_number", "idempotency_key", day("recorded_date"))
 
 
+def discontinuation_feed(episodes):
+    return episodes.where((F.col("status") == "active") & (F.col("patient_id") % 5 == 0)).select(
+        "patient_id", "inn", "episode_no", F.lit("side effects").alias("stop_reason"), F.lit(None).cast("string").alias("switched_to_inn"))
+
+
 @query("discontinue_episodes", sql(f"""SELECT patient_id, inn, episode_no, CASE WHEN stop THEN 'discontinued' ELSE status END AS status, CAST(CASE WHEN stop THEN {AS_OF} ELSE actual_end_date END AS VARCHAR) AS actual_end_date,
     CASE WHEN stop THEN version + 1 ELSE version END AS version, CASE WHEN stop THEN 'side effects' END AS stop_reason
     FROM (SELECT *, status = 'active' AND patient_id % 5 = 0 AS stop FROM episodes WHERE dispensing_type = 'scheduled')"""))
 def discontinue_episodes(spark, sf):
     episodes = E.scheduled_episodes(E.episode_days(drugs_of(spark, sf)))
-    feed = episodes.where((F.col("status") == "active") & (F.col("patient_id") % 5 == 0)).select(
-        "patient_id", "inn", "episode_no", F.lit("side effects").alias("stop_reason"), F.lit(None).cast("string").alias("switched_to_inn"))
-    return E.discontinue(episodes, feed, B.AS_OF_RX).select("patient_id", "inn", "episode_no", "status", day("actual_end_date"), "version", "stop_reason")
+    return E.discontinue(episodes, discontinuation_feed(episodes), B.AS_OF_RX).select("patient_id", "inn", "episode_no", "status", day("actual_end_date"), "version", "stop_reason")
+
+
+@query("discontinued_events", sql("""SELECT patient_id, 'MEDICATION_DISCONTINUED' AS event_type, 1 AS payload_schema_version,
+    '{"inn":"' || inn || '","episode_id":' || episode_no || ',"stop_reason":"side effects","switched_to_inn":null}' AS payload FROM episodes WHERE dispensing_type = 'scheduled' AND status = 'active' AND patient_id % 5 = 0"""))
+def discontinued_events(spark, sf):
+    episodes = E.scheduled_episodes(E.episode_days(drugs_of(spark, sf)))
+    return E.discontinued_events(episodes, discontinuation_feed(episodes))
 
 
 @query("latest_dosage_text", sql("SELECT patient_id, inn, episode_no, CASE WHEN latest_dosage_value <> 0 THEN printf('%.1f', latest_dosage_value) || ' mg' END AS latest_dosage FROM sched_episodes"))
@@ -304,6 +314,12 @@ def record_reactions(spark, sf):
     return M.record_reactions(raw).select("patient_id", "reaction_type", "inn", F.array_join("cross_reactive_inns", "|").alias("cross_reactive"), "severity", "source", "is_active")
 
 
+@query("reaction_events", sql("""SELECT patient_id, 'ALLERGY_RECORDED' AS event_type, 1 AS payload_schema_version,
+    '{"inn":"' || inn || '","reaction_type":"' || reaction_type || '","severity":"' || severity || '"}' AS payload FROM reactions"""))
+def reaction_events(spark, sf):
+    return M.reaction_events(M.record_reactions(B.reactions(spark, sf))).select("patient_id", "event_type", "payload_schema_version", "payload")
+
+
 def supplier_rules(spark, sf):
     """A rule table as large as the supplier table."""
     key = F.col("s_suppkey")

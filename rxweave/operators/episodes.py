@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxweave.functions.names import fdc_components
+from rxweave.operators.events import emit
 from rxweave.refdata import signals as S
 from rxweave.refdata import tables
 from rxweave.session import cut_lineage
@@ -172,6 +173,13 @@ def episode_events(lines: DataFrame, episodes: DataFrame, prn: DataFrame) -> Dat
     return per_line.unionByName(closed).unionByName(snapshots)
 
 
+def discontinued_events(episodes: DataFrame, feed: DataFrame) -> DataFrame:
+    """One event per episode that the feed closes."""
+    keys = ["patient_id", "inn", "episode_no"]
+    closed = feed.join(episodes.select(*keys), keys, "left_semi").withColumn("episode_id", F.col("episode_no"))
+    return emit(closed, F.lit("MEDICATION_DISCONTINUED"), ["inn", "episode_id", "stop_reason", "switched_to_inn"])
+
+
 def discontinue(episodes: DataFrame, feed: DataFrame, as_of: dt.date) -> DataFrame:
     """Close the episodes named in a feed of (patient, inn, episode_no)."""
     keys = ["patient_id", "inn", "episode_no"]

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxweave.operators.events import emit
 from rxweave.operators.interactions import document_interactions
 from rxweave.operators.medications import distinct_inns
 from rxweave.operators.safety import rule_inns, safety_alerts
@@ -97,6 +98,11 @@ def record_reactions(entries: DataFrame) -> DataFrame:
         "severity", F.lit("clinician_entered").alias("source"), F.lit(True).alias("is_active"))
 
 
+def reaction_events(reactions: DataFrame) -> DataFrame:
+    """One event per recorded reaction."""
+    return emit(reactions, F.lit("ALLERGY_RECORDED"), ["inn", "reaction_type", "severity"])
+
+
 def rule_snapshot(verb: str, version: Column) -> Column:
     """Audit text of a rule change."""
     test = F.when(F.coalesce("operator", F.lit("")) != "", F.concat(F.lit(" Op: "), F.col("operator"), F.lit(" Val: "), F.coalesce(F.col("threshold_value").cast("string"), F.lit("None")))).otherwise(
