@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from rxweave.llm import bpe, decontamination, neardup, pii, quality, secrets, suffixes, tokenfiles, toxicity
+from rxweave.llm import bpe, decontamination, neardup, pii, quality, secrets, suffixes, tokenfiles, toxicity, warc
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -78,6 +79,40 @@ def op5(spark, sf_dir):
     return tokenfiles.token_files(spark, table(spark, sf_dir, "documents"), WORDS, END_ID)
 
 
+REVISIT_CHECK = r"""
+WITH tagged AS (SELECT page_id AS p, url, html, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || (page_id % 1000) AS day FROM pages),
+spelled AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\d*\.', '')
+      || regexp_replace(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    array_to_string(list_filter(list_sort(string_split(regexp_extract(bare, '\?(.*)$', 1), '&')),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|phpsessid|jsessionid|sessionid|sid)(=|$)')), '&') AS query
+  FROM (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM tagged)),
+full_records AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM spelled),
+answers AS (
+  SELECT *, p + CASE WHEN p % 11 = 0 THEN -1 ELSE 1 + p % 5 END AS at, CASE WHEN p % 7 = 0 THEN '"other"' WHEN p % 3 <> 2 THEN tag END AS named, CASE WHEN p % 2 = 0 THEN day END AS changed
+  FROM full_records),
+found AS (
+  SELECT a.p, a.canonical_url, a.named, a.changed, a.day, max(f.p) AS original FROM answers a LEFT JOIN full_records f ON f.canonical_url = a.canonical_url AND f.p < a.at GROUP BY ALL),
+judged AS (
+  SELECT found.*, f.tag, f.day AS stored_day, f.html, CASE WHEN original IS NULL THEN 'no_original'
+    WHEN named IS NOT NULL AND named <> f.tag OR named IS NULL AND changed IS NOT NULL AND changed <> f.day THEN 'mismatch'
+    WHEN named IS NULL AND changed IS NULL THEN 'unvalidated' ELSE 'resolved' END AS verdict
+  FROM found LEFT JOIN full_records f ON f.p = original)
+SELECT p * 2 + 1 AS record_id, canonical_url, original * 2 AS original_id, verdict,
+  CASE WHEN verdict IN ('resolved', 'unvalidated') THEN sha256('cache-control:max-age=600' || chr(10) || 'content-length:' || octet_length(encode(html)) || chr(10) || 'content-type:text/html' || chr(10)
+    || 'date:' || day || chr(10) || 'etag:' || CASE WHEN named IS NULL THEN tag WHEN p % 3 = 0 THEN 'W/' || named ELSE named END || chr(10) || 'last-modified:' || coalesce(changed, stored_day)) END AS headers_sha256,
+  CASE WHEN verdict IN ('resolved', 'unvalidated') THEN sha256(html) END AS payload_digest
+FROM judged
+"""
+
+
+@query("op6_not_modified_revisits", REVISIT_CHECK)
+def op6(spark, sf_dir):
+    out = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return out.select("record_id", "canonical_url", "original_id", "verdict", F.sha2(F.array_join(lines, "\n"), 256).alias("headers_sha256"), "payload_digest")
+
+
 @query("op7_suffix_radix_repeats")
 def op7(spark, sf_dir):
     return suffixes.repeated_strings(table(spark, sf_dir, "documents"))
