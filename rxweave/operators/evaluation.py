@@ -1,9 +1,9 @@
 """Extraction quality against gold annotations.
 
-A document row carries its gold and predicted medications as two arrays. The
-greedy one-to-one assignment walks both lists in order, so it is a small
-function per document inside an Arrow batch; all counts and rates after it are
-plain aggregates.
+A document row carries its gold and predicted medications as two short arrays.
+The similarity ratios of all pairs of a document are the one thing that needs
+Python; tests and the greedy one-to-one assignment in list order are column
+expressions over them, and all counts and rates after that plain aggregates.
 """
 
 from __future__ import annotations
@@ -13,99 +13,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rxweave.functions.similarity import ratio
+from rxweave.functions.similarity import contains_either, ratio, tidy
 from rxweave.refdata import corpus as C
 
 
-def _tidy(value) -> str:
-    return "" if value is None or value != value else str(value).strip().lower()
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def ratio_table(gold: pd.Series, pred: pd.Series) -> pd.Series:
+    """The ratio of every gold text (row) with every predicted one; equal pairs inside a batch are computed once."""
+    seen: dict[tuple[str, str], float] = {}
 
+    def of(a: str, b: str) -> float:
+        if (a, b) not in seen:
+            seen[a, b] = ratio(a, b)
+        return seen[a, b]
 
-def _number(value):
-    return None if value is None or value != value else float(value)
+    return pd.Series([[[of(a, b) for b in given] for a in wanted] for wanted, given in zip(gold, pred)], dtype=object)
 
 
-def similar(a: str, b: str, threshold: float) -> bool:
+def _texts(items: str, name: str) -> Column:
+    return F.transform(items, lambda x: tidy(x[name]))
+
+
+def _number(value: Column) -> Column:
+    return F.nullif(value, F.lit(float("nan")))
+
+
+def _alike(a: Column, b: Column, score: Column, threshold: float) -> Column:
     """Both non-empty, and contained in each other or similar enough."""
-    return bool(a and b) and (a in b or b in a or ratio(a, b) >= threshold)
+    return contains_either(a, b) | ((a != "") & (b != "") & (score >= threshold))
 
 
-def _strict(gold: dict, pred: dict) -> bool:
-    a, b = _tidy(gold["drug_name"]), _tidy(pred["raw_drug_name"])
-    gold_route, pred_route = _tidy(gold["route"]), _tidy(pred["route"])
+def _strict(g: Column, p: Column, name: Column, frequency: Column) -> Column:
+    a, b, gold_route, pred_route = tidy(g["drug_name"]), tidy(p["raw_drug_name"]), tidy(g["route"]), tidy(p["route"])
     return (
-        (a in b or b in a)
-        and _number(gold["dosage_value"]) == _number(pred["dosage_value"])
-        and _tidy(gold["dosage_unit"]) == _tidy(pred["dosage_unit"])
-        and similar(_tidy(gold["frequency"]), _tidy(pred["frequency"]), C.STRICT_FREQUENCY_RATIO)
-        and (gold_route == pred_route or (not gold_route and pred_route == "oral")))
-
-
-def _relaxed(gold: dict, pred: dict) -> bool:
-    a, b, inn = _tidy(gold["clean_name"]), _tidy(pred["clean_name"]), _tidy(pred["inn"])
-    if not ((inn and (a in inn or inn in a)) or similar(a, b, C.RELAXED_RATIO)):
-        return False
-    x, y = _number(gold["dosage_value"]), _number(pred["dosage_value"])
-    u, v = _tidy(gold["dosage_unit"]), _tidy(pred["dosage_unit"])
-    f, g = _tidy(gold["frequency"]), _tidy(pred["frequency"])
+        (a.contains(b) | b.contains(a))
+        & _number(g["dosage_value"]).eqNullSafe(_number(p["dosage_value"]))
+        & (tidy(g["dosage_unit"]) == tidy(p["dosage_unit"]))
+        & _alike(tidy(g["frequency"]), tidy(p["frequency"]), frequency, C.STRICT_FREQUENCY_RATIO)
+        & ((gold_route == pred_route) | ((gold_route == "") & (pred_route == "oral"))))
+
+
+def _relaxed(g: Column, p: Column, name: Column, frequency: Column) -> Column:
+    a, b, inn = tidy(g["clean_name"]), tidy(p["clean_name"]), tidy(p["inn"])
+    x, y = _number(g["dosage_value"]), _number(p["dosage_value"])
+    u, v, f, h = tidy(g["dosage_unit"]), tidy(p["dosage_unit"]), tidy(g["frequency"]), tidy(p["frequency"])
+    named = ((inn != "") & (inn.contains(a) | a.contains(inn))) | _alike(a, b, name, C.RELAXED_RATIO)
     return (
-        (x is None or y is None or abs(x - y) < C.RELAXED_DOSE_GAP)
-        and (u == v or not u or not v)
-        and (not f or not g or similar(f, g, C.RELAXED_RATIO)))
-
-
-def _greedy(fits):
-    """UDF: for each gold item the position of the first free prediction that
-    fits, or -1."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def assign(gold: pd.Series, pred: pd.Series) -> pd.Series:
-        out = []
-        for wanted, given in zip(gold, pred):
-            taken: set[int] = set()
-            row = []
-            for g in wanted:
-                hit = next((i for i, p in enumerate(given) if i not in taken and fits(g, p)), -1)
-                taken.add(hit)
-                row.append(hit)
-            out.append(row)
-        return pd.Series(out)
-    return assign
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ratio", T.DoubleType())])))
-def _best(gold: pd.Series, pred: pd.Series) -> pd.Series:
-    """For each gold item the prediction with the highest ratio (first wins)."""
-    out = []
-    for wanted, given in zip(gold, pred):
-        row = []
-        for g in wanted:
-            scores = [ratio(_tidy(g["clean_name"]), _tidy(p["clean_name"])) for p in given]
-            top = max(range(len(scores)), key=scores.__getitem__, default=-1)
-            row.append({"pos": top, "ratio": scores[top] if top >= 0 else 0.0})
-        out.append(row)
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("gold_hits", "pred_hits", "n_gold", "n_pred")]))
-def _both_sides(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
-    """How many items of each side have a similar item on the other."""
-    rows = []
-    for wanted, given in zip(gold, pred):
-        a = [_tidy(g["drug_name"]) for g in wanted if g["drug_name"]]
-        b = [_tidy(p["raw_drug_name"]) for p in given if p["raw_drug_name"]]
-        rows.append((sum(any(similar(x, y, C.SET_RATIO) for y in b) for x in a),
-                     sum(any(similar(x, y, C.SET_RATIO) for x in a) for y in b), len(a), len(b)))
-    return pd.DataFrame(rows, columns=["gold_hits", "pred_hits", "n_gold", "n_pred"])
-
-
-match_strict_udf = _greedy(_strict)
-match_relaxed_udf = _greedy(_relaxed)
+        named
+        & (x.isNull() | y.isNull() | F.coalesce(F.abs(x - y) < C.RELAXED_DOSE_GAP, F.lit(False)))
+        & ((u == v) | (u == "") | (v == ""))
+        & ((f == "") | (h == "") | _alike(f, h, frequency, C.RELAXED_RATIO)))
+
+
+def _fits(test) -> Column:
+    """For each gold item which predictions pass the test."""
+    at = lambda table, i, j: F.col(table)[i][j]
+    return F.transform("gold", lambda g, i: F.transform("pred", lambda p, j: test(g, p, at("_names", i, j), at("_frequencies", i, j))))
+
+
+def greedy(fits: Column) -> Column:
+    """For each gold item, in order, the position of the first free prediction that fits, or -1."""
+    def step(taken: Column, row: Column) -> Column:
+        free = F.filter(F.transform(row, lambda fit, j: F.when(fit & ~F.array_contains(taken, j), j)), lambda j: j.isNotNull())
+        return F.array_append(taken, F.coalesce(F.try_element_at(free, F.lit(1)), F.lit(-1)))
+
+    return F.aggregate(fits, F.array().cast("array<int>"), step)
 
 
 def match_documents(docs: DataFrame) -> DataFrame:
-    """Strict and relaxed assignment and the best fuzzy prediction per item."""
-    return docs.select(
-        "*", match_strict_udf("gold", "pred").alias("strict"), match_relaxed_udf("gold", "pred").alias("relaxed"), _best("gold", "pred").alias("best"))
+    """Strict and relaxed assignment and the best fuzzy prediction (highest ratio, first wins) per item."""
+    scored = docs.withColumn("_names", ratio_table(_texts("gold", "clean_name"), _texts("pred", "clean_name"))).withColumn(
+        "_frequencies", ratio_table(_texts("gold", "frequency"), _texts("pred", "frequency")))
+    best = F.transform("_names", lambda row: F.struct(
+        (F.coalesce(F.array_position(row, F.array_max(row)).cast("int"), F.lit(0)) - 1).alias("pos"), F.coalesce(F.array_max(row), F.lit(0.0)).alias("ratio")))
+    return scored.select(*docs.columns, greedy(_fits(_strict)).alias("strict"), greedy(_fits(_relaxed)).alias("relaxed"), best.alias("best"))
 
 
 def _hits(assigned: Column) -> Column:
@@ -140,7 +121,14 @@ def prf_micro(counts: DataFrame) -> DataFrame:
 
 def set_scores(docs: DataFrame) -> DataFrame:
     """Per document: precision, recall and F1 of the name sets."""
-    scored = docs.select("doc_id", "extractor", "latency_s", _both_sides("gold", "pred").alias("s")).select("doc_id", "extractor", "latency_s", "s.*")
+    named = lambda items, name: F.transform(F.filter(items, lambda x: F.coalesce(x[name], F.lit("")) != ""), lambda x: tidy(x[name]))
+    sides = docs.select("doc_id", "extractor", "latency_s", named("gold", "drug_name").alias("_gold"), named("pred", "raw_drug_name").alias("_pred"))
+    table = sides.withColumn("_ratios", ratio_table("_gold", "_pred"))
+    like = F.transform("_gold", lambda x, i: F.transform("_pred", lambda y, j: _alike(x, y, F.col("_ratios")[i][j], C.SET_RATIO)))
+    scored = table.withColumn("_like", like).select(
+        "doc_id", "extractor", "latency_s", F.size(F.filter("_like", lambda row: F.exists(row, lambda hit: hit))).alias("gold_hits"),
+        F.size(F.filter(F.transform("_pred", lambda y, j: F.exists("_like", lambda row: row[j])), lambda hit: hit)).alias("pred_hits"),
+        F.size("_gold").alias("n_gold"), F.size("_pred").alias("n_pred"))
     empty = (F.col("n_gold") == 0) & (F.col("n_pred") == 0)
     p = F.when(empty, 1.0).otherwise(rate(F.col("pred_hits"), F.col("n_pred")))
     r = F.when(empty, 1.0).otherwise(rate(F.col("gold_hits"), F.col("n_gold")))
