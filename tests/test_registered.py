@@ -2,11 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from rxweave.catalog import CHECKS, QUERIES
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-CHECKS = oracle_sql()
+
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +15,9 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "collect_list"):
         assert word not in plan
