@@ -64,19 +64,6 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.Struct
     return chosen.mapInArrow(run, schema)
 
 
-def keep_texts(docs: DataFrame, text: str, make: Callable[[], Callable]) -> DataFrame:
-    """The rows, with all their columns, whose text passes; ``make()`` as above, giving one list of booleans."""
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = make()
-        for batch in batches:
-            for piece in pieces(batch, at):
-                yield piece.filter(pa.array(compute(piece.column(at).to_pylist()), type=pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def replace_texts(docs: DataFrame, text: str, make: Callable[[], Callable]) -> DataFrame:
     """All rows and columns with each text replaced; ``make()`` as above, giving one list of texts."""
     at = docs.columns.index(text)
