@@ -164,7 +164,8 @@ QUALITY_CHECK = f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_sym
 
 @query("op8_host_quality_rules", QUALITY_CHECK)
 def op8(spark, sf_dir):
-    out = quality.quality_rules(table(spark, sf_dir, "documents"))
+    # the check SQL fixes this limit; the operator and the pipeline judge hosts by the fitted prior
+    out = quality.quality_rules(table(spark, sf_dir, "documents"), limit=quality.HOST_LIMIT)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

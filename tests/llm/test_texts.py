@@ -131,6 +131,15 @@ def test_condemned_hosts_lose_documents_that_fail_a_rule(spark):
     assert kept == {i for i in range(0, 100, 10)} | {1000 + i for i in range(100)} | {2000, 2001} | set(range(3000, 3300))  # one document does not condemn a host
 
 
+def test_hosts_are_judged_at_realistic_rates(spark):
+    junk, fair = " ".join(f"word{k}#" for k in range(9)) + " " + prose(3, 30), prose(5, 60)
+    rows = [(1000 * h + i, junk if i % 100 < (16 if h == 0 else 4) else fair, f"h{h}") for h in range(12) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lost = {i for i, t, h in rows if h == "h0" and t == junk}  # 16 % of a host against 4 % elsewhere
+    assert {r["doc_id"] for r in quality.quality_rules(docs).where("NOT kept").collect()} == lost
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {r[0] for r in rows} - lost
+
+
 def plain_hits(text, items):
     words = decontamination.WORD.findall((text or "").translate(decontamination.UPPER))
     hit, found = set(), set()
