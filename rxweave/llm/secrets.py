@@ -123,9 +123,11 @@ def base_spans(text: str) -> list[tuple]:
 
 def costly_values(text: str, limit: float = COST_LIMIT) -> list[tuple]:
     """Start, end and cost of the values in credential contexts that can't be guessed."""
-    found, ranks = [], None
-    for m in CONTEXT.finditer(text):
-        ranks = ranks or word_ranks(text)
+    found, values = [], list(CONTEXT.finditer(text))
+    # a value is no word of the text: else it would be guessed from itself
+    ends = [0, *(x for m in values for x in m.span(m.lastgroup)), len(text)]
+    ranks = word_ranks(" ".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))) if values else None
+    for m in values:
         start, end = m.span(m.lastgroup)
         cost = guess_cost(text[start:end], ranks)
         if cost >= limit:

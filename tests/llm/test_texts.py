@@ -200,6 +200,14 @@ def test_secrets_of_a_table(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0 and sum(map(len, got.values())) == len(rows)
 
 
+def test_a_value_is_not_its_own_dictionary():
+    for word in ("pwd", "passphrase", "auth", "credentials", "password", "secret", "token", "access key"):
+        text = f"the {word}: qzvkxwjpmrtlbn and more"
+        (start, end, cost), = secrets.costly_values(text)
+        assert text[start:end] == "qzvkxwjpmrtlbn" and cost >= secrets.COST_LIMIT
+    assert not secrets.costly_values("pwd: riverstonehouse and a river stone house")  # words of the text elsewhere still count
+
+
 def plain_personal(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
