@@ -276,3 +276,24 @@ def test_message_passing_is_exact_on_a_tree():
     pii.ROUNDS = pii_rounds
     # a skip edge to another label multiplies by exp(0): the diagonal holds the agreement
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-6)
+
+
+def fixed_weights(skip, other=0.0):
+    import numpy as np
+
+    unary = np.zeros((len(pii.FEATURES), 5))
+    unary[0, 0] = other
+    return {"unary": unary, "chain": np.zeros((5, 5)), "skip": np.full(5, float(skip))}
+
+
+def test_a_label_reaches_all_repeats():
+    import numpy as np
+
+    text = "mail joe.smith22@mail1.example.com " + "then joe.smith22@intranet word " * 50
+    (base, added), = pii.find_spans([text], fixed_weights(6))
+    assert len(base) == 1 and len(added) == 50
+    graph = pii.Graph([text, "12 a1234567 5.5 word (a1234567)"])
+    alone = pii.Graph([text])
+    n = len(alone.spans)
+    given = np.array([1] + [0] * (n - 1))
+    assert np.array_equal(pii.marginals(graph, fixed_weights(6), np.append(given, [0] * (len(graph.spans) - n)))[:n], pii.marginals(alone, fixed_weights(6), given))
