@@ -3,8 +3,9 @@
 Nodes of a document's graph are its tokens with a digit or an at sign; no other
 token can carry a label. Chain edges join neighbouring nodes. Skip edges join
 each node with the next one in the document that is equal or similar to it
-(same letters and digits, same last digits, same mailbox name), so a group of m
-repeats has m-1 edges. Loopy message passing makes the labels of linked tokens
+(same letters and digits, same last digits, same address, same mailbox name), so
+a group of m repeats has m-1 edges. A number written in groups of digits is as a
+whole similar to another form of it: each of its tokens is joined with that. Loopy message passing makes the labels of linked tokens
 consistent, given those of the base spans: a number written in full once is
 found again where it is shortened.
 
@@ -15,6 +16,7 @@ separate parts, so message passing is a few array operations.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -53,6 +55,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NODE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+ADDRESS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[._-][0-9]{1,3}){3}(?![0-9])")
+GROUP = re.compile(r"[0-9+().,-]+")
 NODE_CHARACTER = re.compile("[0-9@]").search
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -118,6 +122,9 @@ def keys_of(token: str) -> list[tuple]:
     keys = [("same", plain)] if len(plain) >= 6 else []
     if len(digits) >= 7:
         keys.append(("digits", digits[-7:]))
+    address = ADDRESS.search(token)
+    if address:
+        keys.append(("ip", re.sub("[_-]", ".", address.group())))
     if "@" in token:
         name = MAILBOX.search(token[:token.index("@")]).group().lower()
         if len(name) >= 4:
@@ -125,30 +132,58 @@ def keys_of(token: str) -> list[tuple]:
     return keys
 
 
+def grouped_keys(text: str, nodes: list[tuple[int, int]], base: list[tuple]) -> list[list[tuple]]:
+    """Per node the keys of the numbers that it is a part of: base spans and runs of neighbouring tokens of digits, each with its number."""
+    out: list[list[tuple]] = [[] for _ in nodes]
+    groups, starts = [], [a for a, _ in nodes]
+    for kind, start, end in base:
+        if kind in ("card", "phone"):
+            first = bisect.bisect_right(starts, start) - 1
+            groups.append((max(first, 0), bisect.bisect_left(starts, end), text[start:end]))
+    first = 0
+    plain = [bool(GROUP.fullmatch(text, a, b)) for a, b in nodes]
+    for i in range(1, len(nodes) + 1):
+        if i == len(nodes) or not plain[i] or not plain[i - 1] or nodes[i][0] - nodes[i - 1][1] > 2 or not text[nodes[i - 1][1]:nodes[i][0]].isspace():
+            if i - first > 1:
+                groups.append((first, i, text[nodes[first][0]:nodes[i - 1][1]]))
+            first = i
+    for number, (first, end, part) in enumerate(groups):
+        digits = re.sub("[^0-9]", "", part)
+        if end - first > 1 and 7 <= len(digits) <= 19:  # no phone or card is longer
+            for i in range(first, end):
+                out[i].append((number, ("digits", digits[-7:])))
+    return out
+
+
 class Graph:
-    """Nodes, features and edges of some texts."""
+    """Nodes, features and edges of some texts; ``base`` are their base spans, found here if not given."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], base: list[list[tuple]] | None = None):
         self.spans, self.document, rows, edges = [], [], [], []
         for d, text in enumerate(texts):
             if not NODE_CHARACTER(text):
                 continue
-            last, seen = None, {}
-            for m in NODE.finditer(text):
-                node, token = len(self.spans), m.group()
-                near = last is not None and text[last:m.start()].isspace() and m.start() - last <= 2
+            last, seen, before = None, {}, {}
+            nodes = [m.span() for m in NODE.finditer(text)]
+            grouped = grouped_keys(text, nodes, base_spans(text) if base is None else base[d])
+            for (start, end), groups in zip(nodes, grouped):
+                node, token = len(self.spans), text[start:end]
+                near = last is not None and text[last:start].isspace() and start - last <= 2
                 rows.append(features_of(token, text[self.spans[-1][0]:last] if near else ""))
                 if near:
                     edges.append((node - 1, node, 0))
                 linked = set()
-                for key in keys_of(token):
-                    if key in seen and seen[key] not in linked:
-                        edges.append((seen[key], node, 1))
-                        linked.add(seen[key])
+                own = [(key, seen.get(key)) for key in keys_of(token)]
+                # what a group is similar to lies before its first token
+                for key, other in own + [(key, before.setdefault((number, key), seen.get(key))) for number, key in groups]:
+                    if other is not None and other not in linked:
+                        edges.append((other, node, 1))
+                        linked.add(other)
+                for key in [key for key, _ in own] + [key for _, key in groups]:
                     seen[key] = node
-                self.spans.append(m.span())
+                self.spans.append((start, end))
                 self.document.append(d)
-                last = m.end()
+                last = end
         self.features = np.array(rows, float).reshape(-1, len(FEATURES))
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
 
@@ -267,8 +302,9 @@ def _training_rows(frames):
 
     for frame in frames:
         texts = frame["text"].tolist()
-        graph = Graph(texts)
-        labels = graph.labels([base_spans(t) for t in texts])
+        base = [base_spans(t) for t in texts]
+        graph = Graph(texts, base)
+        labels = graph.labels(base)
         tokens = [texts[d][a:b] for (a, b), d in zip(graph.spans, graph.document)]
         yield pd.DataFrame({"order": [sha256_hex(t) for t in tokens], "features": ["".join(str(int(x)) for x in row) for row in graph.features],
                             "neighbours": graph.neighbours(labels).astype(int).tolist(), "label": labels})
@@ -296,7 +332,7 @@ def find_spans(texts: list[str], weights: dict[str, np.ndarray]) -> list[tuple[l
     """The base spans and the added spans of each text."""
     base = [base_spans(t) for t in texts]
     added: list[list] = [[] for _ in texts]
-    graph = Graph(texts)
+    graph = Graph(texts, base)
     if graph.spans:
         taken = graph.labels(base)
         chances = marginals(graph, weights, taken)

@@ -297,3 +297,11 @@ def test_a_label_reaches_all_repeats():
     n = len(alone.spans)
     given = np.array([1] + [0] * (n - 1))
     assert np.array_equal(pii.marginals(graph, fixed_weights(6), np.append(given, [0] * (len(graph.spans) - n)))[:n], pii.marginals(alone, fixed_weights(6), given))
+
+
+def test_numbers_in_groups_and_short_addresses_have_skip_edges():
+    for full, short in (("4539 5787 6362 1486", "4539.5787.6362.1486"), ("+1 415 555 0123", "415.555.0123"), ("1.2.3.4", "ip-1-2-3-4"), ("12 +1 415 555 0123", "415.555.0123")):
+        for text in (f"{full} word {short}", f"{short} word {full}"):
+            (base, added), = pii.find_spans([text], fixed_weights(6))
+            at = text.index(short)
+            assert len(base) >= 1 and any(at <= a and b == at + len(short) for _, a, b in added), text
