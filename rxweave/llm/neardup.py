@@ -8,12 +8,18 @@ the probability of their weighted Jaccard similarity, and the work grows with th
 shingles plus the darts, not with their product.
 
 Equal texts are one node. Nodes that share the hash of a band of coordinates are
-candidates; a bucket of m nodes gives at most 5 m pairs, each node with centres of
-its bucket, never all pairs. Pairs are sifted by a sketch of one byte per
-coordinate and decided on the exact similarity of the texts. Classes are
-connected components. A link can go unseen only if in all buckets that its ends
-share (8 of 25 on average at 0.8) neither end is a centre, and it changes a
-class only if no other path leads from one end to the other.
+candidates. Pairs are sifted by a sketch of one byte per coordinate and decided
+on the exact similarity of the texts. Classes are connected components. There
+are two rounds:
+
+1. Each node meets a few centres of its buckets, at most 5 m pairs in a bucket of
+   m nodes. This connects most of what is near.
+2. In buckets that still hold several components, all pairs of different ones
+   meet: in a small bucket one by one, and in the large ones by prefix filtering
+   on shingles, rare ones first, which leaves out only pairs that can't be near.
+
+So every pair that shares a bucket is checked, or proven to be below the
+threshold, or in one component already.
 """
 
 from __future__ import annotations
@@ -39,6 +45,13 @@ BANDS = COORDINATES // ROWS
 #: Pairs whose sketches agree less than this are not read; six standard errors below the threshold.
 SKETCH_LEAST = 0.58
 
+#: Buckets of at most this many nodes are compared pair by pair in the second round. In one of up to three, the centres have met all.
+SMALL_BUCKET = 32
+ALL_MET = 3
+
+#: Shingles are counted in so many cells to order them; the order decides the work only, not the result.
+CELL_BITS = 18
+
 #: Bytes of text hashed at once.
 HASHED_BYTES = 2 << 20
 
@@ -154,7 +167,10 @@ def _checked(counted: bool):
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, 2, HASHED_BYTES):
-                near = [similarity(x, y) >= SIMILARITY for x, y in zip(sets(piece.column(2).to_pylist()), sets(piece.column(3).to_pylist()))]
+                left, right = piece.column(2).to_pylist(), piece.column(3).to_pylist()
+                once = list(dict.fromkeys(left + right))  # a text meets many others
+                held = dict(zip(once, sets(once)))
+                near = [similarity(held[x], held[y]) >= SIMILARITY for x, y in zip(left, right)]
                 yield piece.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
@@ -198,8 +214,87 @@ def _candidates(members: DataFrame) -> DataFrame:
     return pairs.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, counted: bool = False) -> DataFrame:
-    """``a``, ``b``: links between different texts that connect the classes.
+def _elements(texts: list[str | None], counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of each shingle, or, if ``counted``, of each occurrence of it."""
+    document, value, count = shingles(texts)
+    if not counted:
+        return document, value
+    which = np.repeat(np.arange(len(value)), count)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    return document[which], mixed(value[which] + mixed(turn.astype(np.uint64)))
+
+
+def _cells(counted: bool):
+    """From texts to cells of shingles and how many fall in each."""
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, 2, HASHED_BYTES):
+                cell, n = np.unique(_elements(piece.column(2).to_pylist(), counted)[1] >> np.uint64(64 - CELL_BITS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+    return run
+
+
+def _prefixes(often: np.ndarray, counted: bool):
+    """From texts to their first shingles, rarest first.
+
+    Of two near texts of a and b shingles, a <= b, at least 2 s a / (1 + s) and
+    s b are common. So one of them is among the first of both, as many as could
+    be missing and one more: ``inner`` marks those of the smaller text.
+    """
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, 2, HASHED_BYTES):
+                document, element = _elements(piece.column(2).to_pylist(), counted)
+                order = np.lexsort((element, often[element >> np.uint64(64 - CELL_BITS)], document))
+                document, element = document[order], element[order]
+                total = np.bincount(document, minlength=piece.num_rows)
+                place = np.arange(len(document)) - (np.cumsum(total) - total)[document]
+                missing = lambda part: (total - np.ceil(part * total - 1e-6)).astype(np.int64)[document]
+                first = np.flatnonzero(place <= missing(SIMILARITY))
+                inner = place <= missing(2 * SIMILARITY / (1 + SIMILARITY))
+                rows = pa.array(document[first])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(rows), piece.column(1).take(rows), pa.array(element[first].view(np.int64)), pa.array(total[document[first]].astype(np.int64)), pa.array(inner[first])], names=["node", "root", "shingle", "n", "inner"])
+
+    return run
+
+
+def _met_by_shingles(nodes: DataFrame, counted: bool) -> DataFrame:
+    """Pairs of ``nodes`` (node, root, text) with different roots, with at least all that are near.
+
+    At each shingle the nodes of its most frequent root needn't meet each other.
+    """
+    often = np.zeros(1 << CELL_BITS, np.int64)
+    for r in nodes.mapInArrow(_cells(counted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        often[r["cell"]] = r["n"]
+    first = cut_lineage(nodes.sparkSession, nodes.mapInArrow(_prefixes(often, counted), "node binary, root binary, shingle long, n long, inner boolean"), "prefixes")
+    per_root = first.groupBy("shingle", "root").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
+    shared = per_root.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"), F.max("inner").alias("some")).where("roots > 1 AND some")
+    met = cut_lineage(nodes.sparkSession, first.join(shared.select("shingle", F.col("most.root").alias("main")), "shingle"), "met")
+    x, y = met.where("root <> main").alias("x"), met.alias("y")
+    order = lambda small, large: f"(({small}.n < {large}.n OR {small}.n = {large}.n AND {small}.node < {large}.node) AND {small}.inner AND {small}.n >= {SIMILARITY - 1e-9} * {large}.n)"
+    pairs = x.join(y, F.expr(f"x.shingle = y.shingle AND x.root <> y.root AND ({order('x', 'y')} OR {order('y', 'x')})"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, counted: bool) -> DataFrame | None:
+    """Pairs of the second round: in all buckets with several components, those of nodes of different ones; none if there are no such buckets."""
+    spark = members.sparkSession
+    placed = members.where(F.col("size") > ALL_MET).select("node", "bucket", "size").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    placed = cut_lineage(spark, placed.join(several, "bucket"), "open")
+    if placed.isEmpty():
+        return None
+    small = placed.where(F.col("size") <= SMALL_BUCKET).select("bucket", "node", "root")
+    pairs = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket AND x.node < y.node AND x.root <> y.root")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    large = placed.where(F.col("size") > SMALL_BUCKET).select("node", "root").distinct()
+    if large.isEmpty():
+        return pairs.distinct()
+    return pairs.unionByName(_met_by_shingles(large.join(texts, "node").select("node", "root", "text"), counted)).distinct()
+
+
+def near_classes(nodes: DataFrame, texts: DataFrame, counted: bool = False) -> DataFrame:
+    """``node`` and ``root`` of all nodes that are near to another one.
 
     ``nodes``: node, bands, sketch, one row per node. ``texts``: node, text, any number of equal rows per node.
     """
@@ -209,15 +304,26 @@ def near_links(nodes: DataFrame, texts: DataFrame, counted: bool = False) -> Dat
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(spark, members.join(shared, "bucket"), "buckets")
     sketches = cut_lineage(spark, nodes.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
-    pairs = _candidates(members)
-    sifted = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(
-        sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
-    close = cut_lineage(spark, sifted.mapInArrow(_sifted, "a binary, b binary"), "pairs")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def sifted(pairs):
+        both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(
+            sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
+        return cut_lineage(spark, both.mapInArrow(_sifted, "a binary, b binary"), "pairs")
+
+    def links(close):
+        full = close.join(read.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return cut_lineage(spark, full.select("a", "b", "ta", "tb").mapInArrow(_checked(counted), "a binary, b binary"), "links")
+
+    close = sifted(_candidates(members))
+    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.where(F.col("size") > ALL_MET).select("node")).distinct()
     # the one shuffle of all texts; the same join at every size
     read = cut_lineage(spark, texts.hint("merge").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    full = close.join(read.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return cut_lineage(spark, full.select("a", "b", "ta", "tb").mapInArrow(_checked(counted), "a binary, b binary"), "links")
+    classes = components(links(close))
+    pairs = _open_pairs(members, classes, read, counted)
+    more = None if pairs is None else links(sifted(pairs))
+    if more is None or more.isEmpty():
+        return classes
+    return components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more))
 
 
 def _sifted(batches):
@@ -237,7 +343,7 @@ def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counted:
     fields = [T.StructField("bands", T.ArrayType(T.LongType())), field("sketch", "binary")]
     signed = cut_lineage(docs.sparkSession, map_texts(rows, ["doc_id", "node"], "text", fields, _sketched(counted), HASHED_BYTES), "signatures")
     nodes = signed.where("bands IS NOT NULL").select("node", "bands", "sketch").dropDuplicates(["node"])
-    classes = components(near_links(nodes, rows.select("node", "text"), counted))
+    classes = near_classes(nodes, rows.select("node", "text"), counted)
     return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

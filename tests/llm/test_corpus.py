@@ -103,6 +103,41 @@ def test_near_duplicates_of_the_documents(spark):
     assert got == plain_classes(rows)
 
 
+def family(n, pairs, size=500, changes=8, common=3):
+    """Texts some 0.75 to each other, from one template; the first ``pairs`` of them have a partner some 0.82 to them."""
+    r = random.Random(n)
+    template = [f"w{i}" for i in range(size)]
+    out = []
+    for i in range(n):
+        at = r.sample(range(2, size - 2, 5), 2 * changes - common)
+        for k, places in enumerate([at[:changes], at[changes - common:]][:1 + (i < pairs)]):
+            words = list(template)
+            for x in places:
+                words[x] = f"t{i}x{x}" if x in at[changes - common:changes] else f"t{i}y{x}k{k}"
+            out.append(" ".join(words))
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_near_pairs_within_a_family_of_texts_below_the_limit(spark, monkeypatch):
+    """The centres are made to miss all pairs: what they leave must be found without them."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 8, raising=False)
+    centres = neardup._candidates
+    monkeypatch.setattr(neardup, "_candidates", lambda members: centres(members).where("false"))
+    rows = family(60, 40)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    sets = [plain_shingles(t) for _, t in rows]
+    want = list(range(len(rows)))
+    for i in want[:]:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    want = dict(enumerate(want))
+    assert 55 < len(set(want.values())) <= 60 and got == want
+
+
 def test_near_duplicates_with_awkward_rows(spark):
     got = by_id(neardup.near_duplicates(frame(spark)))
     assert got[2][0]["class_id"] == got[3][0]["class_id"] == 1 and got[1][0]["class_size"] == 3
