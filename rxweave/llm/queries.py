@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rxweave.llm import bpe, decontamination, neardup, pii, quality, secrets, suffixes, tokenfiles, toxicity, warc
+from rxweave.llm import bpe, decontamination, fillmiddle, neardup, negatives, pii, quality, secrets, suffixes, tokenfiles, toxicity, treebpe, warc
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
@@ -177,3 +178,65 @@ def op10(spark, sf_dir):
 @query("op9_nonnegative_pu_toxicity")
 def op9(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_tree_concatenation_bpe")
+def op11(spark, sf_dir):
+    encoded = treebpe.encoded_documents(table(spark, sf_dir, "documents"), BYTES)
+    return treebpe.digests(encoded, BYTES)
+
+
+FILL_CHECK = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+numbered AS (
+  SELECT doc_id, t, string_split(t, chr(10)) AS parts,
+    length(t) - length(replace(t, chr(10), '')) + CAST(t <> '' AND NOT ends_with(t, chr(10)) AS BIGINT) AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM drawn),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbered),
+ends AS (
+  SELECT *, CASE a WHEN 0 THEN 0 WHEN n THEN length(t) ELSE length(array_to_string(parts[1:a], chr(10))) + 1 END AS p,
+    CASE b WHEN 0 THEN 0 WHEN n THEN length(t) ELSE length(array_to_string(parts[1:b], chr(10))) + 1 END AS q
+  FROM cut),
+split AS (SELECT *, substring(t, 1, p) AS head, substring(t, p + 1, q - p) AS middle, substring(t, q + 1, length(t) - q) AS tail FROM ends)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(q - p AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM split
+"""
+
+
+@query("op12_roaring_fill_in_middle", FILL_CHECK)
+def op12(spark, sf_dir):
+    out = fillmiddle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    kept = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256")
+    back = fillmiddle.restored_texts(out.withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256)), keep=kept)
+    return back.select(*kept, F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+NEGATIVE_CHECK = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
+@query("op13_threshold_hard_negatives", NEGATIVE_CHECK)
+def op13(spark, sf_dir):
+    # every label from 0 to 9; each seventh row takes the next one
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), noise=(7, 1, 10))
