@@ -38,32 +38,42 @@ def with_defaults(lines: DataFrame) -> DataFrame:
         "episode_gap_tolerance": S.DEFAULT_GAP_DAYS, "medication_class": S.DEFAULT_MEDICATION_CLASS, "is_prn": S.DEFAULT_IS_PRN})
 
 
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The first line ``l`` of each prescription and drug."""
+    inn = F.lower(F.trim("inn"))
+    named = lines.where(F.coalesce(inn, F.lit("")) != "")
+    return named.groupBy("patient_id", inn.alias("inn"), "rx_id", "rx_date").agg(F.min(F.struct("line_no", *LINE_FIELDS)).alias("l"))
+
+
+def line_columns(first: DataFrame) -> DataFrame:
+    """``first_lines`` with the fields of the line as columns."""
+    return first.select("patient_id", "inn", "rx_id", "rx_date", *[F.col(f"l.{f}").alias(f) for f in LINE_FIELDS])
+
+
 def prescription_drugs(lines: DataFrame) -> DataFrame:
     """One row per prescription and drug: the first line of the pair counts,
     so a repeated upload or line never counts twice."""
-    inn = F.lower(F.trim("inn"))
-    first = F.min(F.struct("line_no", "dosage_value", "dosage_unit", "frequency", "duration_days", "doctor_id", "raw_drug_name"))
-    return (
-        lines.where(F.coalesce(inn, F.lit("")) != "")
-        .groupBy("patient_id", inn.alias("inn"), "rx_id", "rx_date").agg(first.alias("l"))
-        .select("patient_id", "inn", "rx_id", "rx_date", *[F.col(f"l.{f}").alias(f) for f in LINE_FIELDS])
-    )
+    return line_columns(first_lines(lines))
 
 
 def _end(rx_date: Column, days: Column) -> Column:
     return F.when(days > 0, F.date_add(rx_date, days))
 
 
-def episode_days(drugs: DataFrame) -> DataFrame:
-    """One row per patient, drug and day with its episode number."""
+def prescription_days(drugs: DataFrame) -> DataFrame:
+    """One row per patient, scheduled drug and day."""
     latest = F.max_by(F.struct(*LINE_FIELDS), "rx_id")
-    days = (
+    return (
         with_defaults(drugs).where(~F.col("is_prn"))
         .groupBy("patient_id", "inn", "rx_date")
         .agg(
             F.count("*").alias("n_rx"), F.max(_end(F.col("rx_date"), F.col("duration_days"))).alias("day_end"),
             latest.alias("day_latest"), F.first("episode_gap_tolerance").alias("gap_days"))
     )
+
+
+def number_days(days: DataFrame) -> DataFrame:
+    """``prescription_days`` with their episode numbers."""
     order = Window.partitionBy("patient_id", "inn").orderBy("rx_date")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     # A day past the tolerance splits only once per known end: without a newer
@@ -80,6 +90,11 @@ def episode_days(drugs: DataFrame) -> DataFrame:
         F.lag("day_latest").over(within).alias("previous_latest"))
 
 
+def episode_days(drugs: DataFrame) -> DataFrame:
+    """One row per patient, drug and day with its episode number."""
+    return number_days(prescription_days(drugs))
+
+
 def _shape(df: DataFrame) -> DataFrame:
     return df.select(
         "patient_id", "inn", "episode_no", F.col("inn").contains("+").alias("is_fdc"),
@@ -89,18 +104,27 @@ def _shape(df: DataFrame) -> DataFrame:
         F.col("latest.frequency").alias("latest_frequency"), F.col("latest.doctor_id").alias("doctor_id"))
 
 
-def scheduled_episodes(days: DataFrame) -> DataFrame:
-    """Episodes of drugs taken on a schedule, from ``episode_days``."""
+def grouped_days(days: DataFrame) -> DataFrame:
+    """One row per episode of ``number_days``, and whether another one follows it."""
     grouped = days.groupBy("patient_id", "inn", "episode_no").agg(
         F.min("rx_date").alias("start_date"), F.max("day_end").alias("estimated_end_date"),
         F.sum("n_rx").alias("prescription_count"), F.first("gap_days").alias("gap_days"),
-        F.max_by("day_latest", "rx_date").alias("latest"))
+        F.max_by("day_latest", "rx_date").alias("latest"), F.max("rx_date").alias("last_date"))
     last = F.max("episode_no").over(Window.partitionBy("patient_id", "inn"))
-    closed = F.col("episode_no") < last
-    return _shape(grouped.withColumn("_closed", closed).select(
-        "*", F.lit("scheduled").alias("dispensing_type"), F.when(F.col("_closed"), "completed").otherwise("active").alias("status"),
-        F.when(F.col("_closed"), F.col("estimated_end_date")).alias("actual_end_date"),
-        (F.col("prescription_count") + F.col("_closed").cast("int")).alias("version")))
+    return grouped.withColumn("closed", F.col("episode_no") < last)
+
+
+def shaped_episodes(grouped: DataFrame) -> DataFrame:
+    """Episodes of drugs taken on a schedule, from ``grouped_days``."""
+    return _shape(grouped.select(
+        "*", F.lit("scheduled").alias("dispensing_type"), F.when(F.col("closed"), "completed").otherwise("active").alias("status"),
+        F.when(F.col("closed"), F.col("estimated_end_date")).alias("actual_end_date"),
+        (F.col("prescription_count") + F.col("closed").cast("int")).alias("version")))
+
+
+def scheduled_episodes(days: DataFrame) -> DataFrame:
+    """Episodes of drugs taken on a schedule, from ``episode_days``."""
+    return shaped_episodes(grouped_days(days))
 
 
 def prn_snapshots(drugs: DataFrame) -> DataFrame:
@@ -111,13 +135,17 @@ def prn_snapshots(drugs: DataFrame) -> DataFrame:
         F.col("episode_gap_tolerance").alias("gap_days"), "dosage_value", "dosage_unit", "frequency", "doctor_id")
 
 
-def medication_episodes(drugs: DataFrame) -> DataFrame:
-    """Scheduled episodes and as-needed snapshots of ``prescription_drugs``."""
-    prn = _shape(prn_snapshots(drugs).select(
+def prn_episodes(drugs: DataFrame) -> DataFrame:
+    """As-needed snapshots in the form of episodes."""
+    return _shape(prn_snapshots(drugs).select(
         "*", F.lit(None).cast("bigint").alias("episode_no"), F.lit("prn").alias("dispensing_type"), F.lit("prn_snapshot").alias("status"),
         F.lit(None).cast("date").alias("actual_end_date"), F.lit(1).cast("bigint").alias("prescription_count"),
         F.lit(1).cast("bigint").alias("version"), F.struct("dosage_value", "dosage_unit", "frequency", "doctor_id").alias("latest")))
-    return scheduled_episodes(episode_days(drugs)).unionByName(prn)
+
+
+def medication_episodes(drugs: DataFrame) -> DataFrame:
+    """Scheduled episodes and as-needed snapshots of ``prescription_drugs``."""
+    return scheduled_episodes(episode_days(drugs)).unionByName(prn_episodes(drugs))
 
 
 def episode_lines(drugs: DataFrame, days: DataFrame) -> DataFrame:

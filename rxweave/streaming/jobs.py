@@ -1,4 +1,4 @@
-"""Streaming jobs: ingest, de-duplication, episodes and event counts.
+"""Streaming jobs: ingest, de-duplication and event counts.
 
 Every sink writes a micro-batch under its batch id in overwrite mode, so a
 batch that is repeated after a failure replaces its own output.
@@ -9,28 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxweave.operators import episodes as E
 from rxweave.operators.events import window_counts
 from rxweave.operators.medications import route_by_confidence
 from rxweave.plans.extraction import extract_prescriptions
 from rxweave.session import shared_folder
-
-
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
-
-
-def run_available(stream: DataFrame, process, checkpoint: str, mode: str = "append") -> None:
-    """Process everything there is now in micro-batches, then stop."""
-    started = stream.writeStream.outputMode(mode).foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    started.awaitTermination()
-
-
-def _put(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+from rxweave.streaming.files import put as _put
+from rxweave.streaming.files import run_available
 
 
 def deduplicate(docs: DataFrame, time_column: str, delay: str) -> DataFrame:
@@ -64,44 +48,6 @@ def stream_ingest(docs: DataFrame, folder: str | None = None) -> str:
     return out
 
 
-def stream_episodes(lines: DataFrame, folder: str | None = None) -> str:
-    """Keep prescription drugs per batch and refresh the episodes they touch.
-
-    Stored rows are at prescription × drug grain and are merged on read, so
-    late or repeated prescriptions give the same episodes as a batch run over
-    everything; rows older than their drug's newest known day also go to
-    ``late``.
-    """
-    out = folder or shared_folder(lines.sparkSession, "episodes")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        drugs = E.prescription_drugs(batch)
-        _put(drugs, f"{out}/drugs", batch_id)
-        known = spark.read.parquet(f"{out}/drugs")
-        fresh = known.where(F.col("batch_id") == batch_id)
-        keys = ["patient_id", "inn"]
-        newest = known.where(F.col("batch_id") < batch_id).groupBy(*keys).agg(F.max("rx_date").alias("newest"))
-        late = fresh.join(newest, keys).where(F.col("rx_date") < F.col("newest")).drop("newest", "batch_id")
-        _put(late, f"{out}/late", batch_id)
-        touched = merge_drugs(known.join(fresh.select(*keys).distinct(), keys, "left_semi"))
-        _put(E.medication_episodes(touched), f"{out}/updates", batch_id)
-
-    run_available(lines, sink, f"{out}/_checkpoint")
-    return out
-
-
-def merge_drugs(stored: DataFrame) -> DataFrame:
-    """One row per prescription and drug over all batches, the first one seen."""
-    first = F.min_by(F.struct(*E.LINE_FIELDS), "batch_id")
-    merged = stored.groupBy("patient_id", "inn", "rx_id", "rx_date").agg(first.alias("l"))
-    return merged.select("patient_id", "inn", "rx_id", "rx_date", "l.*")
-
-
-def current_episodes(spark: SparkSession, folder: str) -> DataFrame:
-    return E.medication_episodes(merge_drugs(spark.read.parquet(f"{folder}/drugs")))
-
-
 def stream_event_log(log: DataFrame, width: str, delay: str, folder: str | None = None) -> str:
     """Events per type and window, kept up to date as they arrive."""
     out = folder or shared_folder(log.sparkSession, "events")
