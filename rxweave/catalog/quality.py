@@ -16,9 +16,6 @@ from rxweave.plans import corpus as C
 from rxweave.plans import extraction as X
 from rxweave.session import cut_lineage, shared_folder, dealt
 from rxweave.sources import readers, writers
-from rxweave.streaming import episodes as SE
-from rxweave.streaming import jobs
-from rxweave.streaming.files import file_stream
 
 # --- matching: expected outcomes per kind of document ---------------------------
 
@@ -279,70 +276,3 @@ def sink_metrics(spark, sf):
     metrics = prf_micro(spark, sf)
     writers.sink_metrics(out, metrics)
     return spark.read.schema(metrics.schema).json(out)
-
-
-# --- streams ----------------------------------------------------------------------------------
-
-def _stream(spark, sf, table):
-    return file_stream(spark, sf, f"{table}.parquet", B.read(spark, sf, table).schema)
-
-
-@query("stream_ingest", sql("SELECT doc_id, CASE WHEN confidence < 0.5 THEN 'review_queue' ELSE 'prescriptions' END AS sink, m1 + m2 AS n_meds, confidence FROM rx_scored", **DOCS))
-def stream_ingest(spark, sf):
-    out = jobs.stream_ingest(B.rx_document_rows(_stream(spark, sf, "orders")))
-    rows = lambda t: spark.read.parquet(f"{out}/{t}").select("doc_id", F.lit(t).alias("sink"), F.size("medications").alias("n_meds"), "confidence")
-    return rows("prescriptions").unionByName(rows("review_queue"))
-
-
-@query("stream_dedupe", "SELECT DISTINCT sha256(text) AS upload_hash FROM documents")
-def stream_dedupe(spark, sf):
-    docs = _stream(spark, sf, "documents").withColumn("received_at", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")))
-    return spark.read.parquet(jobs.stream_dedupe(docs, "received_at", "3650 days")).select("upload_hash")
-
-
-@query("first_uploads", "SELECT min(doc_id) AS doc_id, sha256(text) AS upload_hash FROM documents GROUP BY sha256(text)")
-def first_uploads(spark, sf):
-    docs = readers.fingerprint(B.read(spark, sf, "documents").select("doc_id", "text"))
-    return readers.first_uploads(docs.drop("text"))
-
-
-def _arrivals(spark, sf, jitter: int, delay_days: int):
-    """Episodes of a stream whose lines arrive in three micro-batches, up to ``jitter`` days after their day."""
-    source, out = shared_folder(spark, "arrivals"), shared_folder(spark, "episodes")
-    lines = B.dated_medications(spark, sf).withColumn("_seen", F.date_add("rx_date", (F.col("rx_id") % jitter).cast("int")))
-    edges = [None, *_EDGES, None]
-    for low, high in zip(edges, edges[1:]):
-        part = lines.where((F.col("_seen") >= low if low else F.lit(True)) & (F.col("_seen") < high if high else F.lit(True)))
-        part.drop("_seen").write.mode("append").parquet(source)
-        SE.stream_episodes(file_stream(spark, source, "*.parquet", lines.drop("_seen").schema), delay_days, out)
-    return out
-
-
-_EDGES = ["1997-06-01", "1999-09-01"]
-
-
-@query("stream_episodes", sql("SELECT patient_id, inn, episode_no, status, CAST(start_date AS VARCHAR) AS start_date, CAST(estimated_end_date AS VARCHAR) AS estimated_end_date, CAST(actual_end_date AS VARCHAR) AS actual_end_date, prescription_count, version, latest_dosage_value, doctor_id FROM episodes"))
-def stream_episodes(spark, sf):
-    """Three micro-batches, out of order within the delay: the same episodes as from all lines at once."""
-    out = _arrivals(spark, sf, 45, 60)
-    text = lambda c: F.col(c).cast("string").alias(c)
-    return SE.current_episodes(spark, out).select("patient_id", "inn", "episode_no", "status", text("start_date"), text("estimated_end_date"), text("actual_end_date"),
-                                                  "prescription_count", "version", "latest_dosage_value", "doctor_id")
-
-
-@query("stream_event_log", sql("SELECT CAST(CAST(date_trunc('day', created_at) AS DATE) AS VARCHAR) AS window_start, event_type, count(*) AS n FROM history_events GROUP BY 1, 2"))
-def stream_event_log(spark, sf):
-    out = jobs.stream_event_log(B.history_event_rows(_stream(spark, sf, "events")), "1 day", "2 days")
-    return jobs.latest_counts(spark, out).select(F.to_date("window_start").cast("string").alias("window_start"), "event_type", "n")
-
-
-_SEEN = f"""SELECT patient_id, inn, rx_id, rx_date, CASE WHEN rx_date + CAST(rx_id % 400 AS INTEGER) < DATE '{_EDGES[0]}' THEN 0 WHEN rx_date + CAST(rx_id % 400 AS INTEGER) < DATE '{_EDGES[1]}' THEN 1 ELSE 2 END AS batch
-    FROM (SELECT DISTINCT patient_id, inn, rx_id, rx_date FROM medications)"""
-
-
-@query("late_prescriptions", sql("""SELECT patient_id, inn, rx_id, CAST(rx_date AS VARCHAR) AS rx_date, CAST(batch AS INTEGER) AS batch_id FROM seen s
-    WHERE rx_date <= (SELECT max(rx_date) FROM seen t WHERE t.batch < s.batch) - 90""", seen=_SEEN))
-def late_prescriptions(spark, sf):
-    """Lines that arrive up to 400 days late, with a delay of 90 days."""
-    out = _arrivals(spark, sf, 400, 90)
-    return SE.late_lines(spark, out).select("patient_id", "inn", "rx_id", F.col("rx_date").cast("string").alias("rx_date"), "batch_id")

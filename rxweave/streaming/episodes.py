@@ -107,7 +107,8 @@ def fold_batch(lines: DataFrame, batch_id: int, out: str, delay_days: int, bucke
     put(pool.groupBy(*KEYS, "rx_id", "rx_date").agg(F.min("l").alias("l")), f"{out}/pool", batch_id)
     due = E.line_columns(read_paths(spark, arrived.schema, [f"{out}/pool/batch_id={batch_id}"]).where(F.col("rx_date") <= F.lit(watermark)))
     days = E.prescription_days(due)
-    wanted = sorted(r[0] for r in days.select(_bucket(buckets).alias("b")).distinct().collect())  # at most as many as there are buckets
+    scheduled = E.with_defaults(due).where("NOT is_prn")
+    wanted = sorted(r[0] for r in scheduled.select(_bucket(buckets).alias("b")).distinct().collect())  # at most as many as there are buckets
     versions = list(before["versions"])
     state = read_paths(spark, state_schema(days), _state_paths(out, versions, wanted))
     put(fold(days, state), f"{out}/folded", batch_id)

@@ -1,4 +1,4 @@
-"""Streaming jobs: ingest, de-duplication and event counts.
+"""Event counts of a stream.
 
 Every sink writes a micro-batch under its batch id in overwrite mode, so a
 batch that is repeated after a failure replaces its own output.
@@ -10,44 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxweave.operators.events import window_counts
-from rxweave.operators.medications import route_by_confidence
-from rxweave.plans.extraction import extract_prescriptions
 from rxweave.session import shared_folder
 from rxweave.streaming.files import put as _put
 from rxweave.streaming.files import run_available
 
 
-def deduplicate(docs: DataFrame, time_column: str, delay: str) -> DataFrame:
-    """Drop repeated content that arrives within the delay."""
-    hashed = docs.withColumn("upload_hash", F.sha2(F.col("text").cast("binary"), 256))
-    return hashed.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["upload_hash"])
-
-
-def stream_dedupe(docs: DataFrame, time_column: str, delay: str, folder: str | None = None) -> str:
-    """Write first uploads only; returns the folder of the result."""
-    out = folder or shared_folder(docs.sparkSession, "dedupe")
-    first = deduplicate(docs, time_column, delay)
-    run_available(first, lambda df, batch: _put(df, f"{out}/first", batch), f"{out}/_checkpoint")
-    return f"{out}/first"
-
-
-def stream_ingest(docs: DataFrame, folder: str | None = None) -> str:
-    """Extract and route documents: accepted ones to ``prescriptions``, the
-    others to ``review_queue``."""
-    out = folder or shared_folder(docs.sparkSession, "ingest")
-    routed = route_by_confidence(extract_prescriptions(docs))
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        # written once, then split, so the texts are parsed a single time
-        _put(batch, f"{out}/_routed", batch_id)
-        stored = batch.sparkSession.read.parquet(f"{out}/_routed/batch_id={batch_id}")
-        _put(stored.where(~F.col("needs_review")), f"{out}/prescriptions", batch_id)
-        _put(stored.where("needs_review"), f"{out}/review_queue", batch_id)
-
-    run_available(routed, sink, f"{out}/_checkpoint")
-    return out
-
-
 def stream_event_log(log: DataFrame, width: str, delay: str, folder: str | None = None) -> str:
     """Events per type and window, kept up to date as they arrive."""
     out = folder or shared_folder(log.sparkSession, "events")

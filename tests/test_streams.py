@@ -8,7 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rxweave.operators import episodes as E
+from rxweave.operators import labs as L
+from rxweave.refdata import tables
 from rxweave.streaming import episodes as SE
+from rxweave.streaming import ingest as I
+from rxweave.streaming import uploads as U
 from rxweave.streaming.files import file_stream
 from tests.test_clinical import DAY, GAPS, fold
 
@@ -110,3 +114,87 @@ def test_a_repeated_batch_replaces_its_output(spark, tmp_path, monkeypatch):
                 assert "lost" in str(e)
     rows = lambda f: sorted(map(str, SE.current_episodes(spark, f).collect()))
     assert len(calls) > 18 and rows(out) == rows(clean)
+
+
+# --- uploads and ingest ---------------------------------------------------------------
+
+def test_first_uploads_of_batches(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(i, r.choice(["a", "b", "", None, "x" * 50, f"t{i % 60}"])) for i in range(400)]
+    batches = [rows[:100], rows[300:], [], rows[100:300]]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in batches:
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        U.stream_first_uploads(file_stream(spark, source, "*.parquet", "doc_id long, text string"), out, buckets=8)
+    seen, want = set(), set()
+    for part in batches:
+        for i, t in sorted(part, key=lambda x: x[0]):
+            if (t or "") not in seen:
+                want.add(i)
+            seen.add(t or "")
+    assert {x.doc_id for x in spark.read.parquet(f"{out}/first").collect()} == want
+    U.first_of_batch(spark.createDataFrame(batches[3], "doc_id long, text string"), 3, out, buckets=8)  # repeated
+    assert {x.doc_id for x in spark.read.parquet(f"{out}/first").collect()} == want
+
+
+def history(spark):
+    brands = spark.createDataFrame([("bloodthin", "warfarin"), ("painaway", "ibuprofen"), ("sugarlow", "metformin")], "brand_name string, inn string")
+    rx = spark.createDataFrame([(1, 7, DAY)], "rx_id long, patient_id long, created_at date")
+    med = spark.createDataFrame([(1, "warfarin", None, True)], "rx_id long, inn string, duration_days int, is_active boolean")
+    labs = L.latest_labs(spark.createDataFrame([(1, 8, "CREATININE", 2.0, "mg/dL", "0.7 - 1.3", "high", DAY, dt.datetime(2024, 1, 1))],
+                                               "result_id long, patient_id long, analyte_name string, value double, unit string, ref_range string, flag string, report_date date, created_at timestamp"))
+    return I.History(brands, rx, med, labs, tables.baseline_rules(spark).where("false"), DAY)
+
+
+GOOD = "Reg. MH{0}\nAge: 40 yrs\nDate: 01/01/2024\nTab. {1} 50mg BD x 5 days"
+UPLOADS = [
+    [(10, 7, GOOD.format(1, "Painaway")), (11, 8, GOOD.format(2, "Sugarlow")), (12, 9, "noise"), (13, 9, None), (14, None, GOOD.format(3, "Painaway"))],
+    [(20, 8, GOOD.format(4, "Bloodthin")), (21, 7, GOOD.format(1, "Painaway")), (22, 9, "noise")],
+    [(30, 8, GOOD.format(5, "Painaway")), (30, 8, GOOD.format(5, "Painaway"))],
+]
+
+
+def ingested(spark, path, known):
+    source, out = str(path / "in"), str(path / "out")
+    for rows in UPLOADS:
+        spark.createDataFrame(rows, "doc_id long, patient_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        for _ in range(12):
+            try:
+                I.stream_ingest(file_stream(spark, source, "*.parquet", "doc_id long, patient_id long, text string"), known, out)
+                break
+            except Exception as e:
+                assert "lost" in str(e)
+    return out
+
+
+def stored(spark, out):
+    return {s: sorted(map(str, I.committed(spark, out, s).collect())) for s in I.SINKS}
+
+
+def test_sinks_of_failed_batches_equal_a_clean_run(spark, tmp_path, monkeypatch):
+    known = history(spark)
+    clean = ingested(spark, tmp_path / "clean", known)
+    rows = stored(spark, clean)
+    pairs = {(x.doc_id, x.drug_1, x.drug_2) for x in I.committed(spark, clean, "drug_interactions").collect()}
+    # 10 with the stored drug, 30 with one of an earlier batch; 21, 22 and the second 30 are repeated uploads
+    assert pairs == {(10, "ibuprofen", "warfarin"), (30, "ibuprofen", "warfarin")}
+    assert {x.doc_id for x in I.committed(spark, clean, "prescriptions").collect()} == {10, 11, 14, 20, 30}
+    assert sorted(x.item_id for x in I.committed(spark, clean, "review_queue").collect()) == [12, 13]
+    assert {(x.doc_id, x.severity) for x in I.committed(spark, clean, "safety_alerts").collect()} == {(11, "critical")}
+    assert len(rows["medications"]) == 5 and len(rows["prescriptions"]) == 5
+    plain, calls, broken = I.put, [], []
+
+    def failing(df, path, batch_id):
+        calls.append(path)
+        if len(calls) in (3, 7, 20):
+            broken.append((path, stored(spark, path.rsplit("/", 1)[0]) if batch_id else None))
+            raise OSError("lost")
+        plain(df, path, batch_id)
+
+    monkeypatch.setattr(I, "put", failing)
+    again = ingested(spark, tmp_path / "again", known)
+    assert len(broken) == 3 and stored(spark, again) == rows
+    first = {s: [x for x in v if "batch_id=0" in x] for s, v in rows.items()}
+    assert all(seen is None or all(set(v) <= set(rows[s]) for s, v in seen.items()) for _, seen in broken) and first["prescriptions"]
+    I.ingest_batch(spark.createDataFrame(UPLOADS[2][:1], "doc_id long, patient_id long, text string"), 2, again, known)  # has its marker
+    assert stored(spark, again) == rows
