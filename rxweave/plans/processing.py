@@ -31,10 +31,14 @@ def normalized_medications(docs: DataFrame, brands: DataFrame) -> tuple[DataFram
 
 def process_prescriptions(docs: DataFrame, brands: DataFrame, rx: DataFrame, med: DataFrame, labs: DataFrame,
                           rules: DataFrame, as_of: dt.date) -> dict[str, DataFrame]:
-    """Extract, normalize, check and route a batch of documents."""
+    """Extract, normalize, check and route a batch of documents, over a history of prescriptions and lines."""
+    return process_documents(docs, brands, distinct_inns(active_medications(med, rx, as_of)), labs, rules)
+
+
+def process_documents(docs: DataFrame, brands: DataFrame, active: DataFrame, labs: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
+    """The same over the patients' distinct current drugs (patient_id, inn)."""
     routed, normalized = normalized_medications(docs, brands)
     normalized = cut_lineage(docs.sparkSession, normalized, "normalized")
-    active = distinct_inns(active_medications(med, rx, as_of))
     new = normalized.where(F.coalesce("inn", F.lit("")) != "").select("doc_id", "patient_id", F.lower("inn").alias("inn")).distinct()
     found = document_interactions(routed.select("doc_id", "patient_id").join(new.select("doc_id", "inn"), "doc_id"), active)
     alerts = safety_alerts(new.where(F.col("patient_id").isNotNull()), labs, rules, ("doc_id", "patient_id"))
