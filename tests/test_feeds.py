@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rxweave.operators import rule_changes as RC
+from rxweave.plans import resolution as RS
+from rxweave.refdata import tables
 from rxweave.operators.running import ANY, LAST, SUM, running
 
 FIELD_TYPES = ("drug_inn string, analyte_name string, operator string, threshold_value double, threshold_value_max double, flag_match string, gender_specific string, severity string, "
@@ -101,3 +103,59 @@ def test_one_name_through_a_feed(spark):
     assert current == {"a": ("M", 3, True, "metformin", "TSH", 10), "b": ("N", 1, True, "metformin", "TSH", 5)}
     empty = folded(spark, [], [])
     assert all(df.count() == 0 for df in empty.values())
+
+
+# --- resolutions ------------------------------------------------------------------------
+
+def resolution_inputs(spark):
+    queue = spark.createDataFrame(
+        [(1, 7, 5, "prescription", False, "x"), (2, 7, 5, "prescription", False, "y"), (3, 8, None, "prescription", False, "z"), (4, 8, 9, "prescription", False, None),
+         (5, 8, 5, "lab", False, None), (6, 8, 5, "prescription", True, None), (7, None, 5, "prescription", False, None)],
+        "item_id long, patient_id long, facility_id int, item_type string, resolved boolean, note string")
+    clinicians = spark.createDataFrame([(10, "rx"), (11, "lab"), (12, "both"), (13, "both")], "clinician_id long, scopes string")
+    bridge = spark.createDataFrame([(10, 5), (10, 6), (11, 5), (12, 5), (12, 5), (13, 2)], "clinician_id long, facility_id int")
+    feed = spark.createDataFrame(
+        [(1, 1, 10, 7, None), (2, 1, 10, 7, "  "), (3, 1, 12, 7, "agreed"), (4, 1, 10, 7, "again"), (5, 2, 11, 7, "r"), (6, 4, 10, 8, "r"), (7, 3, 13, 8, None), (8, 5, 12, 8, None), (9, 6, 10, 8, None),
+         (10, 99, 10, 8, None), (11, 2, 77, 8, None), (12, 7, 10, None, None), (13, 2, 13, 7, None)],
+        "seq long, item_id long, clinician_id long, patient_id long, override_reason string").withColumns(
+        {"doctor_reg": F.lit("MH1"), "patient_age": F.lit("40"), "diagnosis": F.lit(None).cast("string"), "prescription_date": F.lit("03/02/2024")})
+    lines = spark.createDataFrame([(s, n, name, 5.0) for s in range(1, 14) for n, name in enumerate(["Painawai", "Sugarlow"])], "seq long, line_no int, raw_drug_name string, dosage_value double")
+    brands = spark.createDataFrame([("painaway", "ibuprofen"), ("sugarlow", "metformin")], "brand_name string, inn string")
+    active = spark.createDataFrame([(7, "warfarin")], "patient_id long, inn string")
+    labs = spark.createDataFrame([(9, "TSH", 1.0, "u", "r", "f")], "patient_id long, analyte_name string, value double, unit string, ref_range string, flag string")
+    return feed, lines, queue, clinicians, bridge, brands, active, labs, tables.baseline_rules(spark).where("false")
+
+
+def test_resolutions_as_tables(spark):
+    out = RS.resolve_prescriptions(*resolution_inputs(spark))
+    told = {x.seq: (x.outcome, x.problem) for x in out["outcomes"].collect()}
+    assert told == {
+        1: ("rejected", "override_required"), 2: ("rejected", "override_required"), 3: ("resolved", None), 4: ("refused", "closed"), 5: ("refused", "scope"), 6: ("refused", "facility"),
+        7: ("resolved", None), 8: ("refused", "wrong_type"), 9: ("refused", "closed"), 10: ("refused", "item_not_found"), 11: ("refused", "clinician_not_found"), 12: ("resolved", None), 13: ("refused", "facility")}
+    rx = {x.item_id: (x.rx_id, x.patient_id, x.facility_id, x.confidence, str(x.prescription_date)) for x in out["prescriptions"].collect()}
+    assert rx == {1: ("resolution-3", 7, 5, 1.0, "2024-02-03"), 3: ("resolution-7", 8, None, 1.0, "2024-02-03"), 7: ("resolution-12", None, 5, 1.0, "2024-02-03")}
+    assert {(x.rx_id, x.line_no, x.inn, x.is_active) for x in out["medications"].collect()} == {(f"resolution-{s}", n, inn, True) for s in (3, 7, 12) for n, inn in enumerate(["ibuprofen", "metformin"])}
+    assert [(x.rx_id, x.drug_1, x.drug_2) for x in out["interactions"].collect()] == [("resolution-3", "ibuprofen", "warfarin")]
+    audit = {x.item_id: (x.clinician_id, x.facility_id, x.action, x.override_reason, x.needs_admin_oversight) for x in out["audit"].collect()}
+    assert audit == {1: (12, 5, "override_safety", "agreed", True), 3: (13, 2, "resolve_rx", None, False), 7: (10, 5, "resolve_rx", None, False)}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    inputs = resolution_inputs(spark)
+    out, path = RS.resolve_prescriptions(*inputs), str(tmp_path / "queue")
+    extra = spark.range(100, 400).selectExpr("id AS item_id", "1L AS patient_id", "5 AS facility_id", "'lab' AS item_type", "false AS resolved", "'n' AS note")
+    RS.store_queue(inputs[2].unionByName(extra), path, 64)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "queue").rglob("*.parquet")}
+    before = files()
+    touched = RS.store_resolutions(spark, str(tmp_path / "out"), 0, out, path, 64)
+    after = files()
+    rewritten = {f.parent.name for f in after if after[f] != before.get(f)}
+    assert rewritten == {f"bucket={k}" for k in touched} and 0 < len(touched) <= 3 and len(before) > 30
+    rows = {x.item_id: (x.resolved, x.patient_id, x.note) for x in spark.read.parquet(path).collect()}
+    assert len(rows) == 307 and [i for i, r in rows.items() if r[0]] != [] and {i for i, r in rows.items() if r[0]} == {1, 3, 6, 7}
+    assert rows[1] == (True, 7, "x") and rows[2] == (False, 7, "y") and rows[7] == (True, None, None)
+    RS.store_resolutions(spark, str(tmp_path / "out"), 0, out, path, 64)  # repeated
+    assert {x.item_id: (x.resolved, x.patient_id, x.note) for x in spark.read.parquet(path).collect()} == rows
+    assert spark.read.parquet(str(tmp_path / "out" / "prescriptions")).count() == 3
+    none = {k: v.where("false") for k, v in out.items()}
+    assert RS.close_items(spark, path, none["queue"], 64) == []
