@@ -12,14 +12,16 @@ candidates. Pairs are sifted by a sketch of one byte per coordinate and decided
 on the exact similarity of the texts. Classes are connected components. There
 are two rounds:
 
-1. Each node meets a few centres of its buckets, at most 5 m pairs in a bucket of
-   m nodes. This connects most of what is near.
-2. In buckets that still hold several components, all pairs of different ones
-   meet: in a small bucket one by one, and in the large ones by prefix filtering
-   on shingles, rare ones first, which leaves out only pairs that can't be near.
-
-So every pair that shares a bucket is checked, or proven to be below the
-threshold, or in one component already.
+1. Each node meets one centre of each of its buckets: the node with the most
+   company, which of an original and its edited copies is the original. That
+   connects most of what is near, with about one pair a node.
+2. Buckets that still hold several components are cut into blocks of bounded
+   size. A task compares two blocks and returns only the links that join
+   components it has not yet joined, so at most one row a node. The nodes of a
+   bucket's largest component meet the others, not each other, and a pair is
+   compared in the first band that it shares only.
+
+So every pair that shares a bucket is checked, or in one component already.
 """
 
 from __future__ import annotations
@@ -45,12 +47,12 @@ BANDS = COORDINATES // ROWS
 #: Pairs whose sketches agree less than this are not read; six standard errors below the threshold.
 SKETCH_LEAST = 0.58
 
-#: Buckets of at most this many nodes are compared pair by pair in the second round. In one of up to three, the centres have met all.
-SMALL_BUCKET = 32
-ALL_MET = 3
+#: Nodes and bytes of text of a block in the second round; a task holds two blocks.
+BLOCK_NODES = 256
+BLOCK_BYTES = 32 << 20
 
-#: Shingles are counted in so many cells to order them; the order decides the work only, not the result.
-CELL_BITS = 18
+#: In a bucket of at most so many nodes the centre has met all others.
+ALL_MET = 2
 
 #: Bytes of text hashed at once.
 HASHED_BYTES = 2 << 20
@@ -197,131 +199,143 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs of each bucket's nodes with three of them, and of those that share the next band too with two.
+    """Pairs of each bucket's nodes with one of them, that with the most company over all its buckets.
 
-    The first is the node with the most company over all its buckets: of an
-    original and its edited copies, which may be near to the original only, it
-    is the original. The others differ from bucket to bucket.
+    Of an original and its edited copies, which may be near to the original
+    only, it is the original.
     """
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    ranked = members.join(company, "node").withColumn("most", F.struct("company", "node"))
-    mixed_up = F.struct(F.xxhash64("node", "bucket").alias("order"), F.col("node"))
-    centres = ranked.groupBy("bucket").agg(F.max("most").alias("first"), F.min(mixed_up).alias("second"), F.max(mixed_up).alias("third"))
-    narrow = ranked.withColumn("bucket", F.xxhash64("bucket", "next"))
-    inner = narrow.groupBy("bucket").agg(F.max("most").alias("first"), F.min(mixed_up).alias("second"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = members.join(centres, "bucket").select("node", F.explode(F.array("first.node", "second.node", "third.node")).alias("centre"))
-    pairs = pairs.unionByName(narrow.select("bucket", "node").join(inner, "bucket").select("node", F.explode(F.array("first.node", "second.node")).alias("centre")))
-    return pairs.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-
-def _elements(texts: list[str | None], counted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of each shingle, or, if ``counted``, of each occurrence of it."""
-    document, value, count = shingles(texts)
-    if not counted:
-        return document, value
-    which = np.repeat(np.arange(len(value)), count)
-    turn = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    return document[which], mixed(value[which] + mixed(turn.astype(np.uint64)))
-
-
-def _cells(counted: bool):
-    """From texts to cells of shingles and how many fall in each."""
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, 2, HASHED_BYTES):
-                cell, n = np.unique(_elements(piece.column(2).to_pylist(), counted)[1] >> np.uint64(64 - CELL_BITS), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
-
-    return run
-
-
-def _prefixes(often: np.ndarray, counted: bool):
-    """From texts to their first shingles, rarest first.
-
-    Of two near texts of a and b shingles, a <= b, at least 2 s a / (1 + s) and
-    s b are common. So one of them is among the first of both, as many as could
-    be missing and one more: ``inner`` marks those of the smaller text.
-    """
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, 2, HASHED_BYTES):
-                document, element = _elements(piece.column(2).to_pylist(), counted)
-                order = np.lexsort((element, often[element >> np.uint64(64 - CELL_BITS)], document))
-                document, element = document[order], element[order]
-                total = np.bincount(document, minlength=piece.num_rows)
-                place = np.arange(len(document)) - (np.cumsum(total) - total)[document]
-                missing = lambda part: (total - np.ceil(part * total - 1e-6)).astype(np.int64)[document]
-                first = np.flatnonzero(place <= missing(SIMILARITY))
-                inner = place <= missing(2 * SIMILARITY / (1 + SIMILARITY))
-                rows = pa.array(document[first])
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(rows), piece.column(1).take(rows), pa.array(element[first].view(np.int64)), pa.array(total[document[first]].astype(np.int64)), pa.array(inner[first])], names=["node", "root", "shingle", "n", "inner"])
-
-    return run
+    ranked = members.join(company, "node").select("bucket", F.struct("company", "node").alias("most"))
+    centres = ranked.groupBy("bucket").agg(F.max("most").alias("first")).select("bucket", F.col("first.node").alias("centre"))
+    pairs = members.join(centres, "bucket").where("node <> centre")
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def _met_by_shingles(nodes: DataFrame, counted: bool) -> DataFrame:
-    """Pairs of ``nodes`` (node, root, text) with different roots, with at least all that are near.
+def _comparisons(members: DataFrame, classes: DataFrame, signs: DataFrame) -> DataFrame | None:
+    """Rows of the second round: the nodes of all buckets with several components, once for each pair of blocks they are in; none if there are no such buckets.
 
-    At each shingle the nodes of its most frequent root needn't meet each other.
+    A pair of blocks is named by ``bucket``, ``kind`` (0: one of the largest
+    component with one of the others, 1: two of the others), ``i`` and ``j``;
+    ``side`` is the block that the node is of.
     """
-    often = np.zeros(1 << CELL_BITS, np.int64)
-    for r in nodes.mapInArrow(_cells(counted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        often[r["cell"]] = r["n"]
-    first = cut_lineage(nodes.sparkSession, nodes.mapInArrow(_prefixes(often, counted), "node binary, root binary, shingle long, n long, inner boolean"), "prefixes")
-    per_root = first.groupBy("shingle", "root").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
-    shared = per_root.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"), F.max("inner").alias("some")).where("roots > 1 AND some")
-    met = cut_lineage(nodes.sparkSession, first.join(shared.select("shingle", F.col("most.root").alias("main")), "shingle"), "met")
-    x, y = met.where("root <> main").alias("x"), met.alias("y")
-    order = lambda small, large: f"(({small}.n < {large}.n OR {small}.n = {large}.n AND {small}.node < {large}.node) AND {small}.inner AND {small}.n >= {SIMILARITY - 1e-9} * {large}.n)"
-    pairs = x.join(y, F.expr(f"x.shingle = y.shingle AND x.root <> y.root AND ({order('x', 'y')} OR {order('y', 'x')})"))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, counted: bool) -> DataFrame | None:
-    """Pairs of the second round: in all buckets with several components, those of nodes of different ones; none if there are no such buckets."""
     spark = members.sparkSession
-    placed = members.where(F.col("size") > ALL_MET).select("node", "bucket", "size").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.where(F.col("size") > ALL_MET).select("node", "bucket").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    placed = cut_lineage(spark, placed.join(several, "bucket"), "open")
+    placed = cut_lineage(spark, placed.join(several, "bucket").join(signs.select("node", "bytes"), "node"), "open")
     if placed.isEmpty():
         return None
-    small = placed.where(F.col("size") <= SMALL_BUCKET).select("bucket", "node", "root")
-    pairs = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket AND x.node < y.node AND x.root <> y.root")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    large = placed.where(F.col("size") > SMALL_BUCKET).select("node", "root").distinct()
-    if large.isEmpty():
-        return pairs.distinct()
-    return pairs.unionByName(_met_by_shingles(large.join(texts, "node").select("node", "root", "text"), counted)).distinct()
+    per_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(size / BLOCK_BYTES)).cast("int")
+    main = F.max(F.struct("n", "bytes", "root"))
+    sizes = per_root.groupBy("bucket").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select(
+        "bucket", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("n_main"),
+        blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("n_rest"))
+    both = placed.join(sizes, "bucket").withColumn("is_main", F.col("root") == F.col("main"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
+    both = both.withColumn("block", block)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    named = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    own, first, second = F.col("block"), F.lit(0), F.lit(1)
+    for_main = F.transform(upto("n_rest"), lambda k: named(0, own, k, first))
+    for_rest = F.concat(F.transform(upto("n_main"), lambda k: named(0, k, own, second)),
+                        F.transform(upto("n_rest"), lambda k: named(1, F.least(k, own), F.greatest(k, own), F.when(own <= k, 0).otherwise(1))))
+    return both.select("node", "bucket", "root", F.explode(F.when(F.col("is_main"), for_main).otherwise(for_rest)).alias("t")).select("node", "bucket", "root", "t.*")
+
+
+class _Sets:
+    """Shingles of a group's texts, computed when they are first needed."""
+
+    def __init__(self, texts: list[str], counted: bool):
+        self.texts, self.counted, self.held = texts, counted, {}
+
+    def near(self, x: int, y: int) -> bool:
+        for i in (x, y):
+            if i not in self.held:
+                _, value, count = shingles([self.texts[i]])
+                self.held[i] = value, count if self.counted else np.ones_like(count)
+        return similarity(self.held[x], self.held[y]) >= SIMILARITY
+
+
+def _spanning(bucket: int, kind: int, same: bool, side: np.ndarray, roots: list[bytes], bands: np.ndarray, sketch: np.ndarray, texts: list[str], counted: bool) -> list[tuple[int, int]]:
+    """Links between rows of two blocks that join components, one for each join."""
+    number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    component = np.array([number[r] for r in roots])
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    sets, out = _Sets(texts, counted), []
+    left, right = (np.arange(len(roots)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for x in left:
+        others = right[right > x] if same else right
+        others = others[component[others] != component[x]]
+        if not len(others):
+            continue
+        others = others[(sketch[others] == sketch[x]).mean(1) >= SKETCH_LEAST]
+        others = others[(bands[others] == bands[x]).argmax(1) == band]  # else an earlier bucket compares them
+        for y in others:
+            if component[x] != component[y] and sets.near(x, y):
+                out.append((int(x), int(y)))
+                component[component == component[y]] = component[x]
+    return out
+
+
+def _compared(counted: bool):
+    """From rows ordered by their pair of blocks to the links that join components."""
+    names = ["bucket", "kind", "i", "j"]
+
+    def links(group: pa.Table) -> pa.RecordBatch:
+        bucket, kind, i, j = (group.column(n)[0].as_py() for n in names)
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        found = _spanning(bucket, kind, kind == 1 and i == j, group.column("side").to_numpy(), group.column("root").to_pylist(), bands, sketch, group.column("text").to_pylist(), counted)
+        nodes = group.column("node").to_pylist()
+        ends = [[nodes[pair[k]] for pair in found] for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], names=["a", "b"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(n).to_numpy() for n in names], 1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+            for a, b in zip(cuts, cuts[1:]):
+                mine = tuple(marks[a].tolist())
+                if held and mine != key:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                key = mine
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
 
 
 def near_classes(nodes: DataFrame, texts: DataFrame, counted: bool = False) -> DataFrame:
     """``node`` and ``root`` of all nodes that are near to another one.
 
-    ``nodes``: node, bands, sketch, one row per node. ``texts``: node, text, any number of equal rows per node.
+    ``nodes``: node, bands, sketch, bytes, one row per node. ``texts``: node, text, any number of equal rows per node.
     """
     spark = nodes.sparkSession
-    following = F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1))
-    members = nodes.select("node", F.explode(F.arrays_zip(F.col("bands").alias("bucket"), following.alias("next"))).alias("x")).select("node", "x.*")
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(spark, members.join(shared, "bucket"), "buckets")
-    sketches = cut_lineage(spark, nodes.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
-
-    def sifted(pairs):
-        both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(
-            sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
-        return cut_lineage(spark, both.mapInArrow(_sifted, "a binary, b binary"), "pairs")
-
-    def links(close):
-        full = close.join(read.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return cut_lineage(spark, full.select("a", "b", "ta", "tb").mapInArrow(_checked(counted), "a binary, b binary"), "links")
-
-    close = sifted(_candidates(members))
+    signs = cut_lineage(spark, nodes.select("node", "bands", "sketch", "bytes").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
+    half = lambda end: signs.select(F.col("node").alias(end), F.col("sketch").alias(f"s{end}"))
+    close = _candidates(members).join(half("a"), "a").join(half("b"), "b").select("a", "b", "sa", "sb")
+    close = cut_lineage(spark, close.mapInArrow(_sifted, "a binary, b binary"), "pairs")
     wanted = close.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.where(F.col("size") > ALL_MET).select("node")).distinct()
     # the one shuffle of all texts; the same join at every size
     read = cut_lineage(spark, texts.hint("merge").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    classes = components(links(close))
-    pairs = _open_pairs(members, classes, read, counted)
-    more = None if pairs is None else links(sifted(pairs))
-    if more is None or more.isEmpty():
+    full = close.join(read.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    links = cut_lineage(spark, full.select("a", "b", "ta", "tb").mapInArrow(_checked(counted), "a binary, b binary"), "links")
+    classes = components(links)
+    rows = _comparisons(members, classes, signs)
+    if rows is None:
+        return classes
+    keys = ["bucket", "kind", "i", "j"]
+    rows = rows.join(signs.select("node", "bands", "sketch"), "node").join(read, "node").repartition(*keys).sortWithinPartitions(*keys)
+    more = cut_lineage(spark, rows.mapInArrow(_compared(counted), "a binary, b binary"), "more")
+    if more.isEmpty():
         return classes
     return components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more))
 
@@ -341,8 +355,9 @@ def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counted:
     """Per row of ``docs``: doc_id, node (the text's digest) and root (the least node of its class); both null for a null text."""
     rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), _digest(text).alias("node"), F.col(quoted(text)).cast("string").alias("text"))
     fields = [T.StructField("bands", T.ArrayType(T.LongType())), field("sketch", "binary")]
-    signed = cut_lineage(docs.sparkSession, map_texts(rows, ["doc_id", "node"], "text", fields, _sketched(counted), HASHED_BYTES), "signatures")
-    nodes = signed.where("bands IS NOT NULL").select("node", "bands", "sketch").dropDuplicates(["node"])
+    sized = rows.withColumn("bytes", F.octet_length("text").cast("long"))
+    signed = cut_lineage(docs.sparkSession, map_texts(sized, ["doc_id", "node", "bytes"], "text", fields, _sketched(counted), HASHED_BYTES), "signatures")
+    nodes = signed.where("bands IS NOT NULL").select("node", "bands", "sketch", "bytes").dropDuplicates(["node"])
     classes = near_classes(nodes, rows.select("node", "text"), counted)
     return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 

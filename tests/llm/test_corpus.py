@@ -121,7 +121,8 @@ def family(n, pairs, size=500, changes=8, common=3):
 
 def test_near_pairs_within_a_family_of_texts_below_the_limit(spark, monkeypatch):
     """The centres are made to miss all pairs: what they leave must be found without them."""
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 8, raising=False)
+    monkeypatch.setattr(neardup, "ALL_MET", 1)
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 8)
     centres = neardup._candidates
     monkeypatch.setattr(neardup, "_candidates", lambda members: centres(members).where("false"))
     rows = family(60, 40)
