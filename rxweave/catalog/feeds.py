@@ -102,19 +102,17 @@ _RESOLVE = dict(
     item_drugs="SELECT DISTINCT q.item_id, q.patient_id, m.inn FROM review_queue q JOIN medications m ON m.rx_id = q.item_id", drugs="SELECT * FROM item_drugs WHERE patient_id IS NOT NULL", **keyed_alerts("item_id"),
     item_all="SELECT item_id, inn FROM item_drugs UNION SELECT i.item_id, a.inn FROM item_drugs i JOIN active_drugs a ON a.patient_id = i.patient_id",
     item_pairs="SELECT a.item_id, a.inn AS drug_1, b.inn AS drug_2 FROM item_all a JOIN item_all b ON a.item_id = b.item_id AND a.inn < b.inn",
-    item_found="""SELECT p.*, r.severity FROM item_pairs p JOIN pair_rules r ON r.drug_1 = p.drug_1 AND r.drug_2 = p.drug_2
-        UNION ALL SELECT p.*, c.severity FROM item_pairs p JOIN drug_classes x ON x.inn = p.drug_1 JOIN drug_classes y ON y.inn = p.drug_2
-        JOIN class_pairs c ON (c.class_a = x.drug_class AND c.class_b = y.drug_class) OR (c.class_a = y.drug_class AND c.class_b = x.drug_class)
-        WHERE NOT EXISTS (SELECT 1 FROM pair_rules r WHERE r.drug_1 = p.drug_1 AND r.drug_2 = p.drug_2)""",
+    item_found="SELECT p.*, r.severity FROM item_pairs p JOIN (SELECT * FROM pair_rules UNION ALL SELECT * FROM class_rules) r ON r.drug_1 = p.drug_1 AND r.drug_2 = p.drug_2",
     item_state="""SELECT q.*, q.item_id % 10 AS clinician_id, coalesce(f.major, FALSE) AS has_major, coalesce(a.critical, FALSE) AS has_critical, coalesce(f.n, 0) AS n_interactions, coalesce(a.n, 0) AS n_alerts,
-        (SELECT min(facility_id) FROM clinician_facilities x WHERE x.clinician_id = q.item_id % 10) AS home,
-        CASE WHEN c.scopes IS NULL THEN 'clinician_not_found' WHEN q.facility_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM clinician_facilities x WHERE x.clinician_id = q.item_id % 10 AND x.facility_id = q.facility_id) THEN 'facility'
-          WHEN c.scopes = 'lab' THEN 'scope' WHEN q.item_type <> 'prescription' THEN 'wrong_type' WHEN q.resolved THEN 'closed' END AS barred
-        FROM review_queue q LEFT JOIN clinicians c ON c.clinician_id = q.item_id % 10
+        h.home, CASE WHEN c.s_suppkey IS NULL THEN 'clinician_not_found' WHEN q.facility_id IS NOT NULL AND m.facility_id IS NULL THEN 'facility'
+          WHEN c.s_suppkey % 3 = 1 THEN 'scope' WHEN q.item_type <> 'prescription' THEN 'wrong_type' WHEN q.resolved THEN 'closed' END AS barred
+        FROM review_queue q LEFT JOIN supplier c ON c.s_suppkey = q.item_id % 10
+        LEFT JOIN clinician_facilities m ON m.clinician_id = q.item_id % 10 AND m.facility_id = q.facility_id
+        LEFT JOIN (SELECT clinician_id, min(facility_id) AS home FROM clinician_facilities GROUP BY 1) h ON h.clinician_id = q.item_id % 10
         LEFT JOIN (SELECT item_id, bool_or(severity = 'major') AS major, count(*) AS n FROM item_found GROUP BY 1) f ON f.item_id = q.item_id LEFT JOIN alerts_of a ON a.item_id = q.item_id""",
-    tries="""SELECT s.*, s.item_id * 2 + t.again AS seq, barred IS NULL AND (NOT (has_major OR has_critical) OR again = 1) AS passes FROM item_state s JOIN (VALUES (0), (1)) t(again) ON again = 0 OR s.item_id % 2 = 0""",
-    told="SELECT *, min(seq) FILTER (passes) OVER (PARTITION BY item_id) AS first_pass FROM tries",
-    done="SELECT *, 'resolution-' || seq AS rx_id, has_major OR has_critical AS needs FROM told WHERE seq = first_pass")
+    firsts="SELECT *, item_id * 2 + again AS first_pass FROM (SELECT *, CASE WHEN barred IS NOT NULL THEN NULL WHEN NOT (has_major OR has_critical) THEN 0 WHEN item_id % 2 = 0 THEN 1 END AS again FROM item_state)",
+    told="SELECT *, item_id * 2 AS seq FROM firsts UNION ALL SELECT *, item_id * 2 + 1 FROM firsts WHERE item_id % 2 = 0",
+    done="SELECT *, first_pass AS seq, 'resolution-' || first_pass AS rx_id, has_major OR has_critical AS needs FROM firsts WHERE first_pass IS NOT NULL")
 
 
 @query("resolution_outcomes", sql("""SELECT seq, item_id, clinician_id, patient_id, CASE WHEN barred IS NULL THEN has_major ELSE FALSE END AS has_major, CASE WHEN barred IS NULL THEN has_critical ELSE FALSE END AS has_critical,
