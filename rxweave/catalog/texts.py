@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from rxweave import bindings as B
 from rxweave.catalog.base import query
 from rxweave.catalog.core import keyed_alerts, latest, rule_table
-from rxweave.catalog.longitudinal import doctors_of
 from rxweave.catalog.sqlbind import at, items, sql
 from rxweave.functions import annotations as A
 from rxweave.functions import labs as L
@@ -119,6 +118,10 @@ _RXC = """SELECT *, round(greatest(0, least(1, CASE WHEN m1 + m2 > 0 THEN 0.4 EL
     + CASE WHEN prescription_date IS NULL THEN 0 ELSE 0.1 END + CASE WHEN patient_age IS NULL THEN 0 ELSE 0.1 END)), 4)::DOUBLE AS confidence FROM rx_texts"""
 DOCS = dict(rx_texts=_RX, rx_scored=_RXC)
 
+# the extracted lines with their documents' fields
+DOC_DRUG_COLUMNS = f"""SELECT *, 0 AS line_no, {at(B.CATALOG, 'k')} AS inn, brand1 AS raw_drug_name, 'twice daily' AS frequency, 5 AS duration_days FROM rx_scored WHERE m1 = 1
+    UNION ALL SELECT *, m1, {at(B.CATALOG, 'k + 1')}, brand2, 'three times daily', NULL FROM rx_scored WHERE m2 = 1"""
+
 
 def extracted(spark, sf):
     return X.extract_prescriptions(dealt(B.rx_documents(spark, sf)))
@@ -436,27 +439,3 @@ def process_prescriptions(spark, sf):
 @query("process_prescriptions_alerts", _SUMMARY)
 def process_prescriptions_alerts(spark, sf):
     return processed(spark, sf)["summary"]
-
-
-def accepted_medications(spark, sf):
-    _, rows = PR.normalized_medications(dealt(B.rx_documents(spark, sf)), brand_table(spark))
-    return rows.withColumn("doctor_id", F.col("doc_id") % 10)
-
-
-_AS_OF_DOC = dt.date(2001, 8, 1)
-_ACC = f"""SELECT d.doc_id AS rx_id, d.patient_id, d.inn, coalesce(CASE WHEN s.prescription_date IS NOT NULL THEN s.written END, DATE '2001-08-01') AS rx_date FROM doc_drugs d JOIN rx_scored s ON s.doc_id = d.doc_id WHERE s.confidence >= 0.5"""
-
-
-@query("update_history", sql("""SELECT rx_id, a.patient_id, a.inn, sha256(rx_id || '::' || a.inn) AS idempotency_key, CAST(rx_date AS VARCHAR) AS recorded_date FROM accepted a LEFT JOIN defaults s ON s.inn = a.inn WHERE NOT coalesce(s.is_prn, FALSE)""",
-    **DOCS, doc_drugs=_DOC_DRUGS, accepted=_ACC))
-def update_history(spark, sf):
-    out = PR.update_history(accepted_medications(spark, sf), doctors_of(spark, sf), _AS_OF_DOC)
-    return out["dosage_history"].select("rx_id", "patient_id", "inn", "idempotency_key", F.col("recorded_date").cast("string").alias("recorded_date"))
-
-
-@query("update_history_conditions")
-def update_history_conditions(spark, sf):
-    out = PR.update_history(accepted_medications(spark, sf), doctors_of(spark, sf), _AS_OF_DOC)
-    return out["conditions"].select("patient_id", "condition_code", "confidence", "speciality_group", "n_factors")
-
-

@@ -43,3 +43,18 @@ def resolve_doctors(mentions: DataFrame) -> DataFrame:
 
 def name_variants(mentions: DataFrame) -> DataFrame:
     return identified_mentions(mentions).where(F.col("reg_norm").isNotNull() & F.col("name").isNotNull()).select("reg_norm", "name").distinct()
+
+
+def with_doctor_ids(rows: DataFrame, doctors: DataFrame, reg: str = "doctor_reg") -> DataFrame:
+    """Rows with ``doctor_id``: that of the known doctor with the same normalized number (the least, if several have it),
+    as a string; of an unknown number, the number itself behind ``reg:``; null without a number."""
+    known = doctors.groupBy(normalize_registration(F.col("registration_number")).alias("_reg")).agg(F.min("doctor_id").cast("string").alias("_id"))
+    joined = rows.withColumn("_reg", normalize_registration(F.col(reg))).join(known.where("_reg IS NOT NULL"), "_reg", "left")
+    return joined.withColumn("doctor_id", F.coalesce("_id", F.concat(F.lit("reg:"), "_reg"))).drop("_id", "_reg")
+
+
+def registered_doctors(rows: DataFrame, doctors: DataFrame) -> DataFrame:
+    """Known doctors and one row per doctor that ``with_doctor_ids`` made of a number; ids are strings."""
+    known = doctors.select(F.col("doctor_id").cast("string").alias("doctor_id"), "name", "registration_number", "speciality")
+    made = rows.where(F.col("doctor_id").startswith("reg:")).groupBy("doctor_id").agg(F.min("doctor_reg").alias("registration_number"))
+    return known.unionByName(made.select("doctor_id", F.lit(None).cast("string").alias("name"), "registration_number", F.lit(None).cast("string").alias("speciality")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rxweave.functions.text import first_case
 from rxweave.refdata import interactions as I
 from rxweave.refdata import tables
+from rxweave.session import cut_lineage
 
 
 def severity_rank(severity: Column) -> Column:
@@ -113,27 +114,43 @@ def document_interactions(new: DataFrame, active: DataFrame, key: str = "doc_id"
 def label_rules(labels: DataFrame, inns: DataFrame, snippet: int = I.LABEL_SNIPPET_CHARS) -> DataFrame:
     """Pairs (a < b) where the label text of a names b.
 
-    Label words meet the first word of every INN in an equi-join of names and
-    words alone; the text joins the pairs that are left, and the whole name is
-    looked for in it. ``description`` is ``snippet`` characters of the label
-    around the first mention.
+    Label texts are cut into word sequences of as many words as names have, and
+    those meet the names in an equi-join of whole names. So a word that begins
+    many names or lies in every label makes no pairs, only mentions do.
+    ``description`` is ``snippet`` characters of the label around the first
+    mention. Null labels and names make no pairs.
     """
-    known = F.broadcast(tables.interaction_rules(labels.sparkSession).select("drug_1", "drug_2"))
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("label_text"), r"[^a-z0-9+]+", " "), F.lit(" "))
-    words = labels.select(F.col("inn").alias("drug_1"), F.explode(F.array_distinct(F.split(F.trim(padded), " "))).alias("_word"))
-    names = inns.select(F.col("inn").alias("drug_2")).distinct().withColumn("_word", F.element_at(F.split("drug_2", " "), 1))
-    pairs = words.join(names, "_word").where(F.col("drug_1") < F.col("drug_2")).select("drug_1", "drug_2").distinct().join(known, ["drug_1", "drug_2"], "left_anti")
-    hit = padded.contains(F.concat(F.lit(" "), F.col("drug_2"), F.lit(" ")))
-    at = F.greatest(F.lit(1), F.position(F.element_at(F.split("drug_2", " "), F.lit(1)), F.lower("label_text")) - F.lit(snippet // 2))
-    text = F.coalesce(F.nullif(F.substr("label_text", at, F.lit(snippet)), F.lit("")), F.lit(I.LABEL_DEFAULT_TEXT))
+    spark = labels.sparkSession
+    known = F.broadcast(tables.interaction_rules(spark).select("drug_1", "drug_2"))
+    names = cut_lineage(spark, inns.select(F.col("inn").alias("drug_2")).where(F.trim("drug_2") != "").distinct(), "names")
+    # distinct numbers of words: no more than the longest name has words
+    sizes = sorted(r[0] for r in names.select(F.size(F.split("drug_2", " "))).distinct().collect())
+    words = F.split(F.trim(F.regexp_replace(F.lower("label_text"), r"[^a-z0-9+]+", " ")), " ")
+    found = labels.select(F.col("inn").alias("drug_1"), words.alias("_words")).where(F.col("_words").isNotNull())
+    grams = F.array_union(F.array().cast("array<string>"), F.flatten(F.array(*[_sequences("_words", n) for n in sizes]).cast("array<array<string>>")))
+    pairs = (
+        found.select("drug_1", F.explode(grams).alias("drug_2")).where(F.col("drug_1") < F.col("drug_2"))
+        .join(names, "drug_2").select("drug_1", "drug_2").distinct().join(known, ["drug_1", "drug_2"], "left_anti"))
+    whole = F.concat(F.lit("(?<![a-z0-9+])"), F.replace(F.replace("drug_2", F.lit("+"), F.lit("[+]")), F.lit(" "), F.lit("[^a-z0-9+]+")), F.lit("(?![a-z0-9+])"))
+    at = F.regexp_instr(F.lower("label_text"), whole)
+    text = F.substr("label_text", F.greatest(F.lit(1), at - F.lit(snippet // 2)), F.lit(snippet))
     return (
-        pairs.join(labels.select(F.col("inn").alias("drug_1"), "label_text"), "drug_1").where(hit)
-        .groupBy("drug_1", "drug_2").agg(F.min(text).alias("description"))
+        pairs.join(labels.select(F.col("inn").alias("drug_1"), "label_text"), "drug_1").where(at > 0)
+        .groupBy("drug_1", "drug_2").agg(F.min(F.coalesce(F.nullif(text, F.lit("")), F.lit(I.LABEL_DEFAULT_TEXT))).alias("description"))
         .select("drug_1", "drug_2", F.lit("unknown").alias("severity"), "description",
                 F.lit(None).cast("string").alias("management"), F.lit(I.LABEL_SOURCE).alias("source"))
     )
 
 
+def _sequences(words: str, n: int) -> Column:
+    """All sequences of n neighbouring words, joined by a blank."""
+    if n == 1:
+        return F.col(words)
+    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    joined = F.transform(starts, lambda i: F.array_join(F.slice(F.col(words), i, n), " "))
+    return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+
 def label_interactions(drugs: DataFrame, labels: DataFrame, key: str = "patient_id") -> DataFrame:
     """Label mentions among the drugs of a key. The label table is supplied by
     the user and may be large, so both joins are left to adaptive execution."""

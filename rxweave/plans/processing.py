@@ -50,23 +50,30 @@ def process_documents(docs: DataFrame, brands: DataFrame, active: DataFrame, lab
     return {"documents": routed, "medications": normalized, "interactions": found, "alerts": alerts, "summary": summary}
 
 
-def update_history(medications: DataFrame, doctors: DataFrame, as_of: dt.date) -> dict[str, DataFrame]:
-    """Episodes, dose history, events and conditions of accepted documents.
-
-    ``medications``: rows of ``process_prescriptions`` with a doctor_id. A
-    document whose date does not parse counts from ``as_of``.
-    """
+def accepted_lines(medications: DataFrame, as_of: dt.date) -> DataFrame:
+    """The lines of accepted documents of known patients. A document whose date does not parse counts from ``as_of``."""
     when = F.coalesce(parse_date(F.col("prescription_date")), F.lit(as_of))
-    lines = medications.where(~F.col("needs_review") & F.col("patient_id").isNotNull()).select(
+    return medications.where(~F.col("needs_review") & F.col("patient_id").isNotNull()).select(
         "patient_id", F.col("doc_id").alias("rx_id"), when.alias("rx_date"), "line_no", "inn", "raw_drug_name",
         "dosage_value", "dosage_unit", "frequency", "duration_days", "doctor_id")
-    drugs = cut_lineage(lines.sparkSession, E.prescription_drugs(lines), "drugs")
+
+
+def folded_history(drugs: DataFrame) -> dict[str, DataFrame]:
+    """Episodes, dose history and events of ``prescription_drugs``."""
     days = E.episode_days(drugs)
-    episodes = E.medication_episodes(drugs)
     history = E.episode_lines(drugs, days)
     return {
-        "episodes": episodes,
+        "episodes": E.medication_episodes(drugs),
         "dosage_history": E.dosage_history(history),
         "events": E.episode_events(history, E.scheduled_episodes(days), E.prn_snapshots(drugs)),
-        "conditions": infer_conditions(episodes, doctors, as_of),
     }
+
+
+def update_history(medications: DataFrame, doctors: DataFrame, as_of: dt.date) -> dict[str, DataFrame]:
+    """Episodes, dose history, events and conditions of accepted documents.
+
+    ``medications``: rows of ``process_prescriptions`` with a doctor_id.
+    """
+    drugs = cut_lineage(medications.sparkSession, E.prescription_drugs(accepted_lines(medications, as_of)), "drugs")
+    folded = folded_history(drugs)
+    return {**folded, "conditions": infer_conditions(folded["episodes"], doctors, as_of)}
