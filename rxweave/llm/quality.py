@@ -26,9 +26,6 @@ WORD_SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
-#: A fixed limit: hosts whose shrunk failure rate of a rule is at least this are condemned. The check SQL of op8 uses it.
-HOST_LIMIT = 0.5
-
 #: Without a fixed limit: posterior standard errors by which a host's shrunk rate must exceed the pooled rate.
 HOST_ERRORS = 2.0
 

@@ -138,9 +138,10 @@ totals AS (SELECT sum(n) AS docs, count(*) AS hosts, {totals} FROM per_host),
 means AS (SELECT docs, hosts, {means} FROM totals),
 spreads AS (SELECT *, {spreads} FROM means),
 strengths AS (SELECT *, {strengths} FROM spreads),
-hosts AS (SELECT host, greatest({rates}) >= {limit} AS condemned FROM per_host, strengths),
+rated AS (SELECT host, n, {rates}, {priors} FROM per_host, strengths),
+hosts AS (SELECT host, {bad} FROM rated),
 judged AS (
-  SELECT ruled.*, NOT base_failed AND NOT (coalesce(condemned, false) AND ({any_rule})) AS kept
+  SELECT ruled.*, NOT base_failed AND NOT ({rejected}) AS kept
   FROM ruled LEFT JOIN hosts ON ruled.source IS NOT DISTINCT FROM hosts.host)
 """
 
@@ -149,15 +150,17 @@ def quality_sql(docs: str = "documents") -> str:
     """Common table expressions up to ``judged``: the measures of ``docs``, its hosts' verdicts and ``kept``."""
     rules = quality.RULES
     return QUALITY_MEASURES.format(
-        docs=docs, limit=quality.HOST_LIMIT,
+        docs=docs,
         flags=", ".join(f"({c}) AS {r}_failed" for r, c in rules.items()),
         sums=", ".join(f"sum(CAST({r}_failed AS BIGINT)) AS {r}_k" for r in rules),
         totals=", ".join(f"sum({r}_k) / sum(n) AS {r}_m, sum({r}_k * {r}_k / n) / sum(n) AS {r}_kk" for r in rules),
         means=", ".join(f"{r}_m, {r}_kk" for r in rules),
         spreads=", ".join(f"{r}_kk - {r}_m * {r}_m - {r}_m * (1 - {r}_m) * hosts / docs AS {r}_v" for r in rules),
         strengths=", ".join(f"CASE WHEN {r}_v > 0 THEN least(greatest({r}_m * (1 - {r}_m) / {r}_v - 1, {quality.LEAST_STRENGTH}), 1e6) ELSE 1e6 END AS {r}_c" for r in rules),
-        rates=", ".join(f"({r}_k + {r}_m * {r}_c) / (n + {r}_c)" for r in rules),
-        any_rule=" OR ".join(f"{r}_failed" for r in rules))
+        rates=", ".join(f"({r}_k + {r}_m * {r}_c) / (n + {r}_c) AS {r}_rate" for r in rules),
+        priors=", ".join(f"{r}_m, {r}_c" for r in rules),
+        bad=", ".join(f"{r}_rate - {quality.HOST_ERRORS} * sqrt({r}_rate * (1 - {r}_rate) / (n + {r}_c + 1)) > {r}_m AS {r}_bad" for r in rules),
+        rejected=" OR ".join(f"(coalesce({r}_bad, false) AND {r}_failed)" for r in rules))
 
 
 QUALITY_CHECK = f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
@@ -165,8 +168,7 @@ QUALITY_CHECK = f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_sym
 
 @query("op8_host_quality_rules", QUALITY_CHECK)
 def op8(spark, sf_dir):
-    # the check SQL fixes this limit; the operator and the pipeline judge hosts by the fitted prior
-    out = quality.quality_rules(table(spark, sf_dir, "documents"), limit=quality.HOST_LIMIT)
+    out = quality.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

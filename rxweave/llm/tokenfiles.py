@@ -115,8 +115,11 @@ def _writer(path: str, end_id: int, folder: str):
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document, from the files: doc_id, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32`` over 32-bit little-endian ids."""
-    shards = manifest.select("name", "width", "base").repartition(F.col("name"))
+    """Per document, from the files: doc_id, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32`` over 32-bit little-endian ids.
+
+    One task per shard: a partition number that is given is not merged, however small the manifest.
+    """
+    shards = manifest.select("shard", "name", "width", "base").repartitionByRange(max(manifest.count(), 1), "shard").select("name", "width", "base")
     return shards.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -4,14 +4,16 @@ import hashlib
 import random
 import re
 
+import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rxweave.llm import bpe, decontamination, pii, quality, secrets, tokenfiles
+from rxweave.llm import bpe, decontamination, pii, quality, queries, secrets, tokenfiles
 from tests.llm.rows import by_id, frame, prose, texts
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -305,3 +307,25 @@ def test_numbers_in_groups_and_short_addresses_have_skip_edges():
             (base, added), = pii.find_spans([text], fixed_weights(6))
             at = text.index(short)
             assert len(base) >= 1 and any(at <= a and b == at + len(short) for _, a, b in added), text
+
+
+def test_files_are_read_by_one_task_a_shard(spark):
+    folder, manifest = tokenfiles.write_tokens(frame(spark, [(i, prose(i, 40)) for i in range(200)]), WORDS, 2, shards=13)
+    read = tokenfiles.read_tokens(manifest, folder)
+    per = read.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per) == manifest.count() == 13 and sum(r["count"] for r in per) == 200
+    assert [r["start"] for r in read.orderBy("doc_id").collect()] == sorted(r["start"] for r in read.collect())
+
+
+def test_quality_query_and_its_sql_reject_at_a_bad_host(spark, tmp_path):
+    """One host of four in which a sixth of the documents are full of symbols, among few elsewhere; one with a single bad document."""
+    rows = [(i, prose(i, 60) + (" # $ & | < > * %" if i % 4 == 0 and i % 24 == 0 or i % 97 == 1 else ""), f"h{i % 4}") for i in range(1200)]
+    rows += [(2000, "# $ & | < > " + prose(1, 20), "lonely"), (2001, None, None), (2002, "few words", "h0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in queries.QUERIES["op8_host_quality_rules"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(queries.QUALITY_CHECK).fetchall())
+    lost = {r[0] for r in got if not r[-1] and not r[-2]}
+    assert lost == {i for i, t, h in rows if h == "h0" and "$" in t} and len(lost) > 40
