@@ -2,16 +2,23 @@
 
 Nodes of a document's graph are its tokens with a digit or an at sign; no other
 token can carry a label. Chain edges join neighbouring nodes. Skip edges join
-each node with the next one in the document that is equal or similar to it
-(same letters and digits, same last digits, same address, same mailbox name), so
-a group of m repeats has m-1 edges. A number written in groups of digits is as a
-whole similar to another form of it: each of its tokens is joined with that. Loopy message passing makes the labels of linked tokens
-consistent, given those of the base spans: a number written in full once is
-found again where it is shortened.
-
-Weights are learned by pseudo-likelihood on a bounded sample of tokens whose
-labels the base patterns give. All documents of a piece of text are one graph of
-separate parts, so message passing is a few array operations.
+all tokens of a document that are equal or similar, or similar to the same token
+(same letters and digits, same last digits, same address, same mailbox name),
+through one node without a token, their hub, so any two of m repeats are two
+edges apart and there are m edges. A number written in groups of digits is as a whole similar to another
+form of it: each of its tokens is joined with that. A hub has the label that most
+base spans among its tokens give. Otherwise (no base span, or two kinds level) it
+is free, and agreement with it weighs the same for every label, so that repeats
+alone make no token personal. Loopy message passing makes the labels of linked tokens consistent: a
+number written in full once is found again wherever it is shortened.
+
+Weights are learned by pseudo-likelihood on a bounded sample. Targets are the
+tokens whose labels the base patterns decide; a token outside the base spans that
+is similar to one inside is hidden, and no target. Skip weights are learned from
+base spans whose label is hidden: each is shortened so that no pattern finds it, once linked
+to the full form (label: its kind) and once by itself (label: other). All
+documents of a piece of text are one graph of separate parts, so message passing
+is a few array operations.
 """
 
 from __future__ import annotations
@@ -39,9 +46,9 @@ SHRINK = 0.9
 #: A component is done when none of its messages moves by more; its result does not depend on what else is in the graph.
 SETTLED = 1e-8
 
-#: What skip weights are drawn to: base patterns label full forms only, so the sample says little of shortened ones.
+#: What skip weights of kinds without a base span in the sample stay at, and how weakly the others are drawn to it.
 SKIP_PRIOR = 4.0
-SKIP_RIDGE = 0.05
+SKIP_RIDGE = 1e-4
 
 #: Score of a label that a base span gives.
 GIVEN = 30.0
@@ -155,15 +162,38 @@ def grouped_keys(text: str, nodes: list[tuple[int, int]], base: list[tuple]) ->
     return out
 
 
+def shortened(kind: str, span: str) -> str:
+    """A base span in a form that its pattern does not find, as one token."""
+    if kind == "email":
+        name, _, domain = span.partition("@")
+        return f"{name}@{domain.partition('.')[0]}"
+    if kind == "ip":
+        return span.replace(".", "-")
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "card":
+        return ".".join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    return f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}"
+
+
 class Graph:
-    """Nodes, features and edges of some texts; ``base`` are their base spans, found here if not given."""
+    """Tokens, features, hubs and edges of some texts; ``base`` are their base spans, found here if not given.
+
+    Nodes are the tokens and then ``n_hubs`` hubs. A skip edge goes from a token to a hub.
+    """
 
     def __init__(self, texts: list[str], base: list[list[tuple]] | None = None):
-        self.spans, self.document, rows, edges = [], [], [], []
+        self.spans, self.document, self.n_hubs = [], [], 0
+        rows, chain, skip = [], [], []
         for d, text in enumerate(texts):
             if not NODE_CHARACTER(text):
                 continue
-            last, seen, before = None, {}, {}
+            last, first, above, numbers = None, {}, {}, {}
+
+            def top(x: int) -> int:
+                while above[x] != x:
+                    above[x] = x = above[above[x]]
+                return x
+
             nodes = [m.span() for m in NODE.finditer(text)]
             grouped = grouped_keys(text, nodes, base_spans(text) if base is None else base[d])
             for (start, end), groups in zip(nodes, grouped):
@@ -171,25 +201,28 @@ class Graph:
                 near = last is not None and text[last:start].isspace() and start - last <= 2
                 rows.append(features_of(token, text[self.spans[-1][0]:last] if near else ""))
                 if near:
-                    edges.append((node - 1, node, 0))
-                linked = set()
-                own = [(key, seen.get(key)) for key in keys_of(token)]
-                # what a group is similar to lies before its first token
-                for key, other in own + [(key, before.setdefault((number, key), seen.get(key))) for number, key in groups]:
-                    if other is not None and other not in linked:
-                        edges.append((other, node, 1))
-                        linked.add(other)
-                for key in [key for key, _ in own] + [key for _, key in groups]:
-                    seen[key] = node
+                    chain.append((node - 1, node, 0))
+                above[node] = node
+                for key in [*keys_of(token), *(key for _, key in groups)]:
+                    above[top(node)] = top(first.setdefault(key, node))
+                numbers[node] = groups[0][0] if groups else None
                 self.spans.append((start, end))
                 self.document.append(d)
                 last = end
+            members: dict[int, list] = {}
+            for node in above:
+                members.setdefault(top(node), []).append(node)
+            for held in members.values():
+                # the tokens of one number are one occurrence
+                if len({(node, None) if numbers[node] is None else (None, numbers[node]) for node in held}) > 1:
+                    skip += [(node, self.n_hubs) for node in held]
+                    self.n_hubs += 1
         self.features = np.array(rows, float).reshape(-1, len(FEATURES))
-        self.edges = np.array(edges, np.int64).reshape(-1, 3)
+        self.edges = np.array(chain + [(node, len(self.spans) + hub, 1) for node, hub in skip], np.int64).reshape(-1, 3)
 
     def components(self) -> tuple[np.ndarray, np.ndarray]:
         """Per node the number of its component, and the nodes in each."""
-        above = list(range(len(self.spans)))
+        above = list(range(len(self.spans) + self.n_hubs))
 
         def top(x: int) -> int:
             while above[x] != x:
@@ -202,36 +235,69 @@ class Graph:
         return component, sizes
 
     def labels(self, spans: list[list[tuple]]) -> np.ndarray:
-        """The kind of the base span that covers most of a node, or other."""
-        out = np.zeros(len(self.spans), np.int64)
-        by_document = {d: sorted((a, b, LABELS.index(k)) for k, a, b in found) for d, found in enumerate(spans) if found}
-        for i, ((start, end), d) in enumerate(zip(self.spans, self.document)):
-            best = max(((min(end, b) - max(start, a), -label) for a, b, label in by_document.get(d, ()) if a < end and start < b), default=None)
-            out[i] = -best[1] if best else 0
+        """The kind of the base span that covers most of a token, the first such kind, or other.
+
+        Spans of one kind don't overlap, so one pass per kind over tokens and spans finds all that meet.
+        """
+        out, most = np.zeros(len(self.spans), np.int64), [0] * len(self.spans)
+        for label, kind in enumerate(KINDS, 1):
+            found = [(d, a, b) for d, own in enumerate(spans) for a, b in sorted((a, b) for k, a, b in own if k == kind)]
+            at = 0
+            for i, ((start, end), d) in enumerate(zip(self.spans, self.document)):
+                while at < len(found) and (found[at][0], found[at][2]) <= (d, start):
+                    at += 1
+                j = at
+                while j < len(found) and found[j][0] == d and found[j][1] < end:
+                    cover = min(end, found[j][2]) - max(start, found[j][1])
+                    if cover > most[i]:
+                        out[i], most[i] = label, cover
+                    j += 1
         return out
 
+    def hub_counts(self, labels: np.ndarray) -> np.ndarray:
+        """Per hub, how many of its tokens have each label."""
+        counts = np.zeros((self.n_hubs, len(LABELS)))
+        skip = self.edges[self.edges[:, 2] == 1]
+        np.add.at(counts, (skip[:, 1] - len(self.spans), labels[skip[:, 0]]), 1)
+        return counts
+
     def neighbours(self, labels: np.ndarray) -> np.ndarray:
-        """Per node, how many neighbours of each sort (chain before, chain after, skip) have each label."""
+        """Per token, how many neighbours of each sort (chain before, chain after, hub) have each label; a hub's label is that of its other tokens."""
         sorts, n = 3, len(LABELS)
         out = np.zeros((len(labels), sorts * n))
-        a, b, skip = self.edges.T if len(self.edges) else np.zeros((3, 0), np.int64)
-        np.add.at(out, (b, np.where(skip, 2, 0) * n + labels[a]), 1)
-        np.add.at(out, (a, np.where(skip, 2, 1) * n + labels[b]), 1)
+        a, b, _ = self.edges[self.edges[:, 2] == 0].T
+        np.add.at(out, (b, labels[a]), 1)
+        np.add.at(out, (a, n + labels[b]), 1)
+        token, hub, _ = self.edges[self.edges[:, 2] == 1].T
+        others = self.hub_counts(labels)[hub - len(self.spans)]
+        others[np.arange(len(token)), labels[token]] -= 1
+        np.add.at(out, (token, 2 * n + majority(others)), 1)
         return out
 
 
+def majority(counts: np.ndarray) -> np.ndarray:
+    """The most frequent kind of each row; 0 if there is none or two are level."""
+    kinds = counts[:, 1:]
+    most = kinds.max(1, initial=0)
+    clear = (most > 0) & ((kinds == most[:, None]).sum(1) == 1)
+    return np.where(clear, kinds.argmax(1) + 1, 0)
+
+
 def marginals(graph: Graph, weights: dict[str, np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
-    """Label probabilities of all nodes by sum-product message passing with damping; labels above zero in ``known`` are given."""
-    unary = graph.features @ weights["unary"]
-    n = len(LABELS)
+    """Label probabilities of all tokens by sum-product message passing with damping; labels above zero in ``known`` are given, and so are those of their hubs."""
+    n, tokens = len(LABELS), len(graph.spans)
+    unary = np.concatenate([graph.features @ weights["unary"], np.zeros((graph.n_hubs, n))])
+    free = np.ones(len(unary), bool)
     if known is not None:
+        known = np.concatenate([known, majority(graph.hub_counts(known))])
+        free = known == 0
         given = np.flatnonzero(known)
         unary[given] = np.where(np.arange(n) == known[given, None], GIVEN, 0.0)
     if len(graph.edges):
         a, b, skip = graph.edges.T
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
-        chain, same = weights["chain"], np.diag(weights["skip"])
-        forward = np.where(skip[:, None, None] == 1, same, chain)
+        same, level = np.diag(weights["skip"]), np.eye(n) * weights["skip"][0]
+        forward = np.where(skip[:, None, None] == 0, weights["chain"], np.where(free[b, None, None], level, same))
         pair = np.concatenate([forward, forward.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         message = np.zeros((len(source), n))
@@ -241,7 +307,9 @@ def marginals(graph: Graph, weights: dict[str, np.ndarray], known: np.ndarray |
         while len(active):
             total = unary.copy()
             np.add.at(total, target[active], message[active])
-            out = (total[source[active]] - message[back[active]])[:, :, None] + pair[active]
+            # what is given is not moved by any number of neighbours
+            own = np.where(free[source[active], None], total[source[active]] - message[back[active]], unary[source[active]])
+            out = own[:, :, None] + pair[active]
             top = out.max(1)
             out = top + np.log(np.exp(out - top[:, None]).sum(1))
             step = 0.5 * SHRINK ** np.maximum(turn - ROUNDS - 2 * sizes[of[active]], 0)
@@ -251,7 +319,7 @@ def marginals(graph: Graph, weights: dict[str, np.ndarray], known: np.ndarray |
             moving[of[active][np.abs(move).max(1) > SETTLED]] = True
             active, turn = active[moving[of[active]]], turn + 1
         np.add.at(unary, target, message)
-    odds = np.exp(unary - unary.max(1, keepdims=True))
+    odds = np.exp(unary[:tokens] - unary[:tokens].max(1, keepdims=True))
     return odds / odds.sum(1, keepdims=True)
 
 
@@ -305,9 +373,17 @@ def _training_rows(frames):
         base = [base_spans(t) for t in texts]
         graph = Graph(texts, base)
         labels = graph.labels(base)
-        tokens = [texts[d][a:b] for (a, b), d in zip(graph.spans, graph.document)]
-        yield pd.DataFrame({"order": [sha256_hex(t) for t in tokens], "features": ["".join(str(int(x)) for x in row) for row in graph.features],
-                            "neighbours": graph.neighbours(labels).astype(int).tolist(), "label": labels})
+        near = graph.neighbours(labels).astype(int)
+        hidden = (labels == 0) & (near[:, 2 * len(LABELS) + 1:].sum(1) > 0)
+        rows = [(texts[d][a:b], graph.features[i], near[i].tolist(), labels[i]) for i, ((a, b), d) in enumerate(zip(graph.spans, graph.document)) if not hidden[i]]
+        for text, spans in zip(texts, base):
+            for kind, start, end in spans:
+                short, label = shortened(kind, text[start:end]), LABELS.index(kind)
+                features, alone = features_of(short, ""), [0] * (3 * len(LABELS))
+                linked = [*alone[:2 * len(LABELS)], *(int(k == kind) for k in LABELS)]
+                rows += [(short, features, linked, label), (short, features, alone, 0)]
+        yield pd.DataFrame({"order": [sha256_hex(r[0]) for r in rows], "features": ["".join(str(int(x)) for x in r[1]) for r in rows],
+                            "neighbours": [r[2] for r in rows], "label": np.array([r[3] for r in rows], np.int32)})
 
 
 # Scanning -------------------------------------------------------------------------------------------------------------

@@ -258,7 +258,7 @@ def test_skip_edges_find_what_is_written_twice(spark):
 
 
 def test_message_passing_is_exact_on_a_tree():
-    """Against the sum over all labellings of a chain of three nodes with one skip edge to a fourth."""
+    """Against the sum over all labellings of a chain of three nodes with a hub that joins one with a fourth."""
     import itertools
 
     import numpy as np
@@ -266,13 +266,9 @@ def test_message_passing_is_exact_on_a_tree():
     r = np.random.default_rng(3)
     weights = {"unary": r.normal(size=(len(pii.FEATURES), 5)), "chain": r.normal(size=(5, 5)), "skip": np.abs(r.normal(size=5))}
     graph = pii.Graph(["12 a1234567 5.5 word word word (a1234567)"])
-    assert graph.edges.tolist() == [[0, 1, 0], [1, 2, 0], [1, 3, 1]]
+    assert graph.edges.tolist() == [[0, 1, 0], [1, 2, 0], [1, 4, 1], [3, 4, 1]]
     unary = graph.features @ weights["unary"]
-    want = np.zeros((4, 5))
-    for y in itertools.product(range(5), repeat=4):
-        p = np.exp(sum(unary[i, y[i]] for i in range(4)) + weights["chain"][y[0], y[1]] + weights["chain"][y[1], y[2]] + (y[1] == y[3]) * weights["skip"][y[1]])
-        for i in range(4):
-            want[i, y[i]] += p
+    want = all_labellings(graph, unary, weights)
     pii_rounds, pii.ROUNDS = pii.ROUNDS, 60
     got = pii.marginals(graph, weights)
     pii.ROUNDS = pii_rounds
@@ -280,6 +276,69 @@ def test_message_passing_is_exact_on_a_tree():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-6)
 
 
+def all_labellings(graph, unary, weights, hub=None):
+    """Marginals of the tokens by the sum over all labellings; ``hub`` is the label of the hubs, free if none."""
+    import itertools
+
+    import numpy as np
+
+    n = len(graph.spans)
+    want = np.zeros((n, 5))
+    for y in itertools.product(range(5), repeat=n + graph.n_hubs):
+        if hub is not None and set(y[n:]) != {hub}:
+            continue
+        agree = weights["skip"] if hub is not None else [weights["skip"][0]] * 5
+        p = np.exp(sum(unary[i, y[i]] for i in range(n)) + sum((y[a] == y[b]) * agree[y[b]] if skip else weights["chain"][y[a], y[b]] for a, b, skip in graph.edges.tolist()))
+        for i in range(n):
+            want[i, y[i]] += p
+    return want
+
+
+def test_message_passing_is_near_on_loops():
+    """Neighbours that share a hub: a loop. A free hub, and one whose label a base span gives."""
+    import numpy as np
+
+    r = np.random.default_rng(11)
+    for text, given in (("a1234567 (a1234567) word a1234567", None), ("a1234567 (a1234567) a1234567 4 word a1234567", 3)):
+        weights = {"unary": r.normal(size=(len(pii.FEATURES), 5)), "chain": 0.5 * r.normal(size=(5, 5)), "skip": np.abs(r.normal(size=5))}
+        graph = pii.Graph([text])
+        assert graph.n_hubs == 1
+        unary = graph.features @ weights["unary"]
+        known = np.zeros(len(graph.spans), int)
+        if given:
+            known[-1] = given
+            unary[-1] = [pii.GIVEN * (k == given) for k in range(5)]
+        want = all_labellings(graph, unary, weights, given)
+        assert np.abs(pii.marginals(graph, weights, known) - want / want.sum(1, keepdims=True)).max() < (0.05 if given is None else 1e-6)
+
+
+def test_fitted_weights_find_every_shortened_repeat(spark):
+    """As many repeats as there are; without the full form none, however often they are repeated."""
+    import time
+
+    rows = [(i, f"{t} card {n}") for i, (t, n) in enumerate(zip(contacts(80), ["4539 5787 6362 1486", "4012 8888 8888 1881", "5105 1051 0510 5100", "378282246310005"] * 20))]
+    weights = pii.fit(frame(spark, rows))
+    for full, short in (("mail joe.smith22@mail1.example.com", "joe.smith22@intranet"), ("4539 5787 6362 1486", "4539.5787.6362.1486"), ("+1 415 555 0123", "415.555.0123"), ("10.0.13.7", "ip-10-0-13-7")):
+        for n in (1, 3, 50, 2000):
+            repeats = f" then {short} word" * n
+            begun = time.time()
+            (base, added), = pii.find_spans([full + repeats], weights)
+            assert time.time() - begun < 4
+            assert len(base) == 1 and [b - a for _, a, b in added] == [len(short)] * n, (short, n, len(added))
+            assert pii.find_spans([repeats], weights) == [([], [])], (short, n)
+
+
+def test_labels_of_tokens_are_those_of_plain_comparison():
+    r = random.Random(4)
+    parts = ["+1 415 555 0123", "joe@a.example.com", "4539 5787 6362 1486", "10.0.0.1", "a@b.c,d@e.f;+1 415 555 0123", "word", "7", "10.0.0.1@x.y"]
+    texts = ["", *(" ".join(r.choice(parts) for _ in range(40)) for _ in range(20)), "no node"]
+    base = [pii.base_spans(t) for t in texts]
+    graph = pii.Graph(texts, base)
+    for (a, b), d, label in zip(graph.spans, graph.document, graph.labels(base)):
+        cover = {k: max([min(b, y) - max(a, x) for kind, x, y in base[d] if kind == k] + [0]) for k in pii.KINDS}
+        assert label == (0 if not any(cover.values()) else 1 + max(range(4), key=lambda k: (cover[pii.KINDS[k]], -k)))
+
+
 def fixed_weights(skip, other=0.0):
     import numpy as np
 
