@@ -1,16 +1,14 @@
 """Brand names to generic names: exact, then fuzzy.
 
 The fuzzy step must find every brand whose similarity ratio reaches the
-cut-off. A ratio r of two names of length n and m leaves at most
-(1 - r)(n + m) characters unmatched. With the brand cut into one piece more
-than that number, at least one piece occurs unchanged in the name, close to
-its own position. So names meet brands on (brand length, piece number, piece
-text): an equi-join without loss, instead of every name against every brand.
-
-A resolved name needs a brand within two edits as well. Of a brand in three
-pieces one is then unchanged and moved by two characters at most, a join with
-75 rows per name whatever its length. Only names that have such a brand look
-for all brands that reach the cut-off, to settle the order of the best three.
+cut-off. A ratio r of a name of length n and a brand of length m leaves at most
+b = (1 - r)(n + m) characters unmatched, and an even number of them if n + m is
+even. With the brand cut into b + 1 pieces, there is a first piece i such that
+just i unmatched characters lie before it and none inside it. So the piece
+occurs unchanged in the name, moved by i - 2j if j of the i are the brand's;
+how many are the brand's and the name's in all follows from n, m and b, and
+bounds j. Names meet brands on (brand length, number of pieces, piece number,
+piece text): an equi-join without loss, with some b * b / 4 + b + 1 rows per name and brand length.
 """
 
 from __future__ import annotations
@@ -26,8 +24,9 @@ _SLACK = 1 - P.FUZZY_RATIO
 
 
 def _budget(n: Column, m: Column) -> Column:
-    """Unmatched characters a pair of these lengths may have."""
-    return F.floor((n + m) * F.lit(_SLACK) + F.lit(1e-9)).cast("int")
+    """Unmatched characters a pair of these lengths may have: as many as the cut-off leaves, odd or even as n + m is."""
+    most = F.floor((n + m) * F.lit(_SLACK) + F.lit(1e-9)).cast("int")
+    return most - (most + n + m) % 2
 
 
 def _longest_partner(n: Column) -> Column:
@@ -38,61 +37,55 @@ def _shortest_partner(n: Column) -> Column:
     return F.ceil(n * F.lit((1 - _SLACK) / (1 + _SLACK)) - F.lit(1e-9)).cast("int")
 
 
-def _piece_count(m: Column) -> Column:
-    """Pieces of a brand of length m, enough for its longest partner."""
-    return F.least(_budget(_longest_partner(m), m) + 1, m)
+def _partners(n: Column) -> Column:
+    """Lengths that can reach the cut-off with a name or brand of length n."""
+    return F.sequence(_shortest_partner(n), _longest_partner(n))
 
 
 def _start(m: Column, pieces: Column, i: Column) -> Column:
     return F.floor(i * m / pieces).cast("int")
 
 
+def _numbers(k: Column) -> Column:
+    return F.sequence(F.lit(0), k - 1)
+
+
 def brand_pieces(brands: DataFrame) -> DataFrame:
-    m = F.length("brand_name")
-    base = brands.where(m > 0).select("brand_name", m.alias("m"), _piece_count(m).alias("k"))
-    pieces = base.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    start, end = _start(F.col("m"), F.col("k"), F.col("i")), _start(F.col("m"), F.col("k"), F.col("i") + 1)
-    return pieces.select("brand_name", "m", "i", F.substring("brand_name", start + 1, end - start).alias("piece"))
+    """The index: each brand cut into every number of pieces that some name length asks for. No shuffle."""
+    m, k, i = F.col("m"), F.col("k"), F.col("i")
+    base = brands.select("brand_name", F.length("brand_name").alias("m")).where(m > 0)
+    cuts = base.select("*", F.explode(F.array_distinct(F.transform(_partners(m), lambda n: _budget(n, m) + 1))).alias("k")).where(k <= m)
+    pieces = cuts.select("*", F.explode(_numbers(k)).alias("i"))
+    start, end = _start(m, k, i), _start(m, k, i + 1)
+    return pieces.select("brand_name", "m", "k", "i", F.substring("brand_name", start + 1, end - start).alias("piece"))
 
 
 def name_pieces(names: DataFrame, brands: DataFrame) -> DataFrame:
-    n = F.length("name")
-    probes = names.where(n >= P.FUZZY_MIN_LENGTH).select("name", n.alias("n"))
-    lengths = probes.select("*", F.explode(F.sequence(_shortest_partner(F.col("n")), _longest_partner(F.col("n")))).alias("m"))
-    lengths = lengths.join(brands.select(F.length("brand_name").alias("m")).distinct(), "m")
-    cut = lengths.withColumn("k", _piece_count(F.col("m"))).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    start, end = _start(F.col("m"), F.col("k"), F.col("i")), _start(F.col("m"), F.col("k"), F.col("i") + 1)
-    reach = _budget(F.col("n"), F.col("m"))
-    span = cut.select("name", "m", "i", (end - start).alias("size"), F.greatest(F.lit(0), start - reach).alias("lo"),
-                      F.least(F.col("n") - (end - start), start + reach).alias("hi"))
-    shifts = span.where(F.col("hi") >= F.col("lo")).select("*", F.explode(F.sequence("lo", "hi")).alias("at"))
-    return shifts.select("name", "m", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("piece"))
+    """Where in each name a piece of a brand can lie, for every brand length there is."""
+    n, m, k, i, j, at = (F.col(c) for c in ("n", "m", "k", "i", "j", "at"))
+    probes = names.select("name", F.length("name").alias("n")).where(n >= P.FUZZY_MIN_LENGTH)
+    lengths = probes.select("*", F.explode(_partners(n)).alias("m")).join(brands.select(F.length("brand_name").alias("m")).distinct(), "m")
+    cut = lengths.withColumn("k", _budget(n, m) + 1).select("*", F.explode(_numbers(k)).alias("i"))
+    of_brand, of_name = ((k - 1 + m - n) / 2).cast("int"), ((k - 1 - m + n) / 2).cast("int")
+    low, high = F.greatest(F.lit(0), i - of_name), F.least(i, of_brand)
+    moved = cut.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("j")).withColumn("at", _start(m, k, i) + i - 2 * j)
+    size = _start(m, k, i + 1) - _start(m, k, i)
+    fits = (at >= 0) & (at + size <= n) & (F.abs(n - m - (i - 2 * j)) <= k - 1 - i)
+    return moved.where(fits).select("name", "m", "k", "i", F.substring("name", at + 1, size).alias("piece"))
+
+
+def candidate_pairs(names: DataFrame, brands: DataFrame) -> DataFrame:
+    """Name and brand pairs that share a piece, and so may reach the cut-off."""
+    return name_pieces(names, brands).join(brand_pieces(brands), ["m", "k", "i", "piece"]).select("name", "brand_name").distinct()
 
 
 def fuzzy_candidates(names: DataFrame, brands: DataFrame) -> DataFrame:
     """Name and brand pairs whose ratio reaches the cut-off."""
-    pairs = name_pieces(names, brands).join(brand_pieces(brands), ["m", "i", "piece"]).select("name", "brand_name").distinct()
-    budget = _budget(F.length("name"), F.length("brand_name"))
-    close = pairs.where(F.levenshtein("name", "brand_name") <= budget)
+    close = candidate_pairs(names, brands).where(F.levenshtein("name", "brand_name") <= _budget(F.length("name"), F.length("brand_name")))
     scored = close.withColumn("ratio", sequence_ratio(F.col("brand_name"), F.col("name")))
     return scored.where(F.col("ratio") >= P.FUZZY_RATIO)
 
 
-def near_brands(names: DataFrame, brands: DataFrame) -> DataFrame:
-    """Name and brand pairs within ``P.FUZZY_EDITS`` edits, for names and brands of a length that can reach the cut-off."""
-    edits, k = P.FUZZY_EDITS, P.FUZZY_EDITS + 1
-    n, m, i = F.length("name"), F.length("brand_name"), F.col("i")
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")
-    cut = brands.where(m >= k).select("brand_name", m.alias("m"), numbers)
-    start, end = _start(F.col("m"), F.lit(k), i), _start(F.col("m"), F.lit(k), i + 1)
-    whole = cut.select("brand_name", "m", "i", F.substring("brand_name", start + 1, end - start).alias("piece"))
-    probes = names.where(n >= P.FUZZY_MIN_LENGTH).select("name", F.explode(F.sequence(F.greatest(F.lit(k), n - edits), n + edits)).alias("m")).select("*", numbers)
-    moved = probes.select("*", F.explode(F.sequence(start - edits, start + edits)).alias("at")).where((F.col("at") >= 0) & (F.col("at") + end - start <= n))
-    pieces = moved.select("name", "m", "i", F.substring("name", F.col("at") + 1, end - start).alias("piece")).distinct()
-    pairs = pieces.join(whole, ["m", "i", "piece"]).select("name", "brand_name").distinct()
-    return pairs.where(F.levenshtein("name", "brand_name", edits) >= 0)
-
-
 def fuzzy_top(names: DataFrame, brands: DataFrame) -> DataFrame:
     """Up to three most similar brands per name, with their edit distance."""
     order = Window.partitionBy("name").orderBy(F.col("ratio").desc(), F.col("brand_name").desc())
@@ -102,8 +95,7 @@ def fuzzy_top(names: DataFrame, brands: DataFrame) -> DataFrame:
 
 def fuzzy_lookup(names: DataFrame, brands: DataFrame) -> DataFrame:
     """Best brand per name: of the top three, the one with fewest edits."""
-    hopeful = names.join(near_brands(names, brands).select("name").distinct(), "name", "left_semi")
-    best = fuzzy_top(hopeful, brands).where(F.col("edits") <= P.FUZZY_EDITS)
+    best = fuzzy_top(names, brands).where(F.col("edits") <= P.FUZZY_EDITS)
     chosen = best.groupBy("name").agg(F.min_by(F.struct("brand_name", "edits"), F.struct("edits", "rank")).alias("b"))
     return chosen.select("name", "b.*").join(brands, "brand_name").select("name", "brand_name", "edits", "inn")
 

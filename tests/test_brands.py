@@ -56,6 +56,33 @@ def test_candidates_are_complete(spark):
     assert got == want
 
 
+def words(rng, n, low, high):
+    return sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high))) for _ in range(n)})
+
+
+def test_pairs_are_few_before_the_ratio(spark):
+    """3,000 names, half of them misspelt brands, against 2,000 brands: below 1 % of all pairs, and the best three are those of brute force."""
+    rng = random.Random(21)
+    brands = words(rng, 2000, 4, 16)
+    names = sorted({*(noisy(rng, rng.choice(brands)) for _ in range(1600)), *words(rng, 1500, 4, 16)} - {""})[:3000]
+    table = spark.createDataFrame([(b, "inn") for b in brands], "brand_name string, inn string").repartition(4).cache()
+    written = spark.createDataFrame([(n,) for n in names], "name string").repartition(4).cache()
+    assert BR.candidate_pairs(written, table).count() < 0.01 * len(names) * len(brands)
+    got = {}
+    for r in sorted(BR.fuzzy_top(written, table).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["name"], []).append(r["brand_name"])
+    asked = names[::10]
+    assert {n: got.get(n, []) for n in asked} == {n: difflib.get_close_matches(n, brands, n=3, cutoff=0.82) for n in asked}
+
+
+def test_rows_of_a_name(spark):
+    """Probes per name grow with its length, and stay few for names as long as brands are."""
+    brands = spark.createDataFrame([("x" * m, "i") for m in range(1, 41)], "brand_name string, inn string")
+    names = spark.createDataFrame([("y" * n,) for n in (2, 3, 10, 20, 30, 80)], "name string")
+    rows = {len(r["name"]): r["count"] for r in BR.name_pieces(names, brands).groupBy("name").count().collect()}
+    assert set(rows) == {3, 10, 20, 30} and rows[3] <= 4 and rows[10] <= 40 and rows[20] <= 200
+
+
 def test_cascade(spark):
     table = spark.createDataFrame([("glycomet", "metformin"), ("glycomet gp", "metformin + glipizide"), ("crocin", "paracetamol")], "brand_name string, inn string")
     written = ["Tab. Glycomet SR 500mg", "GLYCOMET GP", "Crocim", "glycomett forte", "Unknownium", "Tab. "]
