@@ -28,9 +28,24 @@ def scan_label_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+#: What the binary file source gives.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def scan_document_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw files with the fingerprint of their bytes."""
-    files = spark.read.format("binaryFile").load(folder)
+    """Raw files below a folder, with the fingerprint of their bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "length", F.sha2("content", 256).alias("upload_hash"))
+
+
+def stream_document_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Raw files below a folder as a stream, each taken up once: path, length and fingerprint of its bytes.
+
+    The bytes are read and dropped in the scan; nothing behind it carries them.
+    """
+    files = (
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", files_per_batch).load(folder))
     return files.select("path", "length", F.sha2("content", 256).alias("upload_hash"))
 
 
