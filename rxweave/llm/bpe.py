@@ -101,14 +101,10 @@ class Coder:
 
 MAPPED = dict(enumerate(byte_characters()))
 
-FIELDS = [field("n_tokens", "long"), field("ids_sha256", "string"), field("decoded_sha256", "string")]
-
+#: Bytes of text split and encoded at once; the lists of matches are many times as large.
+TEXT_BYTES = 2 << 20
 
-def chunks_of(text: str) -> list[str]:
-    if UNEVEN_SPACE(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + word for word in rest]]
+FIELDS = [field("n_tokens", "long"), field("ids_sha256", "string"), field("decoded_sha256", "string")]
 
 
 def _coder(path: str, pattern: str) -> Coder:
@@ -131,7 +127,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
 
         return digests
 
-    return map_texts(docs, [doc_id], text, FIELDS, make)
+    return map_texts(docs, [doc_id], text, FIELDS, make, TEXT_BYTES)
 
 
 def token_ids(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,7 +136,7 @@ def token_ids(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
         coder = _coder(path, pattern)
         return lambda texts: [coder.encode([t or "" for t in texts])]
 
-    return map_texts(docs, [doc_id], text, [field("ids", "longs")], make)
+    return map_texts(docs, [doc_id], text, [field("ids", "longs")], make, TEXT_BYTES)
 
 
 def decode_tokens(tokens: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
