@@ -183,6 +183,18 @@ def test_negatives_equal_brute_force(spark, monkeypatch, seed):
     assert got == plain_negatives(rows) and len({x[0] for x in got}) > 5
 
 
+@pytest.mark.parametrize("scale", [1e6, 3e15])
+def test_large_components_are_scored_exactly(spark, scale):
+    """Scores near 64 bits, and rows whose scores are beyond."""
+    r = np.random.default_rng(1)
+    rows = [(i, int(r.choice([0, 0, 1, 2, 9])), (r.normal(size=8) * (scale if scale < 1e9 or i % 40 == 3 else 1)).astype(np.float32).astype(float).tolist()) for i in range(300)]
+    if scale > 1e9:
+        rows += [(i, i % 3, [x] * 8) for i, x in ((401, 3.4e38), (402, -3.4e38), (403, 1e30), (450, -1e30))]
+    near = lambda x: max(-2 ** 63, min(2 ** 63 - 1, x))
+    wanted = [(*x[:4], near(x[4]), near(x[5])) for x in plain_negatives(rows)]
+    assert mined(spark, rows) == wanted and len(wanted) > 50
+
+
 def test_few_or_no_rows(spark):
     assert mined(spark, []) == []
     assert mined(spark, [(50, 1, [1.0])]) == [] and mined(spark, [(50, 1, [1.0]), (51, 1, [1.0])]) == []
