@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,21 +35,34 @@ def scan_label_csv(spark: SparkSession, path: str) -> DataFrame:
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+@contextmanager
+def many_folders(spark: SparkSession, tasks: int = 64) -> Iterator[None]:
+    """Folders are listed by this many tasks; by Spark's own choice it is one task for each folder, up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def scan_document_files(spark: SparkSession, folder: str) -> DataFrame:
     """Raw files below a folder, with the fingerprint of their bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", "length", F.sha2("content", 256).alias("upload_hash"))
 
 
-def stream_document_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+def stream_document_files(spark: SparkSession, folder: str, files_per_batch: int | None = 1000) -> DataFrame:
     """Raw files below a folder as a stream, each taken up once: path, length and fingerprint of its bytes.
 
     The bytes are read and dropped in the scan; nothing behind it carries them.
+    Without ``files_per_batch`` all files that are there make one micro-batch.
     """
-    files = (
-        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", files_per_batch).load(folder))
-    return files.select("path", "length", F.sha2("content", 256).alias("upload_hash"))
+    source = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+    return source.load(folder).select("path", "length", F.sha2("content", 256).alias("upload_hash"))
 
 
 def fingerprint(docs: DataFrame, column: str = "text") -> DataFrame:

@@ -7,13 +7,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rxweave.catalog import CHECKS, QUERIES
 from rxweave.operators import episodes as E
 from rxweave.operators import labs as L
 from rxweave.refdata import tables
+from rxweave.sources import readers
 from rxweave.streaming import episodes as SE
 from rxweave.streaming import ingest as I
 from rxweave.streaming import uploads as U
 from rxweave.streaming.files import file_stream
+from tests.compare import compare, connect
 from tests.test_clinical import DAY, GAPS, fold
 
 LINE = ("patient_id long, inn string, rx_id long, rx_date date, line_no int, dosage_value double, dosage_unit string, frequency string, duration_days int, doctor_id long, raw_drug_name string")
@@ -198,3 +201,11 @@ def test_sinks_of_failed_batches_equal_a_clean_run(spark, tmp_path, monkeypatch)
     assert all(seen is None or all(set(v) <= set(rows[s]) for s, v in seen.items()) for _, seen in broken) and first["prescriptions"]
     I.ingest_batch(spark.createDataFrame(UPLOADS[2][:1], "doc_id long, patient_id long, text string"), 2, again, known)  # has its marker
     assert stored(spark, again) == rows
+
+
+def test_equal_files_of_one_arrival_are_told_apart_by_name(spark, monkeypatch):
+    """However many files an arrival has: a limit of files per batch must not cut it."""
+    monkeypatch.setattr(readers.stream_document_files, "__defaults__", (20,))
+    key, sf = "stream_document_files", "/root/testdata/sf0.001"
+    status, n, _, note = compare(spark, connect(sf), sf, key, QUERIES[key], CHECKS[key])
+    assert status == "ok" and n > 0, note
