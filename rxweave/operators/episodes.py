@@ -38,11 +38,20 @@ def with_defaults(lines: DataFrame) -> DataFrame:
         "episode_gap_tolerance": S.DEFAULT_GAP_DAYS, "medication_class": S.DEFAULT_MEDICATION_CLASS, "is_prn": S.DEFAULT_IS_PRN})
 
 
+def named_lines(lines: DataFrame) -> DataFrame:
+    """Lines with a drug, their fields in ``l``."""
+    inn = F.lower(F.trim("inn"))
+    return lines.where(F.coalesce(inn, F.lit("")) != "").select("patient_id", inn.alias("inn"), "rx_id", "rx_date", F.struct("line_no", *LINE_FIELDS).alias("l"))
+
+
+def least_lines(named: DataFrame) -> DataFrame:
+    """The first of ``named_lines`` of each prescription and drug."""
+    return named.groupBy("patient_id", "inn", "rx_id", "rx_date").agg(F.min("l").alias("l"))
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """The first line ``l`` of each prescription and drug."""
-    inn = F.lower(F.trim("inn"))
-    named = lines.where(F.coalesce(inn, F.lit("")) != "")
-    return named.groupBy("patient_id", inn.alias("inn"), "rx_id", "rx_date").agg(F.min(F.struct("line_no", *LINE_FIELDS)).alias("l"))
+    return least_lines(named_lines(lines))
 
 
 def line_columns(first: DataFrame) -> DataFrame:

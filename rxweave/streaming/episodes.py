@@ -95,17 +95,17 @@ def fold_batch(lines: DataFrame, batch_id: int, out: str, delay_days: int, bucke
     spark = lines.sparkSession
     before = commit_of(spark, out, batch_id - 1, buckets)
     _forget(spark, out, batch_id, before)
-    put(E.first_lines(lines), f"{out}/arrived", batch_id)
+    put(E.named_lines(lines), f"{out}/arrived", batch_id)
     arrived = spark.read.parquet(f"{out}/arrived/batch_id={batch_id}")
+    # rows of one prescription and drug may come in several batches; its first line counts, found in one pass with the batch's own
+    put(E.least_lines(arrived.unionByName(waiting(spark, out, batch_id - 1, before["watermark"], arrived.schema))), f"{out}/pool", batch_id)
+    pool = read_paths(spark, arrived.schema, [f"{out}/pool/batch_id={batch_id}"])
     late = F.col("rx_date").isNull() | (F.col("rx_date") <= F.lit(before["watermark"])) if before["watermark"] else F.col("rx_date").isNull()
-    put(E.line_columns(arrived.where(late)), f"{out}/late", batch_id)
-    newest = max(filter(None, [before["newest"], arrived.agg(F.max("rx_date")).first()[0]]), default=None)
+    put(E.line_columns(pool.where(late)), f"{out}/late", batch_id)
+    newest = max(filter(None, [before["newest"], pool.agg(F.max("rx_date")).first()[0]]), default=None)
     watermark = newest - dt.timedelta(delay_days) if newest else None
 
-    # rows of one prescription and drug may come in several batches; its first line counts
-    pool = arrived.where(~late).unionByName(waiting(spark, out, batch_id - 1, before["watermark"], arrived.schema))
-    put(pool.groupBy(*KEYS, "rx_id", "rx_date").agg(F.min("l").alias("l")), f"{out}/pool", batch_id)
-    due = E.line_columns(read_paths(spark, arrived.schema, [f"{out}/pool/batch_id={batch_id}"]).where(F.col("rx_date") <= F.lit(watermark)))
+    due = E.line_columns(pool.where(~late & (F.col("rx_date") <= F.lit(watermark))))
     days = E.prescription_days(due)
     scheduled = E.with_defaults(due).where("NOT is_prn")
     wanted = sorted(r[0] for r in scheduled.select(_bucket(buckets).alias("b")).distinct().collect())  # at most as many as there are buckets
@@ -125,7 +125,7 @@ def fold_batch(lines: DataFrame, batch_id: int, out: str, delay_days: int, bucke
 def waiting(spark: SparkSession, out: str, batch_id: int, watermark: dt.date | None, schema: T.StructType) -> DataFrame:
     """Rows that a batch left unfolded: those newer than its watermark."""
     rows = read_paths(spark, schema, [f"{out}/pool/batch_id={batch_id}"] if batch_id >= 0 else [])
-    return rows.where(F.col("rx_date") > F.lit(watermark)) if watermark else rows
+    return rows.where(F.col("rx_date") > F.lit(watermark) if watermark else F.col("rx_date").isNotNull())
 
 
 def state_schema(days: DataFrame) -> T.StructType:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rxweave.catalog import CHECKS, QUERIES
+from rxweave.catalog import CHECKS, QUERIES, streams
 from rxweave.operators import episodes as E
 from rxweave.operators import labs as L
 from rxweave.refdata import tables
@@ -209,3 +209,11 @@ def test_equal_files_of_one_arrival_are_told_apart_by_name(spark, monkeypatch):
     key, sf = "stream_document_files", "/root/testdata/sf0.001"
     status, n, _, note = compare(spark, connect(sf), sf, key, QUERIES[key], CHECKS[key])
     assert status == "ok" and n > 0, note
+
+
+def test_arrivals_are_derived_once(spark):
+    """A batch number costs no pass of its own over the rows."""
+    passes = spark.sparkContext.accumulator(0)
+    rows = spark.range(90, numPartitions=1).rdd.map(lambda r: (passes.add(1), (r[0],))[1]).toDF("id long")
+    parts = streams._parts(spark, rows, F.when(F.col("id") < 80, F.col("id") % 3), 3)
+    assert [p.count() for p in parts] == [27, 27, 26] and passes.value == 90
