@@ -16,6 +16,7 @@ from rxweave.operators import history as H
 from rxweave.operators import inference as INF
 from rxweave.operators import maintenance as M
 from rxweave.refdata import tables
+from rxweave.session import cut_lineage
 
 
 def drugs_of(spark, sf):
@@ -27,8 +28,7 @@ def episodes_of(spark, sf):
 
 
 def history_of(spark, sf):
-    drugs = drugs_of(spark, sf)
-    return E.dosage_history(E.episode_lines(drugs, E.episode_days(drugs)))
+    return E.dosage_history(E.episode_lines(*E.stored_days(drugs_of(spark, sf))))
 
 
 def doctors_of(spark, sf):
@@ -106,8 +106,7 @@ def prn_snapshots(spark, sf):
     UNION ALL SELECT patient_id, inn, episode_no, NULL, CAST(actual_end_date AS VARCHAR), 'MEDICATION_COMPLETED' FROM episodes WHERE status = 'completed'
     UNION ALL SELECT d.patient_id, d.inn, NULL, d.rx_id, CAST(rx_date AS VARCHAR), 'MEDICATION_STARTED' FROM rx_drugs d JOIN defaults s ON s.inn = d.inn WHERE s.is_prn"""))
 def episode_events(spark, sf):
-    drugs = drugs_of(spark, sf)
-    days = E.episode_days(drugs)
+    drugs, days = E.stored_days(drugs_of(spark, sf))
     found = E.episode_events(E.episode_lines(drugs, days), E.scheduled_episodes(days), E.prn_snapshots(drugs))
     return found.select("patient_id", "inn", "episode_no", "rx_id", day("event_date"), "event_type")
 
@@ -149,14 +148,17 @@ def latest_dosage_text(spark, sf):
     l.rx_id, CAST(l.rx_date AS VARCHAR) AS recorded_date, l.dosage_value AS dose, d.name AS doctor_name FROM episodes e
     LEFT JOIN lines l ON l.patient_id = e.patient_id AND l.inn = e.inn AND l.episode_no = e.episode_no LEFT JOIN doctors d ON d.doctor_id = e.doctor_id"""))
 def patient_timeline(spark, sf):
-    rows = H.patient_timeline(episodes_of(spark, sf), history_of(spark, sf), doctors_of(spark, sf))
+    drugs, days = E.stored_days(drugs_of(spark, sf))
+    episodes = E.scheduled_episodes(days).unionByName(E.prn_episodes(drugs))
+    rows = H.patient_timeline(episodes, E.dosage_history(E.episode_lines(drugs, days)), doctors_of(spark, sf))
     return rows.select("patient_id", "inn", "episode_no", "status", day("start_date"), "prescription_count", "latest_dosage", "rx_id", day("recorded_date"), "dose", "doctor_name")
 
 
 @query("drug_timeline", sql("""SELECT e.patient_id, e.inn, count(*) AS episode_count, CAST(min(start_date) AS VARCHAR) AS first_start, CAST(max(start_date) AS VARCHAR) AS last_start,
     (SELECT count(*) FROM lines l WHERE l.patient_id = e.patient_id AND l.inn = e.inn) AS dose_rows FROM episodes e GROUP BY 1, 2"""))
 def drug_timeline(spark, sf):
-    return H.drug_timeline(episodes_of(spark, sf), history_of(spark, sf)).select("patient_id", "inn", "episode_count", day("first_start"), day("last_start"), "dose_rows")
+    drugs = cut_lineage(spark, drugs_of(spark, sf), "drugs")
+    return H.drug_timeline(E.medication_episodes(drugs)).select("patient_id", "inn", "episode_count", day("first_start"), day("last_start"), "dose_rows")
 
 
 @query("timeline_sort", sql("SELECT patient_id, inn, episode_no, CAST(start_date AS VARCHAR) AS start_date, status FROM episodes"))

@@ -24,6 +24,10 @@ from rxweave.refdata import tables
 from rxweave.session import cut_lineage
 
 LINE_FIELDS = ["dosage_value", "dosage_unit", "frequency", "duration_days", "doctor_id", "raw_drug_name"]
+DAY_KEYS = ["patient_id", "inn", "rx_date"]
+DOSE_FIELDS = ["dosage_value", "dosage_unit"]
+#: A day with more prescriptions of one patient and drug is numbered in several pieces.
+LARGE_DAY = 10_000
 
 
 def signal_defaults(spark) -> DataFrame:
@@ -157,34 +161,59 @@ def medication_episodes(drugs: DataFrame) -> DataFrame:
     return scheduled_episodes(episode_days(drugs)).unionByName(prn_episodes(drugs))
 
 
-def episode_lines(drugs: DataFrame, days: DataFrame) -> DataFrame:
+def stored_days(drugs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``drugs`` and their ``episode_days``, each written once for results that use them several times."""
+    spark = drugs.sparkSession
+    drugs = cut_lineage(spark, drugs, "drugs")
+    return drugs, cut_lineage(spark, episode_days(drugs), "episode_days")
+
+
+def episode_lines(drugs: DataFrame, days: DataFrame, large_day: int = LARGE_DAY) -> DataFrame:
     """Prescriptions with their episode, refill number and previous dose.
 
-    Lines of a day are ordered by prescription id. A day may be very large, so
-    it is numbered in id buckets: each bucket knows how many lines and which
-    dose came before it, and only rows within a bucket are ordered. A bucket is
-    what a range partitioning by day and id puts into one partition; it takes
-    its bounds from the data, for ids of any type. It is written once, so that
-    all uses of a bucket agree.
+    Lines of a day are ordered by prescription id. A day of at most
+    ``large_day`` lines is ordered in one piece; larger ones, of which there
+    are few, go by ``large_day_starts``. Hand in ``days`` that are stored: they
+    are looked through for large days.
+    """
+    carried = F.struct(*[F.col(f"previous_latest.{f}").alias(f) for f in DOSE_FIELDS])
+    starts = days.select(*DAY_KEYS, "n_rx", "episode_no", F.col("rx_before").alias("_before"), carried.alias("_carried"))
+    small = starts.where(F.col("n_rx") <= large_day).drop("n_rx")
+    large = starts.where(F.col("n_rx") > large_day).drop("n_rx")
+    numbered = _numbered(drugs.join(small, DAY_KEYS), DAY_KEYS, drugs.columns)
+    if large.isEmpty():
+        return numbered
+    placed = large_day_starts(drugs.join(large.select(*DAY_KEYS), DAY_KEYS, "left_semi"), large)
+    return numbered.unionByName(_numbered(placed, [*DAY_KEYS, "_bucket"], drugs.columns))
+
+
+def _numbered(lines: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Lines numbered by prescription id within ``keys``, after the ``_before`` lines and the dose ``_carried`` that precede them."""
+    order = Window.partitionBy(*keys).orderBy("rx_id")
+    position = F.row_number().over(order)
+    return lines.select(
+        *columns, "episode_no", (F.col("_before") + position).alias("refill_number"),
+        F.when(position > 1, F.lag(F.struct(*DOSE_FIELDS)).over(order)).otherwise(F.col("_carried")).alias("previous_dose"))
+
+
+def large_day_starts(drugs: DataFrame, starts: DataFrame) -> DataFrame:
+    """Lines of very large days in id buckets: each bucket knows how many lines
+    and which dose came before it, and only rows within a bucket are ordered.
+
+    A bucket is what a range partitioning by day and id puts into one
+    partition; it takes its bounds from the data, for ids of any type. It is
+    written once, so that all uses of a bucket agree.
     """
-    keys = ["patient_id", "inn", "rx_date"]
-    dose = F.struct("dosage_value", "dosage_unit")
-    lines = cut_lineage(drugs.sparkSession, drugs.repartitionByRange(*keys, "rx_id").withColumn("_bucket", F.spark_partition_id()), "days")
-    over_day = Window.partitionBy(*keys).orderBy("_bucket")
-    buckets = lines.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.max_by(dose, "rx_id").alias("_last")).select(
-        *keys, "_bucket",
+    lines = cut_lineage(drugs.sparkSession, drugs.repartitionByRange(*DAY_KEYS, "rx_id").withColumn("_bucket", F.spark_partition_id()), "days")
+    over_day = Window.partitionBy(*DAY_KEYS).orderBy("_bucket")
+    buckets = lines.groupBy(*DAY_KEYS, "_bucket").agg(F.count("*").alias("_n"), F.max_by(F.struct(*DOSE_FIELDS), "rx_id").alias("_last")).select(
+        *DAY_KEYS, "_bucket",
         F.coalesce(F.sum("_n").over(over_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_in_day"),
         F.lag("_last").over(over_day).alias("_bucket_before"))
-    carried = F.struct(F.col("previous_latest.dosage_value").alias("dosage_value"), F.col("previous_latest.dosage_unit").alias("dosage_unit"))
-    starts = buckets.join(days, keys).select(
-        *keys, "_bucket", "episode_no", "gap_days", (F.col("rx_before") + F.col("_in_day")).alias("_before"),
-        F.when(F.col("_bucket_before").isNotNull(), F.col("_bucket_before")).otherwise(carried).alias("_carried"))
-    order = Window.partitionBy(*keys, "_bucket").orderBy("rx_id")
-    position = F.row_number().over(order)
-    numbered = lines.join(starts, [*keys, "_bucket"])
-    return numbered.select(
-        *drugs.columns, "episode_no", (F.col("_before") + position).alias("refill_number"),
-        F.when(position > 1, F.lag(dose).over(order)).otherwise(F.col("_carried")).alias("previous_dose"))
+    placed = buckets.join(starts, DAY_KEYS).select(
+        *DAY_KEYS, "_bucket", "episode_no", (F.col("_before") + F.col("_in_day")).alias("_before"),
+        F.coalesce("_bucket_before", "_carried").alias("_carried"))
+    return lines.join(placed, [*DAY_KEYS, "_bucket"])
 
 
 def dosage_history(lines: DataFrame) -> DataFrame:

@@ -56,12 +56,12 @@ def patient_timeline(episodes: DataFrame, history: DataFrame, doctors: DataFrame
                 "rx_id", "recorded_date", "refill_number", "dose", "doctor_id", "doctor_name", "speciality"))
 
 
-def drug_timeline(episodes: DataFrame, history: DataFrame) -> DataFrame:
-    """Per patient and drug: number of episodes and of dose rows."""
-    keys = ["patient_id", "inn"]
-    n_ep = episodes.groupBy(*keys).agg(F.count("*").alias("episode_count"), F.min("start_date").alias("first_start"), F.max("start_date").alias("last_start"))
-    n_dose = history.groupBy(*keys).agg(F.count("*").alias("dose_rows"))
-    return n_ep.join(n_dose, keys, "left").fillna({"dose_rows": 0})
+def drug_timeline(episodes: DataFrame) -> DataFrame:
+    """Per patient and drug: number of episodes and of dose rows, of which a
+    scheduled episode has one per prescription and an as-needed one none."""
+    doses = F.when(F.col("dispensing_type") == "scheduled", F.col("prescription_count")).otherwise(0)
+    return episodes.groupBy("patient_id", "inn").agg(
+        F.count("*").alias("episode_count"), F.min("start_date").alias("first_start"), F.max("start_date").alias("last_start"), F.sum(doses).alias("dose_rows"))
 
 
 def timeline_sorted(episodes: DataFrame) -> DataFrame:
