@@ -150,12 +150,13 @@ def eval_limit(spark, sf):
     docs=_DOCS, totals=_TOTALS, micro=_MICRO, mistakes=_ERRORS))
 def evaluate_extraction(spark, sf):
     """The metrics row of an evaluation run."""
-    pairs = matched(spark, sf)
-    micro = rounded(EV.prf_micro(EV.document_counts(pairs)), "f1")
+    per_doc = cut_lineage(spark, counts(spark, sf).select("doc_id", "n_gold", "n_pred", "strict_tp", "relaxed_tp", "errors"), "counts")
+    micro = rounded(EV.prf_micro(per_doc), "f1")
     value = lambda mode, c: F.when(F.col("mode") == mode, F.col(c))
     columns = {"n_docs": F.col("n_docs"), **{f"strict_{c}": value("strict", c) for c in ("tp", "fp", "fn", "f1")}, **{f"relaxed_{c}": value("relaxed", c) for c in ("tp", "f1")}}
     scores = micro.select(*[c.alias(n) for n, c in columns.items()])
-    errors = EV.error_rows(pairs).agg(*[F.count_if(F.col("category") == c).alias(c) for c in ("missing", "hallucinated")])
+    number = lambda c: F.coalesce(F.sum(F.size(F.filter("errors", lambda e: e == c))), F.lit(0))
+    errors = per_doc.agg(*[number(c).alias(c) for c in ("missing", "hallucinated")])
     both = scores.unionByName(errors, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 

@@ -8,26 +8,35 @@ expressions over them, and all counts and rates after that plain aggregates.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rxweave.functions.similarity import contains_either, ratio, tidy
+from rxweave.functions.text import bind
 from rxweave.refdata import corpus as C
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def ratio_table(gold: pd.Series, pred: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def ratio_table(gold: pa.Array, pred: pa.Array) -> pa.Array:
     """The ratio of every gold text (row) with every predicted one; equal pairs inside a batch are computed once."""
-    seen: dict[tuple[str, str], float] = {}
-
-    def of(a: str, b: str) -> float:
-        if (a, b) not in seen:
-            seen[a, b] = ratio(a, b)
-        return seen[a, b]
-
-    return pd.Series([[[of(a, b) for b in given] for a in wanted] for wanted, given in zip(gold, pred)], dtype=object)
+    size = lambda lists: lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    n_gold, n_pred = size(gold), size(pred)
+    wanted, given = gold.flatten(), pred.flatten()
+    words = pa.concat_arrays([wanted, given]).dictionary_encode()
+    codes, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+    a, b = codes[:len(wanted)], codes[len(wanted):]
+    width = np.repeat(n_pred, n_gold)  # of each gold text's row in its table
+    ends = np.cumsum(width)
+    start = np.repeat(np.cumsum(n_pred) - n_pred, n_gold)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - width), width)
+    pairs, place = np.unique(np.repeat(a, width) * max(len(names), 1) + b[at], return_inverse=True)
+    found = np.array([ratio(names[p // len(names)], names[p % len(names)]) for p in pairs.tolist()], dtype="float64")
+    offsets = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    rows = pa.ListArray.from_arrays(offsets(width), pa.array(found[place]))
+    return pa.ListArray.from_arrays(offsets(n_gold), rows)
 
 
 def _texts(items: str, name: str) -> Column:
@@ -97,7 +106,7 @@ def document_counts(matched: DataFrame) -> DataFrame:
     return matched.select(
         "doc_id", F.size("gold").alias("n_gold"), F.size("pred").alias("n_pred"),
         _hits(F.col("strict")).alias("strict_tp"), _hits(F.col("relaxed")).alias("relaxed_tp"),
-        F.size(F.filter("best", lambda b: b["ratio"] >= C.BEST_RATIO)).alias("fuzzy_hits"), "confidence")
+        F.size(F.filter("best", lambda b: b["ratio"] >= C.BEST_RATIO)).alias("fuzzy_hits"), "confidence", errors().alias("errors"))
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -170,15 +179,22 @@ def with_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return joined.withColumn("ratio", F.coalesce("ratio", F.when((F.col("_a") == F.col("_b")) & (F.col("_a") != ""), 1.0).otherwise(0.0))).drop("_a", "_b")
 
 
+def errors() -> Column:
+    """The errors of a matched document: missing, synonym or character per missed gold item, hallucinated per prediction that fits none."""
+    def missed(strict: Column, relaxed: Column) -> Column:
+        def kind(g: Column, i: Column) -> Column:
+            other = F.get(F.col("pred"), F.get(relaxed, i))["clean_name"]
+            of = F.when(F.get(relaxed, i) < 0, "missing").when(other != g["clean_name"], "synonym").otherwise("character")
+            return F.when(F.get(strict, i) < 0, of)
+
+        return F.concat(F.transform("gold", kind), F.transform("pred", lambda _, j: F.when(~F.array_contains(relaxed, j), "hallucinated")))
+
+    return bind(F.col("strict"), lambda s: bind(F.col("relaxed"), lambda r: F.filter(missed(s, r), lambda e: e.isNotNull())))
+
+
 def error_rows(matched: DataFrame) -> DataFrame:
     """One row per error: missing, synonym, character or hallucinated."""
-    gold = matched.select("doc_id", "pred", "strict", "relaxed", F.posexplode("gold").alias("i", "g"))
-    hit = F.element_at("relaxed", F.col("i") + 1)
-    other = F.get(F.col("pred"), hit)["clean_name"]
-    kind = F.when(hit < 0, "missing").when(other != F.col("g.clean_name"), "synonym").otherwise("character")
-    missed = gold.where(F.element_at("strict", F.col("i") + 1) < 0).select("doc_id", kind.alias("category"))
-    extra = matched.select("doc_id", "relaxed", F.posexplode("pred").alias("i", "p")).where(~F.array_contains("relaxed", F.col("i")))
-    return missed.unionByName(extra.select("doc_id", F.lit("hallucinated").alias("category")))
+    return matched.select("doc_id", F.explode(errors()).alias("category"))
 
 
 def error_categories(matched: DataFrame) -> DataFrame:
