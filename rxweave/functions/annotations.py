@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from rxweave.functions.text import bind, first_case, has, regex
 from rxweave.refdata import corpus as C
 
-_BOUNDARY = "|".join(f"{name}:" for name in C.ANNOTATION_FIELDS)
+_FIRST_LETTERS = "".join(sorted({name[0] for name in C.ANNOTATION_FIELDS}))
+# the first letter is tested before the names, as most places are none
+_BOUNDARY = f"(?=[{_FIRST_LETTERS}])(?:" + "|".join(f"{name}:" for name in C.ANNOTATION_FIELDS) + ")"
 TRIM = " \t\r\n:-"
 
 
@@ -29,23 +31,23 @@ def annotation_registration(doctor_name: Column) -> Column:
 
 
 def frequency_per_day(text: Column) -> Column:
-    low = F.lower(clean_whitespace(text))
-    hits = first_case([(low.contains(phrase), rate) for phrase, rate in C.FREQUENCY_PER_DAY])
-    return F.when(F.length(text) > 0, hits)
+    hits = lambda low: first_case([(low.contains(phrase), rate) for phrase, rate in C.FREQUENCY_PER_DAY])
+    return F.when(F.length(text) > 0, bind(F.lower(clean_whitespace(text)), hits))
 
 
 def _item(item: Column) -> Column:
     """One list item, read as a dosed drug or an instruction."""
-    dosed = lambda group: F.regexp_extract(item, "(?is)" + C.ANNOTATION_DOSAGE_PATTERN[4:] + "(.*)$", group)
-    return F.struct(
+    part = lambda group: F.regexp_extract(item, "(?is)" + C.ANNOTATION_DOSAGE_PATTERN[4:] + "(.*)$", group)
+    # the parts of an item without a dose are never used
+    return bind(has(item, C.ANNOTATION_DOSAGE_PATTERN), lambda dosed: F.struct(
         item.alias("text"),
-        has(item, C.ANNOTATION_DOSAGE_PATTERN).alias("dosed"),
+        dosed.alias("dosed"),
         F.lower(F.element_at(F.split(item, " "), 1)).isin(C.INSTRUCTION_STARTS).alias("instruction"),
-        clean_whitespace(dosed(1)).alias("drug"),
-        dosed(2).try_cast("double").alias("value"),
-        F.lower(dosed(3)).alias("unit"),
-        F.nullif(clean_whitespace(dosed(4)), F.lit("")).alias("trailing"),
-    )
+        F.when(dosed, clean_whitespace(part(1))).alias("drug"),
+        F.when(dosed, part(2).try_cast("double")).alias("value"),
+        F.when(dosed, F.lower(part(3))).alias("unit"),
+        F.when(dosed, bind(clean_whitespace(part(4)), lambda t: F.when(t != "", t))).alias("trailing"),
+    ))
 
 
 def annotation_medications(text: Column) -> Column:
@@ -87,11 +89,11 @@ def annotation_medications(text: Column) -> Column:
 
 def annotation_record(text: Column) -> Column:
     """The structured target of one annotation, blanks as NULL."""
-    value = lambda name: F.nullif(annotation_field(text, name), F.lit(""))
+    value = lambda name: bind(annotation_field(text, name), lambda v: F.when(v != "", v))
     meds = bind(annotation_medications(text), lambda m: F.when(F.size(m) > 0, m))
-    return F.struct(
-        value("doctor_name").alias("doctor_name"),
-        annotation_registration(value("doctor_name")).alias("doctor_reg"),
+    return bind(value("doctor_name"), lambda doctor: F.struct(
+        doctor.alias("doctor_name"),
+        annotation_registration(doctor).alias("doctor_reg"),
         value("clinic_name").alias("clinic_name"),
         value("patient_name").alias("patient_name"),
         value("patient_age").alias("patient_age"),
@@ -99,7 +101,7 @@ def annotation_record(text: Column) -> Column:
         value("date").alias("prescription_date"),
         value("diagnosis").alias("diagnosis"),
         meds.alias("medications"),
-    )
+    ))
 
 
 SORTED_MED_FIELDS = ["dosage_unit", "dosage_value", "drug_name", "duration_days", "freq_per_day", "frequency", "route"]

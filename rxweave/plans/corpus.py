@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxweave.functions import annotations as A
+from rxweave.functions.text import bind
 from rxweave.refdata import corpus as C
 
 
@@ -17,21 +18,27 @@ def parse_annotations(rows: DataFrame) -> DataFrame:
 def rejection(file_name: Column, ground_truth: Column) -> Column:
     """Why a training row is rejected, NULL when it is valid."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    fields = F.from_json(ground_truth, "map<string,string>")
-    get = lambda key: F.try_element_at(fields, F.lit(key))
-    has_field = F.exists(F.array(*[~blank(get(k)) for k in C.CLINICAL_FIELDS]), lambda b: b)
-    meds = F.when(F.map_contains_key(fields, "medications"), F.coalesce(get("medications"), F.lit("null"))).otherwise(F.lit("[]"))
-    items = F.from_json(meds, "array<string>")
     is_object = lambda m: F.startswith(F.ltrim(m), F.lit("{"))
     named = lambda m: ~blank(F.try_element_at(F.from_json(m, "map<string,string>"), F.lit("drug_name")))
+
+    def of_medications(meds: Column, has_field: Column) -> Column:
+        return bind(F.from_json(meds, "array<string>"), lambda items: (
+            F.when(~F.startswith(F.ltrim(meds), F.lit("[")), "medications is not a list")
+            .when(~has_field & (F.size(items) == 0), "no clinical field and no medication")
+            .when(F.exists(items, lambda m: ~is_object(m)), "medication is not an object")
+            .when(F.exists(items, lambda m: ~named(m)), "medication without drug_name")))
+
+    def of_fields(fields: Column) -> Column:
+        get = lambda key: F.try_element_at(fields, F.lit(key))
+        has_field = F.exists(F.array(*[~blank(get(k)) for k in C.CLINICAL_FIELDS]), lambda b: b)
+        meds = F.when(F.map_contains_key(fields, "medications"), F.coalesce(get("medications"), F.lit("null"))).otherwise(F.lit("[]"))
+        return bind(meds, lambda m: of_medications(m, has_field))
+
     return (
         F.when(blank(file_name), "missing file_name")
         .when(blank(ground_truth), "missing ground_truth")
         .when(F.try_parse_json(ground_truth).isNull(), "invalid JSON")
-        .when(~F.startswith(F.ltrim(meds), F.lit("[")), "medications is not a list")
-        .when(~has_field & (F.size(items) == 0), "no clinical field and no medication")
-        .when(F.exists(items, lambda m: ~is_object(m)), "medication is not an object")
-        .when(F.exists(items, lambda m: ~named(m)), "medication without drug_name")
+        .otherwise(bind(F.from_json(ground_truth, "map<string,string>"), of_fields))
     )
 
 
