@@ -35,16 +35,22 @@ def scan_label_csv(spark: SparkSession, path: str) -> DataFrame:
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+#: Bytes that opening a file counts for when files are dealt to tasks; Spark's own 4 MB make a task of each few small files.
+_OPEN_COST = 64 * 1024
+
+
 @contextmanager
-def many_folders(spark: SparkSession, tasks: int = 64) -> Iterator[None]:
-    """Folders are listed by this many tasks; by Spark's own choice it is one task for each folder, up to 10,000."""
-    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(tasks))
+def many_files(spark: SparkSession, tasks: int = 64) -> Iterator[None]:
+    """Folders are listed by this many tasks, by Spark's own choice one for each folder, up to 10,000; a task reads hundreds of small files."""
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(tasks), "spark.sql.files.openCostInBytes": str(_OPEN_COST)}
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def scan_document_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,9 @@
 import datetime as dt
 import os
 import random
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from rxweave.catalog import CHECKS, QUERIES, streams
 from rxweave.operators import episodes as E
 from rxweave.operators import labs as L
 from rxweave.refdata import tables
-from rxweave.sources import readers
+from rxweave.sources import rawfiles, readers
 from rxweave.streaming import episodes as SE
 from rxweave.streaming import ingest as I
 from rxweave.streaming import uploads as U
@@ -211,6 +213,56 @@ def test_equal_files_of_one_arrival_are_told_apart_by_name(spark, monkeypatch):
     assert status == "ok" and n > 0, note
 
 
+def test_a_document_is_one_file_and_no_name_is_kept_in_the_driver(spark, tmp_path, monkeypatch):
+    """A folder and a checksum file for each document took three times the disk, and the driver listed all files for each arrival."""
+    monkeypatch.setattr(streams, "shared_folder", lambda _, purpose: str(tmp_path / purpose))
+    QUERIES["stream_document_files"](spark, "/root/testdata/sf0.001").collect()
+    below = lambda folder: [(Path(d), x) for d, _, names in os.walk(tmp_path / folder) for x in names]
+    assert len(below("files")) == 200 and len({d for d, _ in below("files")}) < 200
+    taken_up = [line for d, x in below("uploads/_checkpoint/sources/0") if x.isdigit() for line in (d / x).read_text().splitlines()[1:]]
+    assert 3 <= len(taken_up) <= 24
+
+
+@pytest.mark.parametrize("arrow", [True, False])
+def test_raw_files_of_odd_documents(spark, tmp_path, monkeypatch, arrow):
+    """Ids below 0, repeated or missing; with Arrow, and for stores that only Spark reaches."""
+    monkeypatch.setattr(rawfiles, "reachable", lambda *_: arrow)
+    rows = [(5, "a"), (2, "a"), (-4, "a"), (-4, "b"), (-4, "b"), (7, "b"), (-2, "c"), (9, "c"), (None, "c"), (None, "d"), (None, "d"), (11, None), (3, ""), (8, "\n"), (8, "e\r\né"), (10 ** 11, "e\r\né"), (1, "x" * 3_000_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = "stream_document_files"
+    status, n, _, note = compare(spark, con, str(tmp_path), key, QUERIES[key], CHECKS[key])
+    assert (status, n) == ("ok", 8), note
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    """Each small file counted as 4 MB, so that a task read three or four."""
+    for n in range(300):
+        (tmp_path / str(n)).write_text("x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        with readers.many_files(spark):
+            assert readers.scan_document_files(spark, str(tmp_path)).rdd.getNumPartitions() <= 16
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_folder_is_taken_up_once(spark, tmp_path):
+    """Nothing of an earlier arrival is listed or read again, and unfinished files aren't read."""
+    announced, out = str(tmp_path / "announced"), str(tmp_path / "out")
+    for k in range(2):
+        rows = spark.createDataFrame([(f"{i}", f"{i % 7} {k * (i % 2)}") for i in range(k * 40, k * 40 + 40)], "name string, value string")
+        rawfiles.write_texts(rows, str(tmp_path / f"in{k}"), announced)
+        next((tmp_path / f"in{k}").iterdir()).joinpath(".unfinished").write_text("y")
+        files = rawfiles.stream_folders(spark, announced).withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)$", 1).cast("long"))
+        U.stream_first_uploads(files, out, buckets=4, of_content=("length",))
+        (tmp_path / f"in{k}").rename(tmp_path / f"taken{k}")
+    got = {(x.doc_id, x.length, x.batch_id) for x in spark.read.parquet(f"{out}/first").collect()}
+    assert got == {(i, 4, 0) for i in range(7)} | {(i, 4, 1) for i in range(41, 55, 2)}
+
+
 def test_arrivals_are_derived_once(spark):
     """A batch number costs no pass of its own over the rows."""
     passes = spark.sparkContext.accumulator(0)
